@@ -118,8 +118,12 @@ def asset_tilts(
 
 
 def explode_tilts(tilted: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Long form: one row per asset, with the arrow bucket."""
-    return tilted.selectExpr(*keep, "inline(tilts)").withColumn("direction", direction(F.col("tilt")))
+    """Long form: one row per asset, with the arrow bucket.
+
+    The outer form of the generator is deliberate. For the inner one Spark infers a "not empty"
+    filter and pushes it below every projection, copying the whole tilt arithmetic into it.
+    """
+    return tilted.selectExpr(*keep, "inline_outer(tilts)").withColumn("direction", direction(F.col("tilt")))
 
 
 def top_tilts(tilted: DataFrame, keep: Sequence[str], n: int = 3) -> DataFrame:
@@ -128,7 +132,7 @@ def top_tilts(tilted: DataFrame, keep: Sequence[str], n: int = 3) -> DataFrame:
     The eight tilts of a row sit in one array, so ranking them needs no window.
     """
     ranked = f"slice(sort_array(transform(tilts, t -> struct(-abs(t.tilt), t.position, t))), 1, {int(n)})"
-    best = tilted.selectExpr(*keep, f"posexplode({ranked}) AS (_at, _best)")
+    best = tilted.selectExpr(*keep, f"posexplode_outer({ranked}) AS (_at, _best)")
     return best.selectExpr(*keep, "_at + 1 AS rank", "_best.t.*").withColumn("direction", direction(F.col("tilt")))
 
 

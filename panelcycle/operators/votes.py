@@ -56,7 +56,7 @@ def long_votes(voted: DataFrame, rules: Sequence[Rule], prefix: str, keys: Seque
         f"named_struct('position', {i}, 'rule', '{r.name}', 'cls', {r.cls}, 'weight', {prefix}_w_{r.name})"
         for i, r in enumerate(rules)
     )
-    return voted.selectExpr(*keys, f"inline(array({slots}))").where(F.col("weight").isNotNull())
+    return voted.selectExpr(*keys, f"inline_outer(array({slots}))").where(F.col("weight").isNotNull())
 
 
 def decide(voted: DataFrame, classes: Sequence[int], labels: Mapping[int, str], prefix: str,
