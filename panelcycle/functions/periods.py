@@ -9,26 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_QUARTER = r"^\s*(\d{1,4})\s*-Q\s*(\d{1,9})\s*$"
-_MONTH = r"^\s*(\d{1,4})\s*-M\s*(\d{1,9})\s*$"
-_DIGITS = r"^\d+$"
+_DATED = r"-Q|-M|^\d+$"
 
 
-def _part(period: Column, pattern: str, group: int) -> Column:
-    # try_cast: an empty match, or digits beyond the int range, become NULL
-    return F.regexp_extract(period, pattern, group).try_cast("int")
+def looks_dated(period: Column) -> Column:
+    """True for a period that claims to be a quarter, a month or a year."""
+    return period.rlike(_DATED)
 
 
 def period_start(period: Column) -> Column:
     """First day of ``YYYY-Qn``, ``YYYY-Mnn`` or ``YYYY``; NULL for anything else."""
-    q_year, quarter = _part(period, _QUARTER, 1), _part(period, _QUARTER, 2)
-    m_year, month = _part(period, _MONTH, 1), _part(period, _MONTH, 2)
-    year = F.when(period.rlike(_DIGITS), period.try_cast("int"))
-    return (
-        F.when(q_year.between(1, 9999) & quarter.between(1, 4), F.make_date(q_year, quarter * 3 - 2, F.lit(1)))
-        .when(m_year.between(1, 9999) & month.between(1, 12), F.make_date(m_year, month, F.lit(1)))
-        .when(year.between(1, 9999), F.make_date(year, F.lit(1), F.lit(1)))
-    )
+    form = F.regexp_extract(period, "-([QM])", 1)
+    year = F.trim(F.split_part(period, F.lit("-"), F.lit(1))).try_cast("smallint")
+    number = F.trim(F.substr(period, F.instr(period, "-") + 2)).try_cast("tinyint")
+    month = F.when(form == "Q", number * 3 - 2).when(form == "M", number.cast("int")).otherwise(F.lit(1))
+    # an impossible month or a missing part makes a text that is no date, so try_cast gives NULL
+    first = F.format_string("%04d-%02d-01", year, month).try_cast("date")
+    return F.when(looks_dated(period) & year.between(1, 9999), first)
 
 
 def period_error(period: Column) -> Column:
@@ -37,19 +34,17 @@ def period_error(period: Column) -> Column:
     An unknown form is merely skipped; a quarter, month or year out of range is a defect of
     the whole series.
     """
-    looks_dated = period.contains("-Q") | period.contains("-M") | period.rlike(_DIGITS)
     return F.when(
-        looks_dated & period_start(period).isNull(),
+        looks_dated(period) & period_start(period).isNull(),
         F.concat(F.lit("period out of range: "), period),
     )
 
 
 def period_end(period: Column) -> Column:
     """Last day of ``YYYY-Qn`` or ``YYYY``; NULL for anything else, months included."""
-    year = F.regexp_extract(period, r"^(\d{4})-Q([1-4])$", 1).try_cast("int")
-    quarter = F.regexp_extract(period, r"^(\d{4})-Q([1-4])$", 2).try_cast("int")
-    whole = F.regexp_extract(period, r"^(\d{4})$", 1).try_cast("int")
+    year = F.substr(period, F.lit(1), F.lit(4)).try_cast("int")
+    quarter = F.substr(period, F.lit(7)).try_cast("int")
     return (
-        F.when(year.between(1, 9999), F.last_day(F.make_date(year, quarter * 3, F.lit(1))))
-        .when(whole.between(1, 9999), F.make_date(whole, F.lit(12), F.lit(31)))
+        F.when(period.rlike(r"^\d{4}-Q[1-4]$") & (year >= 1), F.last_day(F.make_date(year, quarter * 3, F.lit(1))))
+        .when(period.rlike(r"^\d{4}$") & (year >= 1), F.make_date(year, F.lit(12), F.lit(31)))
     )

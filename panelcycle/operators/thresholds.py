@@ -65,14 +65,9 @@ def with_thresholds(
 
 def threshold_deltas(thresholds: DataFrame, entity: str = PANEL.entity) -> DataFrame:
     """Long table: entity, field, default, entity's own value and the difference."""
-    filled = thresholds.select(
-        entity, *[F.coalesce(F.col(n), F.lit(d)).alias(n) for n, d in DEFAULT_THRESHOLDS.items()]
-    )
-    long = filled.unpivot(entity, list(DEFAULT_THRESHOLDS), "field", "entity_value")
-    default = F.lit(None).cast("double")
-    for name, value in DEFAULT_THRESHOLDS.items():
-        default = F.when(F.col("field") == name, F.lit(value)).otherwise(default)
-    return long.select(
-        entity, "field", default.alias("default_value"), "entity_value",
-        (F.col("entity_value") - default).alias("delta"),
+    rows = ", ".join(
+        f"named_struct('field', '{n}', 'default_value', {d}D, 'entity_value', coalesce({n}, {d}D))"
+        for n, d in DEFAULT_THRESHOLDS.items()
     )
+    long = thresholds.selectExpr(f"`{entity}`", f"inline_outer(array({rows}))")
+    return long.withColumn("delta", F.col("entity_value") - F.col("default_value"))

@@ -63,23 +63,35 @@ def decide(voted: DataFrame, classes: Sequence[int], labels: Mapping[int, str],
            class_column: str, label_column: str, confidence_column: str) -> DataFrame:
     """Top class, or class 0 when the runner-up is too close, with label and confidence.
 
-    Ties go to the lower class id: the array sorts by weight, then by negated id, descending.
+    Ties go to the lower class id, for the top and for the runner-up: the first class that has
+    the largest weight. With so few classes, comparing columns beats sorting an array per row.
     """
     classes = sorted(classes)
-    entries = ", ".join(f"named_struct('w', {prefix}_w{k}, 'neg', {-k})" for k in classes)
-    total = " + ".join(f"{prefix}_w{k}" for k in classes)
+    w = {k: f"{prefix}_w{k}" for k in classes}
+    total = " + ".join(w.values())
     names = "map(" + ", ".join(f"{k}, {quoted(v)}" for k, v in labels.items()) + ")"
     none = f"{prefix}_n_votes = 0"
-    torn = f"_top.w - _second.w < {TRANSITION_MARGIN}D AND _second.w > 0D"
-    # a rule set with a single class has no runner-up: the comparison is NULL, so not torn
-    ranked = voted.selectExpr("*", f"sort_array(array({entries}), false) AS _rank").selectExpr(
-        "*", "get(_rank, 0) AS _top", "get(_rank, 1) AS _second", f"{total} AS _total"
+    torn = f"_top_w - _second_w < {TRANSITION_MARGIN}D AND _second_w > 0D"
+
+    def largest(values: list[str]) -> str:
+        return f"greatest({', '.join(values)})" if len(values) > 1 else values[0]
+
+    def first_with(value: str, skip: str = "") -> str:
+        return "CASE " + " ".join(f"WHEN {w[k]} = {value}{skip.format(k=k)} THEN {k}" for k in classes) + " END"
+
+    # a rule set with a single class has no runner-up: its weight is NULL, so nothing is torn
+    rest = [f"CASE WHEN _top <> {k} THEN {w[k]} END" for k in classes]
+    ranked = (
+        voted.selectExpr("*", f"{largest(list(w.values()))} AS _top_w", f"{total} AS _total")
+        .selectExpr("*", f"{first_with('_top_w')} AS _top")
+        .selectExpr("*", f"{largest(rest)} AS _second_w")
+        .selectExpr("*", f"{first_with('_second_w', ' AND _top <> {k}')} AS _second", f"coalesce({torn}, false) AS _torn")
     )
     return ranked.selectExpr(
         "*",
-        f"CASE WHEN {none} OR ({torn}) THEN 0 ELSE -_top.neg END AS {class_column}",
+        f"CASE WHEN {none} OR _torn THEN 0 ELSE _top END AS {class_column}",
         f"CASE WHEN {none} THEN {quoted(labels[0] + ' (insufficient data)')} "
-        f"WHEN {torn} THEN concat({quoted(labels[0] + ' (')}, {names}[-_top.neg], ' ↔ ', {names}[-_second.neg], ')') "
-        f"ELSE {names}[-_top.neg] END AS {label_column}",
-        f"CASE WHEN {none} THEN 0D ELSE _top.w / (_total + {CONFIDENCE_FLOOR}D) END AS {confidence_column}",
-    ).drop("_rank", "_top", "_second", "_total")
+        f"WHEN _torn THEN concat({quoted(labels[0] + ' (')}, {names}[_top], ' ↔ ', {names}[_second], ')') "
+        f"ELSE {names}[_top] END AS {label_column}",
+        f"CASE WHEN {none} THEN 0D ELSE _top_w / (_total + {CONFIDENCE_FLOOR}D) END AS {confidence_column}",
+    ).drop("_top", "_top_w", "_second", "_second_w", "_total", "_torn")

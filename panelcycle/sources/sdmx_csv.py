@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcycle.functions.periods import period_error, period_start
+from panelcycle.functions.periods import looks_dated, period_start
 from panelcycle.schema import LONG_COLUMNS
 
 PERIOD, VALUE = "TIME_PERIOD", "OBS_VALUE"
@@ -52,15 +52,15 @@ def parse_sdmx(raw: DataFrame, entity: Column | str = "entity", indicator: Colum
             F.lit(None).cast("string").alias("error"),
         )
     period, text = F.col(PERIOD), F.trim(F.col(VALUE))
-    number = text.try_cast("double")
-    fault = F.coalesce(
-        period_error(period),
-        F.when(number.isNull() & period_start(period).isNotNull(), F.concat(F.lit("not a number: "), text)),
+    usable = text.isNotNull() & ~text.isin(list(MISSING_MARKS)) & looks_dated(period)
+    rows = raw.where(usable).select(
+        *keys, period.alias("_period"), text.alias("_text"),
+        period_start(period).alias("date"), text.try_cast("double").alias("value"),
     )
-    rows = raw.where(text.isNotNull() & ~text.isin(list(MISSING_MARKS))).select(
-        *keys, period_start(period).alias("date"), number.alias("value"), fault.alias("error")
+    fault = F.when(F.col("date").isNull(), F.concat(F.lit("period out of range: "), "_period")).when(
+        F.col("value").isNull(), F.concat(F.lit("not a number: "), "_text")
     )
-    return rows.where(F.col("date").isNotNull() | F.col("error").isNotNull()).select(*LONG_COLUMNS, "error")
+    return rows.select(*LONG_COLUMNS, fault.alias("error"))
 
 
 def load_sdmx_csv(spark: SparkSession, path: str, specs: DataFrame, columns: list[str] | None = None) -> DataFrame:
