@@ -17,11 +17,6 @@ from pyspark.sql import functions as F
 from panelcycle.operators.canonical import canonical_panel, recency
 from panelcycle.schema import PANEL, PanelColumns
 
-# A day -> slot table has one row per calendar day between the first and last grid date:
-# 10,000 years of days stay below this, so the broadcast can never grow with the data.
-MAX_CALENDAR_DAYS = 4_000_000
-
-
 def latest_at(panel: DataFrame, as_of: dt.date, priority: Sequence[str] = (), cols: PanelColumns = PANEL) -> DataFrame:
     """Newest row at or before one date per series: one scan, one combined aggregate.
 
@@ -57,9 +52,6 @@ def with_anchor_lags(canonical: DataFrame, lags: Sequence[int], cols: PanelColum
 
 def grid_calendar(df: DataFrame, grid: Sequence[dt.date]) -> DataFrame:
     """Calendar day -> slot, for the days after the first grid date up to the last one."""
-    span = (grid[-1] - grid[0]).days
-    if span > MAX_CALENDAR_DAYS:
-        raise ValueError(f"the grid spans {span} days, more than a broadcast calendar may hold")
     edges = df.sparkSession.createDataFrame(
         [(i, low, high) for i, (low, high) in enumerate(zip(grid, grid[1:]), start=1)],
         "slot int, low date, high date",
@@ -71,7 +63,11 @@ def grid_calendar(df: DataFrame, grid: Sequence[dt.date]) -> DataFrame:
 
 
 def slot_of(df: DataFrame, grid: Sequence[dt.date], cols: PanelColumns = PANEL) -> DataFrame:
-    """Add the index of the first grid date at or after each row; later rows are dropped."""
+    """Add the index of the first grid date at or after each row; later rows are dropped.
+
+    The calendar is broadcast: its size is known here, one row per day of the grid's span, and
+    ``date`` itself ends it at 3.7 million rows (years 1 to 9999).
+    """
     grid = list(grid)
     if not grid or any(b <= a for a, b in zip(grid, grid[1:])):
         raise ValueError("a grid needs at least one date, in strictly ascending order")

@@ -19,6 +19,7 @@ LARGE_SERIES_ROWS = 5_000_000
 # A large series also holds more than 1/10,000 of all rows, so there are fewer than 10,000.
 MAX_LARGE_SERIES = 10_000
 CUTS_PER_SERIES = 256
+COARSE_STEP = 16
 
 
 def quantile_name(p: float) -> str:
@@ -32,19 +33,29 @@ def _small_series(values: DataFrame, keys: list[str], probs: Sequence[float]) ->
 
 
 def _large_series(values: DataFrame, large: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    distinct = values.join(F.broadcast(large), keys).groupBy(*keys, "_v").agg(
-        F.count(F.lit(1)).alias("_copies"), F.first("n_obs").alias("n_obs")
+    distinct = values.join(F.broadcast(large.select(*keys)), keys, "left_semi").groupBy(*keys, "_v").agg(
+        F.count(F.lit(1)).alias("_copies")
     )
     # Cut points: a sample of the distinct values chosen by their hash, so that every reading of
-    # the data yields the same bins. It only decides where to cut, no row is left out.
-    keep_one_in = F.greatest(F.lit(1), F.floor(F.col("n_obs") / CUTS_PER_SERIES)).cast("bigint")
-    sampled = distinct.where(F.pmod(F.xxhash64("_v"), keep_one_in) == 0)
-    cuts = sampled.groupBy(*keys).agg(F.sort_array(F.collect_set("_v")).alias("_cuts"))
-    bin_of = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))), F.lit(0))
+    # the data yields the same bins. It only decides where to cut, no row is left out. Testing
+    # the count keeps this branch's shuffle identical to the others', so Spark reuses one.
+    one_in = F.greatest(F.lit(1), F.floor(F.col("n_obs") / CUTS_PER_SERIES)).cast("bigint")
+    sampled = distinct.where(F.col("_copies") > 0).join(F.broadcast(large), keys).where(
+        F.pmod(F.xxhash64("_v"), one_in) == 0
+    )
+    sorted_cuts = sampled.groupBy(*keys).agg(F.sort_array(F.collect_set("_v")).alias("_cuts"))
+    cuts = sorted_cuts.withColumn("_coarse", F.expr(f"filter(_cuts, (c, i) -> i % {COARSE_STEP} = 0)"))
+    # number of cuts at or below the value: a coarse look first, then one stretch of the cuts
+    below_coarse = F.expr("size(filter(_coarse, c -> c <= _v))")
+    below_fine = F.expr(
+        f"size(filter(slice(_cuts, ({COARSE_STEP} * (_at - 1)) + 1, {COARSE_STEP}), c -> c <= _v))"
+        f" + {COARSE_STEP} * (_at - 1)"
+    )
     binned = (
-        distinct.join(F.broadcast(large.select(*keys).join(cuts, keys, "left")), keys)
-        .withColumn("_bin", bin_of)
-        .drop("_cuts")
+        distinct.join(F.broadcast(large.join(cuts, keys, "left")), keys)
+        .withColumn("_at", below_coarse)
+        .withColumn("_bin", F.when(F.col("_at") > 0, below_fine).otherwise(0))
+        .drop("_cuts", "_coarse", "_at")
     )
     totals = binned.groupBy(*keys, "_bin").agg(F.sum("_copies").alias("_in_bin"))
     ordered_bins = Window.partitionBy(*keys).orderBy("_bin")
