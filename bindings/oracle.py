@@ -153,7 +153,7 @@ def snapshot_needs(suffix: str = "") -> str:
 # ---- calibration and signal ----------------------------------------------------------------------
 
 
-def _thresholds(panel: str, minimum: int) -> str:
+def _thresholds(panel: str, minimum: int, keys: str = "entity") -> str:
     def quantile(indicator: str, p: float, floor: float | None) -> str:
         q = f"quantile_cont(value, {p}) FILTER (indicator = '{indicator}')"
         if floor is not None:
@@ -170,12 +170,13 @@ def _thresholds(panel: str, minimum: int) -> str:
         "cpi_peak": quantile("cpi_yoy", 0.9, 3.5),
     }
     columns = ", ".join(f"{e} AS {n}" for n, e in fields.items())
-    return f"""SELECT entity, {columns} FROM {panel}
-  WHERE indicator IN ('total_credit_pct_gdp', 'debt_service_ratio', 'cpi_yoy') GROUP BY entity"""
+    return f"""SELECT {keys}, {columns} FROM {panel}
+  WHERE indicator IN ('total_credit_pct_gdp', 'debt_service_ratio', 'cpi_yoy') GROUP BY {keys}"""
 
 
 cte("own", _thresholds("panel", 40))
-cte("own_lagged45", _thresholds("panel_lagged45", 40))
+cte("own_grid", _thresholds("(SELECT * FROM panel JOIN grid ON date <= as_of)", 40, "entity, as_of"))
+cte("own_grid45", _thresholds("(SELECT * FROM panel_lagged45 JOIN grid ON date <= as_of)", 40, "entity, as_of"))
 cte("own_customer", _thresholds("panel_customer", 40))
 cte("own_customer10", _thresholds("panel_customer", 10))
 
@@ -199,9 +200,9 @@ cte("signal_grid45", zscore("entity, as_of", """(SELECT p.*, as_of FROM panel_la
 _FILLED = ", ".join(f"coalesce(t.{n}, {d}::DOUBLE) AS {n}" for n, d in THRESHOLDS.items())
 
 
-def _inputs(name: str, features: str, own: str | None, signal: str | None, signal_on: str) -> None:
+def _inputs(name: str, features: str, own: str | None, signal: str | None, signal_on: str, own_on: str = "entity") -> None:
     fields = _FILLED if own else ", ".join(f"{d}::DOUBLE AS {n}" for n, d in THRESHOLDS.items())
-    joins = f" LEFT JOIN {own} t ON t.entity = f.entity" if own else ""
+    joins = f" LEFT JOIN {own} t ON " + " AND ".join(f"t.{k} = f.{k}" for k in own_on.split()) if own else ""
     z = "NULL::DOUBLE AS hy_spread_z"
     if signal:
         z = "s.z AS hy_spread_z"
@@ -211,7 +212,7 @@ def _inputs(name: str, features: str, own: str | None, signal: str | None, signa
 
 _inputs("inputs", "features", "own", "signal_today", "entity")
 _inputs("inputs_pit_rules", "features", "own", "signal_grid", "entity as_of")
-_inputs("inputs_pit", "features_pit", "own_lagged45", "signal_grid45", "entity as_of")
+_inputs("inputs_pit", "features_pit", "own_grid45", "signal_grid45", "entity as_of", "entity as_of")
 _inputs("inputs_custq", "features_custq", "own_customer", None, "")
 _inputs("inputs_default", "features_one", None, None, "")
 _inputs("inputs_one", "features_one", "own", "signal_today", "entity")
@@ -305,7 +306,7 @@ def decided_needs(suffix: str) -> str:
     before = {
         "": f"{snapshot_needs()} own signal_today inputs",
         "_rules": f"{snapshot_needs()} own signal_grid inputs_pit_rules",
-        "_pit": f"{snapshot_needs('_pit')} own_lagged45 signal_grid45 inputs_pit",
+        "_pit": f"{snapshot_needs('_pit')} own_grid45 signal_grid45 inputs_pit",
         "_custq": f"{snapshot_needs('_custq')} own_customer inputs_custq",
         "_default": f"{snapshot_needs('_one')} inputs_default",
         "_one": f"{snapshot_needs('_one')} own signal_today inputs_one",
@@ -514,13 +515,16 @@ ask("member_to_bloc", "", f"""SELECT map_iso3, CASE WHEN list_contains({_MEMBER_
   WHEN map_iso3 = 'N2' THEN 'CN' END AS basket_entity FROM (SELECT {_EXPANDED} AS map_iso3 FROM nation)""")
 
 
-def _quantiles(source: str) -> str:
+def _quantiles(source: str, keys: str = "entity, indicator") -> str:
     fields = ", ".join(r6(f"CASE WHEN count(*) >= 40 THEN quantile_cont(value, {p}) END", f"q{round(p * 100)}") for p in (0.5, 0.75, 0.9, 0.95))
-    return f"SELECT entity, indicator, count(*) AS n_obs, {fields} FROM {source} GROUP BY 1, 2"
+    return f"SELECT {keys}, count(*) AS n_obs, {fields} FROM {source} GROUP BY 1, 2"
 
 
 ask("series_quantile_table", PANEL, _quantiles("panel"))
 ask("series_quantiles_large", "", _quantiles("(SELECT l_returnflag AS entity, 'price' AS indicator, l_extendedprice AS value FROM lineitem)"))
+ask("expanding_quantile_table", "daily", _quantiles("(SELECT * FROM daily JOIN (SELECT CAST(g AS DATE) AS as_of FROM "
+  "generate_series(DATE '1995-03-01', DATE '2001-12-01', INTERVAL 1 MONTH) t(g)) ON date <= as_of)", "entity, as_of"))
+ask("expanding_entity_thresholds", f"{PANEL} grid own_grid", f"SELECT entity, as_of, {', '.join(r6(n) for n in THRESHOLDS)} FROM own_grid")
 ask("entity_thresholds", f"{PANEL} own", f"SELECT entity, {', '.join(r6(n) for n in THRESHOLDS)} FROM own")
 ask("threshold_fallback", "wide_customer panel_customer own_customer10", f"""SELECT CAST(c_custkey AS VARCHAR) AS entity,
   {', '.join(r6(f'coalesce({n}, {d}::DOUBLE)', n) for n, d in THRESHOLDS.items())}

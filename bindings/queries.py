@@ -32,11 +32,11 @@ from panelcycle.functions.scalars import DERIVED_FEATURES
 from panelcycle.operators import audit, membership, series
 from panelcycle.operators.asof import asof_grid, asof_join, latest_at, with_anchor_lags
 from panelcycle.operators.canonical import canonical_panel, duplicate_keys
-from panelcycle.operators.quantiles import series_quantiles
+from panelcycle.operators.quantiles import expanding_quantiles, series_quantiles
 from panelcycle.operators.rules import LONG_TERM_RULES, SHORT_TERM_RULES
 from panelcycle.operators.signals import credit_signal, trailing_zscore, trailing_zscore_grid
 from panelcycle.operators.snapshot import feature_snapshots, with_derived_features
-from panelcycle.operators.thresholds import calibrated_thresholds, threshold_deltas, with_thresholds
+from panelcycle.operators.thresholds import calibrated_thresholds, expanding_thresholds, threshold_deltas, with_thresholds
 from panelcycle.operators.tilts import asset_tilts, explode_tilts, rank_long_tilts, top_tilts
 from panelcycle.operators.upsert import merge_observations, upsert_counts
 from panelcycle.operators.votes import cast_votes, long_votes
@@ -538,6 +538,20 @@ def entity_thresholds(spark, sf_dir):
     return found.select("entity", *[r6(n) for n in DEFAULT_THRESHOLDS])
 
 
+@query
+def expanding_quantile_table(spark, sf_dir):
+    """Monthly grid over daily series of three sources; the sources' rows all count."""
+    grid = date_grid(dt.date(1995, 3, 1), dt.date(2001, 12, 1), "M")
+    found = expanding_quantiles(daily_panel(spark, sf_dir), grid, CALIBRATION_QUANTILES, MIN_OBSERVATIONS)
+    return found.select("entity", "as_of", "n_obs", *[r6(f"q{q}") for q in (50, 75, 90, 95)])
+
+
+@query
+def expanding_entity_thresholds(spark, sf_dir):
+    found = expanding_thresholds(landed_panel(spark, sf_dir), grid_dates(), large_series_rows=None)
+    return found.select("entity", "as_of", *[r6(n) for n in DEFAULT_THRESHOLDS])
+
+
 @query
 def threshold_fallback(spark, sf_dir):
     """Customers mostly lack 40 months, so fields fall back one by one."""
@@ -648,10 +662,10 @@ def regime_replay(spark, sf_dir):
 
 @query
 def regime_replay_point_in_time(spark, sf_dir):
-    """The signal of each date, and rows seen 45 days after their period starts."""
+    """Thresholds and signal of each date, and rows seen 45 days after their period starts."""
     replayed = replay(
         landed_panel(spark, sf_dir), REPLAY_START, REPLAY_END, "Q", TODAY, nations(spark, sf_dir).select("entity"),
-        signal_asof="as_of", publication_lag_days=45, signal_entities=SIGNAL_ENTITIES, one_row_per_day=True,
+        calibration="expanding", signal_asof="as_of", publication_lag_days=45, signal_entities=SIGNAL_ENTITIES, one_row_per_day=True,
     )
     return _rounded_path(replayed)
 

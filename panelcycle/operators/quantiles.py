@@ -8,11 +8,13 @@ value bins, and only the bins that hold a wanted rank are ordered. Both ways are
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcycle.operators.asof import slot_of
 from panelcycle.schema import PANEL, PanelColumns, present
 
 LARGE_SERIES_ROWS = 5_000_000
@@ -122,3 +124,57 @@ def series_quantiles(
         both = _small_series(small_values, keys, probs).unionByName(_large_series(values, large, keys, probs))
     enough = F.col("n_obs") >= min_observations
     return both.select(*keys, "n_obs", *[F.when(enough, F.col(quantile_name(p))).alias(quantile_name(p)) for p in probs])
+
+
+def expanding_quantiles(
+    panel: DataFrame,
+    grid: Sequence[dt.date],
+    probs: Sequence[float],
+    min_observations: int = 1,
+    large_series_rows: int | None = LARGE_SERIES_ROWS,
+    cols: PanelColumns = PANEL,
+) -> DataFrame:
+    """Quantiles of every series as they stood on each grid date, over the rows up to that date.
+
+    Rows are walked once per series in slot order. The rows of a slot are peers of one growing
+    frame, so the quantiles are evaluated once per slot with news, never once per row, and then
+    hold until the next such slot. A series too large for one task has its rows repeated for the
+    later dates instead, and every (series, date) goes through the large-series way.
+    """
+    keys = cols.series_key
+    usable = panel.where(present(F.col(cols.value))).select(*keys, cols.date, F.col(cols.value).alias("_v"))
+    values = slot_of(usable, grid, cols).select(*keys, "_v", "slot")
+    if large_series_rows is None:
+        walked, repeated = values, None
+    else:
+        sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"))
+        all_rows = sizes.agg(F.sum("n_obs")).scalar()
+        large = sizes.where(
+            (F.col("n_obs") >= large_series_rows) & (F.col("n_obs") * MAX_LARGE_SERIES > all_rows)
+        ).select(*keys)
+        walked = values.join(F.broadcast(large), keys, "left_anti")
+        repeated = values.join(F.broadcast(large), keys, "left_semi")
+
+    so_far = Window.partitionBy(*keys).orderBy("slot")
+    last = len(grid) - 1
+    held = (
+        walked.select(
+            *keys, "slot",
+            F.count(F.lit(1)).over(so_far).alias("n_obs"),
+            F.percentile("_v", [float(p) for p in probs]).over(so_far).alias("_q"),
+            F.lead("slot").over(so_far).alias("_next"),
+        )
+        # the last of a slot's rows stands for the slot
+        .where(F.col("_next").isNull() | (F.col("_next") > F.col("slot")))
+        .withColumn("slot", F.explode(F.sequence("slot", F.coalesce(F.col("_next") - 1, F.lit(last)))))
+    )
+    names = [quantile_name(p) for p in probs]
+    enough = F.col("n_obs") >= min_observations
+    found = held.select(*keys, "slot", "n_obs", *[F.when(enough, F.col("_q")[i]).alias(n) for i, n in enumerate(names)])
+    if repeated is not None:
+        later = repeated.select(*keys, F.col("_v").alias(cols.value), F.explode(F.sequence("slot", F.lit(last))).alias("slot"))
+        found = found.unionByName(
+            series_quantiles(later, probs, min_observations, [*keys, "slot"], large_series_rows, cols)
+        )
+    dates = F.array(*[F.lit(d) for d in grid])
+    return found.select(*keys, F.element_at(dates, F.col("slot") + 1).alias("as_of"), "n_obs", *names)

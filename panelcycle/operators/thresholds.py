@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import datetime as dt
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,24 +14,15 @@ from panelcycle.catalog.thresholds import (
     MIN_OBSERVATIONS,
     THRESHOLD_QUANTILES,
 )
-from panelcycle.operators.quantiles import LARGE_SERIES_ROWS, quantile_name, series_quantiles
+from panelcycle.operators.quantiles import LARGE_SERIES_ROWS, expanding_quantiles, quantile_name, series_quantiles
 from panelcycle.schema import PANEL, PanelColumns
 
 
-def calibrated_thresholds(
-    panel: DataFrame,
-    min_observations: int = MIN_OBSERVATIONS,
-    large_series_rows: int | None = LARGE_SERIES_ROWS,
-    extra_keys: tuple[str, ...] = (),
-    cols: PanelColumns = PANEL,
-) -> DataFrame:
-    """One row per entity; a field is NULL where its series is too short to calibrate."""
-    used = sorted({indicator for indicator, _, _ in THRESHOLD_QUANTILES.values()})
-    history = panel.where(F.col(cols.indicator).isin(used))
-    quantiles = series_quantiles(
-        history, CALIBRATION_QUANTILES, min_observations,
-        [cols.entity, *extra_keys, cols.indicator], large_series_rows, cols,
-    )
+CALIBRATED_INDICATORS = tuple(sorted({indicator for indicator, _, _ in THRESHOLD_QUANTILES.values()}))
+
+
+def _assemble(quantiles: DataFrame, keys: list[str], cols: PanelColumns) -> DataFrame:
+    """Quantiles per series to one row of thresholds per key."""
 
     # the floor only lifts a known quantile: greatest() alone would turn NULL into the floor
     def field(indicator: str, p: float, floor: float | None) -> str:
@@ -38,11 +30,36 @@ def calibrated_thresholds(
         lifted = q if floor is None else f"CASE WHEN {q} IS NOT NULL THEN greatest({q}, {floor}D) END"
         return f"max({lifted}) FILTER (WHERE `{cols.indicator}` = '{indicator}')"
 
-    return quantiles.groupBy(cols.entity, *extra_keys).agg(
+    return quantiles.groupBy(*keys).agg(
         *[F.expr(f"{field(*spec)} AS {name}") for name, spec in THRESHOLD_QUANTILES.items()]
     )
 
 
+def calibrated_thresholds(
+    panel: DataFrame,
+    min_observations: int = MIN_OBSERVATIONS,
+    large_series_rows: int | None = LARGE_SERIES_ROWS,
+    cols: PanelColumns = PANEL,
+) -> DataFrame:
+    """One row per entity over its full history; a field is NULL where its series is too short."""
+    history = panel.where(F.col(cols.indicator).isin(list(CALIBRATED_INDICATORS)))
+    quantiles = series_quantiles(history, CALIBRATION_QUANTILES, min_observations, cols.series_key, large_series_rows, cols)
+    return _assemble(quantiles, [cols.entity], cols)
+
+
+def expanding_thresholds(
+    panel: DataFrame,
+    grid: Sequence[dt.date],
+    min_observations: int = MIN_OBSERVATIONS,
+    large_series_rows: int | None = LARGE_SERIES_ROWS,
+    cols: PanelColumns = PANEL,
+) -> DataFrame:
+    """One row per entity and grid date, over the history up to that date."""
+    history = panel.where(F.col(cols.indicator).isin(list(CALIBRATED_INDICATORS)))
+    quantiles = expanding_quantiles(history, grid, CALIBRATION_QUANTILES, min_observations, large_series_rows, cols)
+    return _assemble(quantiles, [cols.entity, "as_of"], cols)
+
+
 def with_thresholds(
     rows: DataFrame,
     thresholds: DataFrame | Mapping[str, float] | None,

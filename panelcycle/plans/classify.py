@@ -17,7 +17,7 @@ from panelcycle.operators.quantiles import LARGE_SERIES_ROWS
 from panelcycle.operators.rules import LONG_TERM_RULES, SHORT_TERM_RULES, Rule
 from panelcycle.operators.signals import credit_signal
 from panelcycle.operators.snapshot import feature_snapshots, with_derived_features
-from panelcycle.operators.thresholds import calibrated_thresholds, with_thresholds
+from panelcycle.operators.thresholds import calibrated_thresholds, expanding_thresholds, with_thresholds
 from panelcycle.operators.votes import cast_votes, decide
 from panelcycle.schema import PANEL, PanelColumns
 
@@ -60,8 +60,8 @@ def classify(
 ) -> DataFrame:
     """Both classifications of every entity on every grid date.
 
-    ``thresholds``: ``"calibrated"`` derives them from each entity's full history; a frame or a
-    mapping is used as given; None means the defaults. ``signal_asof``: ``"today"`` gives every
+    ``thresholds``: ``"calibrated"`` derives them from each entity's full history, ``"expanding"``
+    from its history up to each date; a frame or a mapping is used as given; None means the defaults. ``signal_asof``: ``"today"`` gives every
     date the score as of ``today`` (default: last grid date), ``"as_of"`` the score of that date,
     ``"none"`` no signal. Series never cross an entity, so the job scales with entities.
     """
@@ -76,10 +76,17 @@ def classify(
         signal, on = None, []
     else:
         raise ValueError(f"signal_asof must be 'today', 'as_of' or 'none', not {signal_asof!r}")
-    if thresholds == "calibrated":
-        limit = None if one_row_per_day else LARGE_SERIES_ROWS
-        thresholds = calibrated_thresholds(panel, large_series_rows=limit, cols=cols)
+    threshold_keys = (cols.entity,)
+    limit = None if one_row_per_day else LARGE_SERIES_ROWS
+    if isinstance(thresholds, str):
+        if thresholds == "calibrated":
+            thresholds = calibrated_thresholds(panel, large_series_rows=limit, cols=cols)
+        elif thresholds == "expanding":
+            thresholds = expanding_thresholds(panel, grid, large_series_rows=limit, cols=cols)
+            threshold_keys = (cols.entity, "as_of")
+        else:
+            raise ValueError(f"thresholds must be 'calibrated' or 'expanding' when a word, not {thresholds!r}")
     features = with_thresholds(
-        with_derived_features(attach_signal(snapshots, signal, on)), thresholds, (cols.entity,)
+        with_derived_features(attach_signal(snapshots, signal, on)), thresholds, threshold_keys
     )
     return classify_long_term(classify_short_term(features, with_reasons=with_reasons), with_reasons=with_reasons)

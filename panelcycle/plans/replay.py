@@ -13,6 +13,7 @@ from panelcycle.schema import PANEL, PanelColumns
 
 # Months per step; an unknown step counts as a quarter.
 STEP_MONTHS: dict[str, int] = {"M": 1, "Q": 3, "Y": 12}
+CALIBRATIONS = {"full": "calibrated", "expanding": "expanding"}
 REPLAY_COLUMNS = ("st_stage", "st_label", "st_confidence", "lt_phase", "lt_label", "lt_confidence")
 
 
@@ -38,6 +39,7 @@ def replay(
     step: str = "Q",
     today: dt.date | None = None,
     entities: DataFrame | None = None,
+    calibration: str = "full",
     signal_asof: str = "today",
     publication_lag_days: int = 0,
     cols: PanelColumns = PANEL,
@@ -46,12 +48,15 @@ def replay(
     """One row per entity and grid date: stage, phase, labels and confidences.
 
     By default thresholds see the full history and the credit signal is today's, as documented
-    in the README; ``signal_asof="as_of"`` and ``publication_lag_days`` make a replay see only
-    what was known. Entities listed without data get "insufficient data" rows.
+    in the README; ``calibration="expanding"``, ``signal_asof="as_of"`` and
+    ``publication_lag_days`` make a replay see only what was known. Entities listed without data get "insufficient data" rows.
     """
     grid = date_grid(start, end, step)
     if not grid:
         raise ValueError("the replay's end lies before its start")
+    if calibration not in CALIBRATIONS:
+        raise ValueError(f"calibration must be one of {sorted(CALIBRATIONS)}, not {calibration!r}")
+    options.setdefault("thresholds", CALIBRATIONS[calibration])
     if publication_lag_days:
         panel = panel.withColumn(cols.date, F.date_add(cols.date, publication_lag_days))
     classified = classify(panel, grid, today, entities, signal_asof=signal_asof, with_reasons=False, cols=cols, **options)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from panelcycle.catalog.thresholds import CALIBRATION_QUANTILES, DEFAULT_THRESHOLDS
-from panelcycle.operators.quantiles import series_quantiles
+from panelcycle.operators.quantiles import expanding_quantiles, series_quantiles
 from panelcycle.operators.signals import credit_signal, trailing_zscore, trailing_zscore_grid
 from panelcycle.operators.thresholds import calibrated_thresholds, threshold_deltas, with_thresholds
 from tests.conftest import months
@@ -88,3 +88,19 @@ def test_window_start_and_point_in_time(panel_of):
         seen = panel.where(f"date <= DATE '{day}'")
         alone = trailing_zscore(seen, day).first()
         assert on_grid[day].n_obs == alone.n_obs and on_grid[day].z == pytest.approx(alone.z)
+
+
+@pytest.mark.parametrize("limit", [None, 10**9, 60])
+def test_expanding_quantiles_see_no_later_row(panel_of, limit):
+    """Two sources a month; on each date the answer is that of the rows up to it."""
+    rng = random.Random(5)
+    days = months("2000-01-01", 60)
+    rows = [("A", "x", d, rng.random(), s) for d in days for s in ("S", "T")] + [("B", "x", d, float(i)) for i, d in enumerate(days[:20])]
+    grid = [dt.date(1999, 1, 1), dt.date(2000, 6, 15), dt.date(2000, 6, 20), dt.date(2002, 1, 1), dt.date(2010, 1, 1)]
+    found = {(r.entity, r.as_of): r for r in expanding_quantiles(panel_of(rows), grid, (0.5, 0.9), 12, limit).collect()}
+    assert len(found) == 8
+    for (entity, as_of), row in found.items():
+        seen = [v for e, _, d, v, *_ in rows if e == entity and d <= as_of]
+        assert row.n_obs == len(seen)
+        expected = list(np.quantile(seen, (0.5, 0.9))) if len(seen) >= 12 else [None, None]
+        assert [row.q50, row.q90] == (pytest.approx(expected) if len(seen) >= 12 else expected)
