@@ -6,14 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def sentence(template: str, *values: Column) -> Column:
-    return F.format_string(template, *values)
-
-
-def percent(share: Column) -> Column:
-    return F.format_string("%.0f%%", share * 100)
-
-
 def joined(parts: list[Column], separator: str = " · ") -> Column:
     """Join the parts that are present; missing ones leave no trace."""
     return F.concat_ws(separator, *parts)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcycle.operators.canonical import canonical_panel, recency
@@ -62,8 +62,8 @@ def grid_calendar(df: DataFrame, grid: Sequence[dt.date]) -> DataFrame:
     )
 
 
-def slot_of(df: DataFrame, grid: Sequence[dt.date], cols: PanelColumns = PANEL) -> DataFrame:
-    """Add the index of the first grid date at or after each row; later rows are dropped.
+def with_slot(df: DataFrame, date: Column, grid: Sequence[dt.date], name: str = "slot") -> DataFrame:
+    """Add the index of the first grid date at or after ``date``; ``len(grid)`` if there is none.
 
     The calendar is broadcast: its size is known here, one row per day of the grid's span, and
     ``date`` itself ends it at 3.7 million rows (years 1 to 9999).
@@ -71,12 +71,21 @@ def slot_of(df: DataFrame, grid: Sequence[dt.date], cols: PanelColumns = PANEL)
     grid = list(grid)
     if not grid or any(b <= a for a, b in zip(grid, grid[1:])):
         raise ValueError("a grid needs at least one date, in strictly ascending order")
-    seen = df.where(F.col(cols.date) <= F.lit(grid[-1]))
+    ends = F.when(date <= F.lit(grid[0]), 0).when(date > F.lit(grid[-1]), len(grid))
     if len(grid) == 1:
-        return seen.withColumn("slot", F.lit(0))
-    calendar = F.broadcast(grid_calendar(df, grid))
-    matched = seen.join(calendar, seen[cols.date] == calendar["_day"], "left")
-    return matched.withColumn("slot", F.coalesce("slot", F.lit(0))).drop("_day")
+        return df.withColumn(name, ends)
+    calendar = F.broadcast(grid_calendar(df, grid).withColumnRenamed("slot", "_slot"))
+    return (
+        df.withColumn("_at", date)
+        .join(calendar, F.col("_at") == F.col("_day"), "left")
+        .withColumn(name, F.coalesce(F.col("_slot"), ends))
+        .drop("_at", "_day", "_slot")
+    )
+
+
+def slot_of(df: DataFrame, grid: Sequence[dt.date], cols: PanelColumns = PANEL) -> DataFrame:
+    """``with_slot`` on the panel's date, without the rows no grid date sees."""
+    return with_slot(df.where(F.col(cols.date) <= F.lit(grid[-1])), F.col(cols.date), grid)
 
 
 def newest_per_slot(observations: DataFrame, grid: Sequence[dt.date], cols: PanelColumns = PANEL) -> DataFrame:

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from panelcycle.schema import PANEL, PanelColumns
 
+# Ranks: listed sources below _UNLISTED, hashed ones between it and _RANKS.
 _UNLISTED = 1 << 20
+_RANKS = 1 << 40
 
 
 def source_rank(source: Column, priority: Sequence[str] = ()) -> Column:
     """Listed sources first, in list order; the others follow in a fixed, arbitrary order."""
-    unlisted = F.lit(_UNLISTED) + F.pmod(F.xxhash64(source), F.lit(1 << 40))
+    unlisted = F.lit(_UNLISTED) + F.pmod(F.xxhash64(source), F.lit(_RANKS - _UNLISTED))
     rank: Column | None = None
     for position, name in enumerate(priority):
         here = F.lit(position).cast("bigint")
@@ -40,15 +42,11 @@ def canonical_panel(panel: DataFrame, priority: Sequence[str] = (), cols: PanelC
 
 
 def recency(date: Column, source: Column, priority: Sequence[str] = ()) -> Column:
-    """A long that orders rows by date and, within a day, by source priority (best is largest).
+    """A long that orders rows by date and, within a day, by source rank (best is largest).
 
-    2**21 ranks per day; unlisted sources share the hash range above the listed ones.
+    Days of the years 1 to 9999 need 23 bits with sign, ranks 40, so both fit.
     """
-    span = 1 << 21
-    rank: Column = F.lit(_UNLISTED) + F.pmod(F.xxhash64(source), F.lit(_UNLISTED))
-    for position in reversed(range(len(priority))):
-        rank = F.when(source == priority[position], F.lit(position).cast("bigint")).otherwise(rank)
-    return F.unix_date(date).cast("bigint") * span - rank
+    return F.unix_date(date).cast("bigint") * _RANKS - source_rank(source, priority)
 
 
 def duplicate_keys(panel: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:

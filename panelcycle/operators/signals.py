@@ -5,26 +5,19 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcycle.catalog.entities import SIGNAL_ENTITIES
 from panelcycle.catalog.indicators import SIGNAL_INDICATOR, SIGNAL_WINDOW_DAYS
 from panelcycle.catalog.thresholds import MIN_OBSERVATIONS
+from panelcycle.operators.asof import with_slot
 from panelcycle.operators.canonical import recency
 from panelcycle.schema import PANEL, PanelColumns
 
 
-def _score(grouped, min_observations: int) -> DataFrame:
-    """latest and z from one combined aggregate; every buffer is a primitive."""
-    stats = grouped.agg(
-        F.count(F.lit(1)).alias("n_obs"),
-        F.max_by("_v", "_recency").alias("_latest"),
-        F.avg("_v").alias("_mean"),
-        F.stddev_pop("_v").alias("_std"),
-        F.min("_v").alias("_low"),
-        F.max("_v").alias("_high"),
-    )
+def _finish(stats: DataFrame, min_observations: int) -> DataFrame:
+    """``latest`` and ``z`` from the window's count, newest value, mean, deviation and extremes."""
     enough = F.col("n_obs") >= min_observations
     # a constant window scores 0; min = max is exact where a computed deviation may not be 0
     z = F.when(F.col("_low") == F.col("_high"), F.lit(0.0)).otherwise(
@@ -43,14 +36,25 @@ def trailing_zscore(
     priority: Sequence[str] = (),
     cols: PanelColumns = PANEL,
 ) -> DataFrame:
-    """z of the newest value against the rows since ``today - window_days``, per series."""
+    """z of the newest value against the rows since ``today - window_days``, per series.
+
+    One combined aggregate; every buffer is a primitive.
+    """
     start = today - dt.timedelta(days=window_days)
     recent = panel.where(F.col(cols.date) >= F.lit(start)).select(
         *cols.series_key,
         F.col(cols.value).alias("_v"),
         recency(F.col(cols.date), F.col(cols.source), priority).alias("_recency"),
     )
-    return _score(recent.groupBy(*cols.series_key), min_observations)
+    stats = recent.groupBy(*cols.series_key).agg(
+        F.count(F.lit(1)).alias("n_obs"),
+        F.max_by("_v", "_recency").alias("_latest"),
+        F.avg("_v").alias("_mean"),
+        F.stddev_pop("_v").alias("_std"),
+        F.min("_v").alias("_low"),
+        F.max("_v").alias("_high"),
+    )
+    return _finish(stats, min_observations)
 
 
 def trailing_zscore_grid(
@@ -63,25 +67,54 @@ def trailing_zscore_grid(
 ) -> DataFrame:
     """The same score as it stood on each grid date, seeing nothing later than that date.
 
-    A row is repeated for the grid dates whose window holds it; the repetition is consumed by the
-    combined aggregate of the same task and only (series, date) sums are shuffled.
+    A row belongs to the dates from the first that sees it to the last whose window still holds
+    it. Rows with the same first and last date form a block, at most two per grid date and
+    series; only the blocks' moments are repeated over their dates and merged.
     """
-    dates = F.array(*[F.lit(d) for d in grid])
-    seen_on = F.filter(
-        dates, lambda g: (g >= F.col(cols.date)) & (F.date_sub(g, window_days) <= F.col(cols.date))
-    )
-    repeated = panel.where(F.col(cols.date) <= F.lit(grid[-1])).select(
-        *cols.series_key,
+    dated = panel.where(F.col(cols.date) <= F.lit(grid[-1])).select(
+        *cols.series_key, cols.date,
         F.col(cols.value).alias("_v"),
         recency(F.col(cols.date), F.col(cols.source), priority).alias("_recency"),
-        F.explode(seen_on).alias("as_of"),
     )
-    return _score(repeated.groupBy(*cols.series_key, "as_of"), min_observations)
-
-
-def gate(entity: Column, value: Column, enabled: Sequence[str]) -> Column:
-    """The value for listed entities, NULL for all others."""
-    return F.when(entity.isin(list(enabled)), value)
+    entered = with_slot(dated, F.col(cols.date), grid, "_first")
+    bounded = with_slot(entered, F.date_add(cols.date, window_days + 1), grid, "_after")
+    blocks = (
+        bounded.where(F.col("_first") < F.col("_after"))
+        .groupBy(*cols.series_key, "_first", "_after")
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.avg("_v").alias("_m"),
+            F.var_pop("_v").alias("_var"),
+            F.min("_v").alias("_low"),
+            F.max("_v").alias("_high"),
+            F.max_by("_v", "_recency").alias("_latest"),
+            F.max("_recency").alias("_recency"),
+        )
+    )
+    n, mean = F.col("_n"), F.col("_m")
+    merged = (
+        blocks.withColumn("_slot", F.explode(F.sequence("_first", F.col("_after") - 1)))
+        .groupBy(*cols.series_key, "_slot")
+        .agg(
+            F.sum(n).alias("n_obs"),
+            F.max_by("_latest", "_recency").alias("_latest"),
+            (F.sum(n * mean) / F.sum(n)).alias("_mean"),
+            # spread inside the blocks plus spread between their means
+            F.sum(n * F.col("_var")).alias("_within"),
+            F.sum(n * mean * mean).alias("_raw"),
+            F.min("_low").alias("_low"),
+            F.max("_high").alias("_high"),
+        )
+    )
+    between = F.greatest(F.col("_raw") - F.col("n_obs") * F.col("_mean") * F.col("_mean"), F.lit(0.0))
+    dates = F.array(*[F.lit(d) for d in grid])
+    stats = merged.withColumns(
+        {
+            "as_of": F.element_at(dates, F.col("_slot") + 1),
+            "_std": F.sqrt((F.col("_within") + between) / F.col("n_obs")),
+        }
+    ).drop("_slot", "_within", "_raw")
+    return _finish(stats, min_observations)
 
 
 def credit_signal(
@@ -94,6 +127,8 @@ def credit_signal(
 ) -> DataFrame:
     """Credit-spread level and z-score of the enabled entities, as columns of a snapshot.
 
+    Only the listed entities have the signal; their names filter the scan.
+
     With ``today`` one row per entity; with ``grid`` one row per entity and date.
     """
     spread = panel.where(

@@ -35,16 +35,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
-    if current is not None:
+    if current is not None and (not configured or configured.rstrip("/") in current):
         return current
-    if configured:
-        context.setCheckpointDir(configured)
-        return configured
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
-    fallback = tempfile.mkdtemp(prefix="panelcycle-checkpoint-")
-    context.setCheckpointDir(fallback)
-    return fallback
+    if not configured:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
+        configured = tempfile.mkdtemp(prefix="panelcycle-checkpoint-")
+    context.setCheckpointDir(configured)
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:

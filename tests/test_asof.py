@@ -65,6 +65,9 @@ def test_same_day_sources_follow_the_priority(panel_of):
         assert latest_at(panel, D, priority).first().value == value
         assert canonical_panel(panel, priority).where(F.col("date") == F.lit(D)).first().value == value
         assert asof_grid(panel, [D], priority=priority).first().value == value
+    picks = {latest_at(panel, D).first().value, asof_grid(panel, [D]).first().value,
+             canonical_panel(panel).where(F.col("date") == F.lit(D)).first().value}
+    assert len(picks) == 1  # unlisted sources: arbitrary, but everywhere the same
     assert duplicate_keys(panel).count() == 0
     assert duplicate_keys(panel.unionByName(panel)).count() == 4
 
@@ -126,6 +129,12 @@ def test_row_order_and_partitions_do_not_matter(random_panel):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_extreme_dates_keep_their_order(panel_of):
+    panel = panel_of([("A", "x", "0001-01-01", 1.0), ("A", "x", "9999-12-31", 2.0), ("A", "x", "1970-01-01", 3.0)])
+    assert latest_at(panel, dt.date(9999, 12, 31)).first().value == 2.0
+    assert latest_at(panel, dt.date(1969, 12, 31)).first().value == 1.0
+
+
 def test_grid_must_ascend(random_panel):
     with pytest.raises(ValueError):
         asof_grid(random_panel, [D, ago(1)])
