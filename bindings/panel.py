@@ -32,7 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hundredths(column: str) -> Column:
-    return F.round(F.col(column) * 100).cast("bigint")
+    """Whole hundredths of a two-decimal amount; rint stays in primitive doubles, round does not."""
+    return F.rint(F.col(column) * 100).cast("bigint")
 
 
 def _order_keys(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:

@@ -18,10 +18,14 @@ from panelcycle.operators.asof import slot_of
 from panelcycle.schema import PANEL, PanelColumns, present
 
 LARGE_SERIES_ROWS = 5_000_000
-# A large series also holds more than 1/10,000 of all rows, so there are fewer than 10,000.
-MAX_LARGE_SERIES = 10_000
-CUTS_PER_SERIES = 256
-COARSE_STEP = 16
+# A large series also holds more than 1/200,000 of all rows, so there are fewer than 200,000 and
+# their list can be broadcast whatever the panel's size. At 10**12 rows that is 5 million rows.
+MAX_LARGE_SERIES = 200_000
+# Bins of about a million distinct values, 16 to 4,096 per series. All cut points together are
+# fewer than rows / 10**6 + 16 per large series: tens of megabytes at 10**12 rows.
+ROWS_PER_CUT = 1_000_000
+FEWEST_CUTS, MOST_CUTS = 16, 4_096
+COARSE_STEP = 64
 
 
 def quantile_name(p: float) -> str:
@@ -41,7 +45,8 @@ def _large_series(values: DataFrame, large: DataFrame, keys: list[str], probs: S
     # Cut points: a sample of the distinct values chosen by their hash, so that every reading of
     # the data yields the same bins. It only decides where to cut, no row is left out. Testing
     # the count keeps this branch's shuffle identical to the others', so Spark reuses one.
-    one_in = F.greatest(F.lit(1), F.floor(F.col("n_obs") / CUTS_PER_SERIES)).cast("bigint")
+    wanted_cuts = F.least(F.lit(MOST_CUTS), F.greatest(F.lit(FEWEST_CUTS), F.floor(F.col("n_obs") / ROWS_PER_CUT)))
+    one_in = F.greatest(F.lit(1), F.floor(F.col("n_obs") / wanted_cuts)).cast("bigint")
     sampled = distinct.where(F.col("_copies") > 0).join(F.broadcast(large), keys).where(
         F.pmod(F.xxhash64("_v"), one_in) == 0
     )
@@ -74,10 +79,10 @@ def _large_series(values: DataFrame, large: DataFrame, keys: list[str], probs: S
     for rank in ranks[1:]:
         hit = hit | holds(rank, "_before", "_in_bin")
     wanted_bins = wanted_bins.where(hit).select(*keys, "_bin", "_before")
-    # At most 2 * len(probs) bins per large series: bounded like the list of large series.
+    # Joined on the bin, which is also what the window partitions by; a bin is small by design.
     in_order = Window.partitionBy(*keys, "_bin").orderBy("_v")
     ranked = (
-        binned.join(F.broadcast(wanted_bins), [*keys, "_bin"])
+        binned.join(wanted_bins, [*keys, "_bin"])
         .withColumn("_start", F.col("_before") + F.sum("_copies").over(in_order) - F.col("_copies"))
     )
     edges = ranked.groupBy(*keys).agg(

@@ -29,6 +29,11 @@ def text(template: str, *values: str) -> str:
     return f"format_string({', '.join([repr(template), *values])})"
 
 
+def either(condition: str, then: str, otherwise: str) -> str:
+    """One of two texts; an unknown condition takes the second."""
+    return f"CASE WHEN {condition} THEN {then} ELSE {otherwise} END"
+
+
 # Feature columns of the short cycle.
 _GROWTH, _CPI, _SLOPE = "real_gdp_yoy", "cpi_yoy", "yield_curve_slope"
 _JOBLESS, _CPI_CHANGE, _RATE_CHANGE = "unemployment_change_3m", "cpi_change_3m", "policy_rate_change_6m"
@@ -46,21 +51,27 @@ SHORT_TERM_RULES: tuple[Rule, ...] = (
     Rule("curve_inverted", 3, case((f"{_SLOPE} < 0D", 0.4)), text("yield curve inverted at %.2fpp", _SLOPE)),
     Rule("inflation_level", 2,
          case(("cpi_yoy > cpi_peak", 1.0), (f"{_HOT} AND {_RATE_CHANGE} > 0.5D", 0.9), (_HOT, 0.5)),
-         text("inflation %.2f%% against lines at %.1f%% and %.1f%%", _CPI, "cpi_elevated", "cpi_peak")),
+         either("cpi_yoy > cpi_peak", text("inflation %.2f%% over its peak line of %.1f%%", _CPI, "cpi_peak"),
+                either(f"{_RATE_CHANGE} > 0.5D",
+                       text("inflation %.2f%% over %.1f%% while the policy rate moved %+.2fpp in 6 months",
+                            _CPI, "cpi_elevated", _RATE_CHANGE),
+                       text("inflation %.2f%% over %.1f%%", _CPI, "cpi_elevated")))),
     Rule("inflation_accelerating", 2,
          case((f"{_CPI_CHANGE} > 0.5D AND cpi_yoy > greatest(cpi_elevated - 0.5D, 2.0D)", 0.4)),
          text("inflation accelerating %+.2fpp in 3 months to %.2f%%", _CPI_CHANGE, _CPI)),
     Rule("policy_cut", 4,
          case((f"{_STRONG_CUT} AND cpi_yoy < 4D", 1.0), (_STRONG_CUT, 0.6),
               (f"{_MODERATE_CUT} AND cpi_yoy < 4D", 0.6), (_MODERATE_CUT, 0.4)),
-         text("policy rate cut %.2fpp in 6 months", _RATE_CHANGE)),
+         either("cpi_yoy < 4D", text("policy rate cut %.2fpp in 6 months with inflation at %.2f%%", _RATE_CHANGE, _CPI),
+                text("policy rate cut %.2fpp in 6 months", _RATE_CHANGE))),
     Rule("inflation_falling", 4, case((f"{_CPI_CHANGE} < -0.3D", 0.4)),
          text("inflation easing %.2fpp in 3 months", _CPI_CHANGE)),
     # an unknown change in unemployment does not contradict an expansion
     Rule("healthy_growth", 1,
          case((f"{_HEALTHY} AND {_JOBLESS} <= 0.1D", 1.0),
               (f"{_HEALTHY} AND NOT coalesce({_JOBLESS} > 0.3D, false)", 0.6)),
-         text("growth %.2f%% with inflation %.2f%%", _GROWTH, _CPI)),
+         either(f"{_JOBLESS} <= 0.1D", text("growth %.2f%%, inflation %.2f%%, unemployment not rising", _GROWTH, _CPI),
+                text("growth %.2f%% with inflation %.2f%%", _GROWTH, _CPI))),
     Rule("curve_steep", 1, case((f"{_SLOPE} > 1D", 0.3)), text("yield curve steep at %.2fpp", _SLOPE)),
 )
 
@@ -76,16 +87,22 @@ _REPRESSED = f"{_REAL} < -1D AND {_DEBT} > 150D"
 LONG_TERM_RULES: tuple[Rule, ...] = (
     Rule("low_debt", 1, case((f"{_DEBT} < 100D", 1.0)), text("total debt %.0f%% below 100%%", _DEBT)),
     Rule("debt_outpacing", 2, case((f"{_MIDDLE} AND {_DEBT_CHANGE} > 5D", 1.0), (_MIDDLE, 0.4)),
-         text("total debt %.0f%% in the middle range", _DEBT)),
+         either(f"{_DEBT_CHANGE} > 5D", text("total debt %.0f%%, %+.0fpp in 5 years", _DEBT, _DEBT_CHANGE),
+                text("total debt %.0f%% in the middle range", _DEBT))),
     Rule("rapid_credit", 3,
          case((f"{_DEBT} >= 200D AND {_DEBT} < debt_extreme AND {_DEBT_CHANGE} > 15D", 1.0),
               (f"{_DEBT} >= debt_late_cycle_low AND {_DEBT} < debt_extreme", 0.5)),
-         text("total debt %.0f%% in the late-cycle zone up to %.0f%%", _DEBT, "debt_extreme")),
+         either(f"{_DEBT} >= 200D AND {_DEBT_CHANGE} > 15D",
+                text("total debt %.0f%% expanding fast, %+.0fpp in 5 years", _DEBT, _DEBT_CHANGE),
+                text("total debt %.0f%% in the late-cycle zone from %.0f%%", _DEBT, "debt_late_cycle_low"))),
     Rule("spread_tight", 3, case((f"{_SPREAD_Z} < -1.5D", 0.5)),
          text("credit spread unusually tight, z %+.2f", _SPREAD_Z)),
     Rule("extreme_debt", 4,
          case((f"{_DEBT} >= debt_extreme AND {_SERVICE} > dsr_stretched", 0.8), (f"{_DEBT} >= debt_extreme", 0.6)),
-         text("total debt %.0f%% at or over %.0f%%", _DEBT, "debt_extreme")),
+         either(f"{_SERVICE} > dsr_stretched",
+                text("total debt %.0f%% at or over %.0f%%, debt service %.1f%% over %.0f%%",
+                     _DEBT, "debt_extreme", _SERVICE, "dsr_stretched"),
+                text("total debt %.0f%% at or over %.0f%%", _DEBT, "debt_extreme"))),
     Rule("service_burden", 4, case((f"{_SERVICE} > dsr_distress AND {_DEBT} > debt_late_cycle_low", 0.7)),
          text("debt service %.1f%% over %.0f%% on debt of %.0f%%", _SERVICE, "dsr_distress", _DEBT)),
     Rule("spread_wide", 4, case((f"{_SPREAD_Z} > 2.0D", 0.4)),

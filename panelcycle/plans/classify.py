@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from panelcycle.catalog.entities import SIGNAL_ENTITIES
 from panelcycle.catalog.tilts import PHASE_LABELS, STAGE_LABELS
-from panelcycle.operators.quantiles import LARGE_SERIES_ROWS
 from panelcycle.operators.rules import LONG_TERM_RULES, SHORT_TERM_RULES, Rule
 from panelcycle.operators.signals import credit_signal
 from panelcycle.operators.snapshot import feature_snapshots, with_derived_features
@@ -77,12 +76,13 @@ def classify(
     else:
         raise ValueError(f"signal_asof must be 'today', 'as_of' or 'none', not {signal_asof!r}")
     threshold_keys = (cols.entity,)
-    limit = None if one_row_per_day else LARGE_SERIES_ROWS
+    # one row per day bounds a series by the calendar, so no way for larger ones is planned
+    limit = {"large_series_rows": None} if one_row_per_day else {}
     if isinstance(thresholds, str):
         if thresholds == "calibrated":
-            thresholds = calibrated_thresholds(panel, large_series_rows=limit, cols=cols)
+            thresholds = calibrated_thresholds(panel, **limit, cols=cols)
         elif thresholds == "expanding":
-            thresholds = expanding_thresholds(panel, grid, large_series_rows=limit, cols=cols)
+            thresholds = expanding_thresholds(panel, grid, **limit, cols=cols)
             threshold_keys = (cols.entity, "as_of")
         else:
             raise ValueError(f"thresholds must be 'calibrated' or 'expanding' when a word, not {thresholds!r}")
