@@ -1,7 +1,8 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Every query is consumed in full by the no-op sink. The panels are landed once, as their own
-entries; ``comparisons`` times the chosen plans against their obvious alternatives.
+entries. With BENCH_COMPARE=1, ``comparisons`` also times the chosen plans against their obvious
+alternatives (two more minutes).
 """
 
 from __future__ import annotations
@@ -63,7 +64,8 @@ def main() -> None:
         seconds[name] = timed(lambda: consume(QUERIES[name](spark, sf_dir)))
     nation, customer = landed_panel(spark, sf_dir), landed_panel(spark, sf_dir, "customer")
     comparisons = {}
-    for label, panel in (("nations", nation), ("customers", customer)):
+    wanted = os.environ.get("BENCH_COMPARE") == "1"
+    for label, panel in (("nations", nation), ("customers", customer)) if wanted else ():
         slots = timed(lambda: consume(asof_grid(panel, grid_dates(), one_row_per_day=True)))
         pairs = timed(lambda: consume(range_join_asof(panel, grid_dates())))
         comparisons[f"asof_{label}"] = {"slots": slots, "range_join": pairs}
