@@ -19,10 +19,12 @@ likeness and leaves equality, insertion and deletion as they are.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcycle.llm.tables import fresh_name
+from panelcycle.llm.tables import array_literal, fresh_name
 
 IDENTITY_HASHES = 4
 LANE_BITS = 20
@@ -42,6 +44,15 @@ def _total(values: Column, part) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, h: a + part(h))
 
 
+def _hashes(lines: Column, seed: int) -> Column:
+    return F.transform(lines, lambda line: F.xxhash64(F.lit(seed), line))
+
+
+def _lanes_at(hash_: Column, place: int) -> Column:
+    """Three bits of a hash as three lanes."""
+    return F.shiftrightunsigned(hash_, place).bitwiseAND(F.lit(LANES_SET))
+
+
 def with_fingerprint(frame: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``: struct (units, lanes: array of 28 longs); null text: empty text.
 
@@ -56,13 +67,12 @@ def with_fingerprint(frame: DataFrame, text: str, out: str) -> DataFrame:
     identity = []
     for seed in range(IDENTITY_HASHES):
         name = fresh_name(hashed, f"_hash{seed}")
-        hashed = hashed.withColumn(name, F.transform(F.col(lines), lambda p, seed=seed: F.xxhash64(F.lit(seed), p)))
+        hashed = hashed.withColumn(name, _hashes(F.col(lines), seed))
         identity.append(_total(F.col(name), lambda h: h.bitwiseAND(F.lit(LOW))).bitwiseAND(F.lit(LOW)))
         identity.append(_total(F.col(name), lambda h: F.shiftrightunsigned(h, 32)).bitwiseAND(F.lit(LOW)))
-    lanes = F.lit(LANES_SET)
     summed = hashed.withColumns({
         lines: F.array(*identity, *[
-            _total(F.col(runs), lambda h, k=k: F.shiftrightunsigned(h, k).bitwiseAND(lanes)) for k in range(CONTENT_LONGS)
+            _total(F.col(runs), partial(_lanes_at, place=k)) for k in range(CONTENT_LONGS)
         ]),
         runs: F.size(runs).cast("long"),
     })
@@ -132,7 +142,7 @@ def range_of(identity: str, cuts: list) -> Column:
     if not cuts:
         return F.lit(0)
     steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
-    points = F.array(*[F.lit(c) for c in cuts]) if len(cuts) < 2 else F.lit(cuts)
+    points = array_literal(cuts, "long")
 
     def step(i: Column, s: Column) -> Column:
         inside = i + s <= len(cuts)

@@ -212,9 +212,12 @@ def repeated_runs(own: DataFrame, length: int, gram: int = GRAM, large_bucket: i
         "suffix-anchors",
     )
     # first round: buckets of one member are done; second round: buckets of one stretch are done
-    shared = found.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("members"), F.min("stretch").alias("least"), F.max("stretch").alias("most")
-    ).where("members > 1").select("bucket", (F.col("least") == F.col("most")).alias("pure"))
+    shared = materialize(  # a table, so that the join can split a bucket with very many members
+        found.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("members"), F.min("stretch").alias("least"), F.max("stretch").alias("most")
+        ).where("members > 1").select("bucket", (F.col("least") == F.col("most")).alias("pure")),
+        "suffix-buckets",
+    )
     met = materialize(found.join(shared, "bucket"), "suffix-members")
     whole = met.where("pure").select("doc_id", "text_key", "first", "last")
     mixed = met.where("NOT pure")

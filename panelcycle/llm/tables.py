@@ -29,3 +29,8 @@ def fresh_name(frame: DataFrame, wanted: str) -> str:
 def keyed(column: str) -> Column:
     """A string as a join key: null is a value of its own, apart from the empty string."""
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{column}`").cast("string")), F.lit("null"))
+
+
+def array_literal(values: list, kind: str) -> Column:
+    """A long constant array: one string that the optimizer turns into a literal, not a tree of constants."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
