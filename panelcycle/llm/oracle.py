@@ -28,12 +28,12 @@ WITH d AS (
 ), o AS (
     SELECT *, source_size / w AS ratio, sum(source_size) OVER () AS budget FROM s
 ), lv AS (
-    -- level with the sources below a ratio clamped; the right one is the least that clamps no further source
+    -- the level with the sources below a ratio clamped; clamping too few or too many gives a lower one
     SELECT a.ratio, (any_value(a.budget) - coalesce(sum(3 * b.source_size) FILTER (WHERE b.ratio < a.ratio), 0))::DOUBLE
         / sum(b.w) FILTER (WHERE b.ratio >= a.ratio) AS level
     FROM o a, o b GROUP BY a.ratio
 ), best AS (
-    SELECT min(level) AS level FROM lv WHERE 3 * ratio >= level
+    SELECT max(level) AS level FROM lv
 ), t AS (
     SELECT k, source_size, least(source_size::DOUBLE * 3, level * w) AS target FROM s, best
 ), f AS (
