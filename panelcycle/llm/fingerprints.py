@@ -172,7 +172,9 @@ def with_next(docs: DataFrame, identity: str, columns: list[str], rows_per_range
         F.col("_first"), F.col(at).alias(firsts_at), F.coalesce(F.lag(at).over(ring), last).alias(before)
     )
     hosted = placed.join(
-        starts, placed[at].eqNullSafe(starts[firsts_at]) & placed[f"`{identity}`"].eqNullSafe(starts["_first"]), "left"
+        F.broadcast(starts),  # at most one row per range, and ranges are bounded
+        placed[at].eqNullSafe(starts[firsts_at]) & placed[f"`{identity}`"].eqNullSafe(starts["_first"]),
+        "left",
     )
     # rows that share the first identity all visit: the order among them decides there as well
     visits = F.when(F.col(firsts_at).isNull(), F.array(F.struct(F.col(at).alias("r"), F.lit(False).alias("g")))).otherwise(
