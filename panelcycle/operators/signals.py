@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcycle.catalog.entities import SIGNAL_ENTITIES
@@ -92,28 +92,30 @@ def trailing_zscore_grid(
         )
     )
     n, mean = F.col("_n"), F.col("_m")
+    # the mean of a date comes first: squares of deviations from it do not cancel at high levels
+    on_slot = Window.partitionBy(*cols.series_key, "_slot")
     merged = (
         blocks.withColumn("_slot", F.explode(F.sequence("_first", F.col("_after") - 1)))
+        .withColumn("_centre", F.sum(n * mean).over(on_slot) / F.sum(n).over(on_slot))
         .groupBy(*cols.series_key, "_slot")
         .agg(
             F.sum(n).alias("n_obs"),
             F.max_by("_latest", "_recency").alias("_latest"),
-            (F.sum(n * mean) / F.sum(n)).alias("_mean"),
+            F.max("_centre").alias("_mean"),
             # spread inside the blocks plus spread between their means
             F.sum(n * F.col("_var")).alias("_within"),
-            F.sum(n * mean * mean).alias("_raw"),
+            F.sum(n * (mean - F.col("_centre")) * (mean - F.col("_centre"))).alias("_between"),
             F.min("_low").alias("_low"),
             F.max("_high").alias("_high"),
         )
     )
-    between = F.greatest(F.col("_raw") - F.col("n_obs") * F.col("_mean") * F.col("_mean"), F.lit(0.0))
     dates = F.array(*[F.lit(d) for d in grid])
     stats = merged.withColumns(
         {
             "as_of": F.element_at(dates, F.col("_slot") + 1),
-            "_std": F.sqrt((F.col("_within") + between) / F.col("n_obs")),
+            "_std": F.sqrt((F.col("_within") + F.col("_between")) / F.col("n_obs")),
         }
-    ).drop("_slot", "_within", "_raw")
+    ).drop("_slot", "_within", "_between")
     return _finish(stats, min_observations)
 
 

@@ -35,7 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
-    if current is not None and (not configured or configured.rstrip("/") in current):
+    if current is not None and (not configured or configured.rstrip("/") + "/" in current + "/"):
         return current
     if not configured:
         if not context.master.startswith("local"):

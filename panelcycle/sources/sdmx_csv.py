@@ -24,16 +24,21 @@ def read_sdmx_csv(spark: SparkSession, path: str, columns: list[str] | None = No
     Files under one path share a header; give ``columns`` to skip reading it. ``file`` holds the
     landed file's path.
     """
-    reader = spark.read.option("header", True)
+    # a file whose header differs from the schema fails the job instead of being read by position
+    reader = spark.read.option("header", True).option("enforceSchema", False)
     if columns is not None:
         reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
     return reader.csv(path).select("*", F.col("_metadata.file_path").alias("file"))
 
 
+def series_key_of(url: Column) -> Column:
+    """Last path segment before any query string."""
+    return F.substring_index(F.substring_index(url, "/", -1), "?", 1)
+
+
 def series_id_of(url: Column) -> Column:
-    """Last path segment before any query string, at most 64 characters."""
-    segment = F.substring_index(F.substring_index(url, "/", -1), "?", 1)
-    return F.left(segment, F.lit(SERIES_ID_LENGTH))
+    """The series key as it is stamped on rows: at most 64 characters."""
+    return F.left(series_key_of(url), F.lit(SERIES_ID_LENGTH))
 
 
 def parse_sdmx(raw: DataFrame, entity: Column | str = "entity", indicator: Column | str = "indicator",
@@ -64,8 +69,19 @@ def parse_sdmx(raw: DataFrame, entity: Column | str = "entity", indicator: Colum
 
 
 def load_sdmx_csv(spark: SparkSession, path: str, specs: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Parse landed files named after their series key, stamped from the matching spec."""
+    """Parse landed files named after their series key, stamped from the spec with that whole key.
+
+    Rows of a file without a spec come out with the error ``no spec for this file`` and no stamp.
+    """
     raw = read_sdmx_csv(spark, path, columns)
-    landed = raw.withColumn("series_id", series_id_of(F.regexp_replace("file", r"\.csv(\.gz)?$", "")))
-    stamped = landed.join(specs.select("series_id", "entity", "indicator", "source"), "series_id")
-    return parse_sdmx(stamped)
+    landed = raw.withColumn("_key", series_key_of(F.regexp_replace("file", r"\.csv(\.gz)?$", "")))
+    wanted = specs.select(F.col("series_id").alias("_spec"), "entity", "indicator", "source")
+    stamped = landed.join(wanted, F.col("_key") == F.col("_spec"), "left").withColumn(
+        "series_id", F.left("_key", F.lit(SERIES_ID_LENGTH))
+    )
+    parsed = parse_sdmx(stamped.where(F.col("_spec").isNotNull()))
+    strays = stamped.where(F.col("_spec").isNull()).select(
+        *[F.lit(None).cast(parsed.schema[c].dataType).alias(c) if c != "series_id" else F.col(c) for c in LONG_COLUMNS],
+        F.lit("no spec for this file").alias("error"),
+    ).distinct()
+    return parsed.unionByName(strays)
