@@ -119,7 +119,9 @@ def scan_licenses(docs: DataFrame, identity: str = "doc_id", text: str = "text")
 
     notices = [(n, k) for k, f in enumerate(FAMILIES) for template in TEMPLATES[f] for n in _variants(template)]
     known = spark.createDataFrame(notices, "paragraph string, class int")
-    some = own.where(F.length("text") <= 20_000).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text").limit(SAMPLE_DOCUMENTS)
+    ids = own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(SAMPLE_DOCUMENTS).collect()
+    picked = [r[0] for r in ids if r[0] is not None]
+    some = own.where(F.col("doc_id").isin(picked) & (F.length("text") <= 20_000))
     plain = some.select(F.explode(F.split("text", "\n", -1)).alias("paragraph"), F.lit(len(FAMILIES)).alias("class"))
     marks = F.lower("paragraph").rlike(r"licen[sc]e|copyright|rights reserved|permitted|permission")  # notices in the sample teach nothing about the unknown
     sample = known.unionByName(plain.where(~marks).limit(SAMPLE_PARAGRAPHS))

@@ -113,9 +113,12 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, rate: float = 0
 def fit_on(docs: DataFrame, labels: DataFrame, identity: str, text: str, label: str, rows: int = FIT_ROWS) -> Network:
     """The network of a bounded sample of the labelled rows that are not held out."""
     some = labels.where(~held_out(identity) & F.col(label).isin(0, 1)).select(identity, label).dropDuplicates([identity])
+    ids = some.orderBy(F.xxhash64(F.col(identity), F.lit(3)), identity).limit(rows).collect()  # identities only, at most ``rows``
+    spark = docs.sparkSession
+    picked = spark.createDataFrame([tuple(r) for r in ids], some.schema)
     data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    joined = docs.select(identity, data.alias("data")).where(F.octet_length("data") <= FIT_BYTES).join(some, identity)
-    chosen = joined.orderBy(F.xxhash64(F.col(identity), F.lit(3)), identity, "data").limit(rows).collect()
+    joined = docs.select(identity, data.alias("data")).join(F.broadcast(picked), identity).where(F.octet_length("data") <= FIT_BYTES)
+    chosen = sorted(joined.limit(2 * rows).collect(), key=lambda r: (str(r[identity]), bytes(r["data"])))
     return fit([bytes(r["data"]) for r in chosen], np.array([r[label] for r in chosen], np.float32))
 
 
