@@ -17,7 +17,7 @@ def ask(name: str, needs: str, sql: str) -> None:
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (needs, sql) in FINAL.items():
-        head = ",\n".join(f"{n} AS ({CTES[n]})" for n in needs)
+        head = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" if n in ("panel", "daily") else f"{n} AS ({CTES[n]})" for n in needs)
         out[name] = (f"WITH {head}\n" if needs else "") + sql
     return out
 
@@ -451,9 +451,18 @@ ask("store_round_trip", "nation_orders revisions", """SELECT entity, date, sourc
 _GROWN = "CASE WHEN base = 0 THEN CASE WHEN value > 0 THEN 'inf'::DOUBLE WHEN value < 0 THEN '-inf'::DOUBLE END ELSE (value / base - 1) * 100 END"
 ask("yoy_positional", PANEL, f"""SELECT entity, indicator, date, {r6('g', 'value')} FROM (SELECT *, {_GROWN} AS g FROM
   (SELECT *, lag(value, 12) OVER (PARTITION BY entity, indicator ORDER BY date) AS base FROM panel)) WHERE g IS NOT NULL""")
-ask("yoy_calendar", PANEL, f"""SELECT entity, indicator, date, {r6('g', 'value')} FROM (SELECT entity, indicator, date, {_GROWN} AS g FROM
-  (SELECT p.*, b.value AS base FROM panel p JOIN panel b ON b.entity = p.entity AND b.indicator = p.indicator
-   AND b.date = CAST(p.date - INTERVAL 12 MONTH AS DATE))) WHERE g IS NOT NULL""")
+def _year_before(panel: str, keys: str) -> str:
+    """Growth over a number of the month and the day in it: an equality, so the join is a plain hash join."""
+    on = " AND ".join(f"b.{k} = a.{k}" for k in keys.split(", "))
+    return f"""(SELECT {keys}, date, {_GROWN} AS g FROM (SELECT {', '.join(f'a.{k}' for k in keys.split(', '))}, a.date, a.value, b.value AS base
+  FROM (SELECT *, year(date) * 12 + month(date) - 12 AS m, day(date) AS d FROM {panel}) a
+  JOIN (SELECT *, year(date) * 12 + month(date) AS m, day(date) AS d FROM {panel}) b ON {on} AND b.m = a.m AND b.d = a.d))"""
+
+
+ask("yoy_calendar", PANEL, f"SELECT entity, indicator, date, {r6('g', 'value')} FROM {_year_before('panel', 'entity, indicator')} WHERE g IS NOT NULL")
+ask("yoy_positional_sources", "daily", f"""SELECT entity, source, date, {r6('g', 'value')} FROM (SELECT *, {_GROWN} AS g FROM
+  (SELECT *, lag(value, 12) OVER (PARTITION BY entity, source ORDER BY date) AS base FROM daily)) WHERE g IS NOT NULL""")
+ask("yoy_calendar_sources", "daily", f"SELECT entity, source, date, {r6('g', 'value')} FROM {_year_before('daily', 'entity, source')} WHERE g IS NOT NULL")
 ask("period_dates", "", """WITH days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem),
   forms AS (SELECT DISTINCT unnest([year(d) || '-Q' || quarter(d), strftime(d, '%Y-M%m'), CAST(year(d) AS VARCHAR), strftime(d, '%Y/%m'),
     year(d) || '-Q' || month(d)]) AS period FROM days),
@@ -542,6 +551,11 @@ ask("series_changes", PANEL, f"""SELECT entity, indicator, min(date) AS first_da
   CAST(year(max(date)) AS INT) AS last_year, CAST(quarter(max(date)) AS INT) AS last_quarter FROM panel GROUP BY 1, 2""")
 ask("series_tails", "daily canonical", f"""SELECT entity, date, {r6('value')} FROM canonical
   QUALIFY row_number() OVER (PARTITION BY entity ORDER BY date DESC) <= 60""")
+ask("series_changes_sources", "daily", f"""SELECT entity, min(date) AS first_date, max(date) AS last_date,
+  {r6(f'arg_min(value, (date, {_RANK}))', 'first_value')}, {r6(_NEWEST, 'last_value')},
+  {r6(f'{_NEWEST} - arg_min(value, (date, {_RANK}))', 'change')} FROM daily GROUP BY 1""")
+ask("series_tails_sources", "daily", f"""SELECT entity, date, source, {r6('value')} FROM daily
+  QUALIFY row_number() OVER (PARTITION BY entity ORDER BY date DESC, {_RANK}) <= 25""")
 ask("display_tails", PANEL, f"""SELECT entity, indicator, date, {r6('value')} FROM panel WHERE indicator <> 'hy_spread' AND indicator <> 'private_nonfin_pct_gdp'
   QUALIFY row_number() OVER (PARTITION BY entity, indicator ORDER BY date DESC) <= CASE
     WHEN indicator IN ('policy_rate', 'yield_10y', 'yield_2y') THEN 750 WHEN indicator IN ('cpi_yoy', 'unemployment_rate') THEN 60

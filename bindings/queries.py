@@ -334,6 +334,19 @@ def yoy_calendar(spark, sf_dir):
     return grown.select("entity", "indicator", "date", r6("value"))
 
 
+@query
+def yoy_positional_sources(spark, sf_dir):
+    """Three sources report the same days: each grows by itself."""
+    grown = series.year_over_year(daily_panel(spark, sf_dir), "M")
+    return grown.select("entity", "source", "date", r6("value"))
+
+
+@query
+def yoy_calendar_sources(spark, sf_dir):
+    grown = series.year_over_year_calendar(daily_panel(spark, sf_dir))
+    return grown.select("entity", "source", "date", r6("value"))
+
+
 @query
 def period_dates(spark, sf_dir):
     days = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct()
@@ -602,6 +615,20 @@ def series_tails(spark, sf_dir):
     return series.tail_rows(canonical_panel(daily_panel(spark, sf_dir), PRIORITY), 60).select("entity", "date", r6("value"))
 
 
+@query
+def series_changes_sources(spark, sf_dir):
+    """First and last value where three sources report one day."""
+    changes = series.series_change(daily_panel(spark, sf_dir), priority=PRIORITY)
+    return changes.select("entity", "first_date", "last_date", r6("first_value"), r6("last_value"), r6("change"))
+
+
+@query
+def series_tails_sources(spark, sf_dir):
+    """The newest 25 rows, sources of one day in priority order."""
+    rows = series.tail_rows(daily_panel(spark, sf_dir), 25, priority=PRIORITY)
+    return rows.select("entity", "date", "source", r6("value"))
+
+
 @query
 def display_tails(spark, sf_dir):
     tails = {**series.DISPLAY_TAILS, "real_gdp_yoy": 24, "debt_service_ratio": 36}

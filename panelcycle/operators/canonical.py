@@ -49,6 +49,11 @@ def recency(date: Column, source: Column, priority: Sequence[str] = ()) -> Colum
     return F.unix_date(date).cast("bigint") * _RANKS - source_rank(source, priority)
 
 
+def earliness(date: Column, source: Column, priority: Sequence[str] = ()) -> Column:
+    """A long that is least for the best-ranked source of the first day."""
+    return F.unix_date(date).cast("bigint") * _RANKS + source_rank(source, priority)
+
+
 def duplicate_keys(panel: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """Natural keys that occur more than once, with their count. Empty for a sound panel."""
     return (

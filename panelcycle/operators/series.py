@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcycle.functions.scalars import lookup
+from panelcycle.operators.canonical import earliness, recency
 from panelcycle.schema import PANEL, PanelColumns, present
 
 # Rows back to the same period of the previous year.
@@ -27,13 +28,13 @@ def percent_change(value: Column, base: Column) -> Column:
 def year_over_year(
     rows: DataFrame,
     frequency: str | Column = "M",
-    keys: Sequence[str] = tuple(PANEL.series_key),
+    keys: Sequence[str] = tuple(PANEL.source_series_key),
     date: str = PANEL.date,
     value: str = PANEL.value,
 ) -> DataFrame:
     """Positional growth: against the row 12, 4 or 1 places back once missing values are gone.
 
-    A gap therefore moves the base. Rows without a base are dropped. ``frequency`` may be a
+    Every source's series grows by itself: places are counted among its own rows. A gap therefore moves the base. Rows without a base are dropped. ``frequency`` may be a
     column, in which case every series takes its own step; an unknown frequency is an error.
     """
     clean = rows.where(present(F.col(value)))
@@ -56,11 +57,11 @@ def year_over_year(
 
 def year_over_year_calendar(
     rows: DataFrame,
-    keys: Sequence[str] = tuple(PANEL.series_key),
+    keys: Sequence[str] = tuple(PANEL.source_series_key),
     date: str = PANEL.date,
     value: str = PANEL.value,
 ) -> DataFrame:
-    """Growth against the row dated exactly twelve months earlier; a gap yields no row.
+    """Growth of every source's series against its row dated exactly twelve months earlier; a gap yields no row.
 
     The base is found in the same sorted window (a frame of one month index), so no self join.
     """
@@ -73,22 +74,25 @@ def year_over_year_calendar(
 
 
 def tail_rows(panel: DataFrame, n: int | Column, keys: Sequence[str] = tuple(PANEL.series_key),
-              date: str = PANEL.date) -> DataFrame:
-    """The newest n rows of each series.
+              date: str = PANEL.date, source: str = PANEL.source, priority: Sequence[str] = ()) -> DataFrame:
+    """The newest n rows of each series; within a day the best-ranked source comes first.
 
     With a constant n Spark applies the row limit inside every map task before the shuffle, so a
-    very long series never travels whole.
+    very long series never travels whole. A panel without a source column is ordered by date alone.
     """
-    newest_first = Window.partitionBy(*keys).orderBy(F.col(date).desc())
+    order = recency(F.col(date), F.col(source), priority) if source in panel.columns else F.col(date)
+    newest_first = Window.partitionBy(*keys).orderBy(order.desc())
     return panel.withColumn("_n", F.row_number().over(newest_first)).where(F.col("_n") <= n).drop("_n")
 
 
-def display_tails(panel: DataFrame, tails: dict[str, int], cols: PanelColumns = PANEL) -> DataFrame:
+def display_tails(panel: DataFrame, tails: dict[str, int], cols: PanelColumns = PANEL,
+                  priority: Sequence[str] = ()) -> DataFrame:
     """Tail per indicator: 750 daily, 60 monthly, 40 or 80 quarterly rows, as the table says."""
     wanted = panel.where(F.col(cols.indicator).isin(list(tails)))
-    longest = tail_rows(wanted, max(tails.values()), cols.series_key, cols.date)
+    longest = tail_rows(wanted, max(tails.values()), cols.series_key, cols.date, cols.source, priority)
     # the constant limit bounds the series first, the indicator's own limit then trims it
-    return tail_rows(longest, lookup(tails, F.col(cols.indicator)), cols.series_key, cols.date)
+    own = lookup(tails, F.col(cols.indicator))
+    return tail_rows(longest, own, cols.series_key, cols.date, cols.source, priority)
 
 
 # Rows shown per indicator.
@@ -109,13 +113,17 @@ def series_summary(panel: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     )
 
 
-def series_change(panel: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
-    """First and last value of each series, their change and the quarter of the last one."""
+def series_change(panel: DataFrame, cols: PanelColumns = PANEL, priority: Sequence[str] = ()) -> DataFrame:
+    """First and last value of each series, their change and the quarter of the last one.
+
+    Several sources on the first or last day: the best-ranked one counts.
+    """
+    day, source = F.col(cols.date), F.col(cols.source)
     ends = panel.groupBy(*cols.series_key).agg(
         F.min(cols.date).alias("first_date"),
         F.max(cols.date).alias("last_date"),
-        F.min_by(cols.value, cols.date).alias("first_value"),
-        F.max_by(cols.value, cols.date).alias("last_value"),
+        F.min_by(cols.value, earliness(day, source, priority)).alias("first_value"),
+        F.max_by(cols.value, recency(day, source, priority)).alias("last_value"),
     )
     return ends.withColumns(
         {

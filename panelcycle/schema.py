@@ -25,6 +25,10 @@ class PanelColumns:
     def series_key(self) -> list[str]:
         return [self.entity, self.indicator]
 
+    @property
+    def source_series_key(self) -> list[str]:
+        return [self.entity, self.indicator, self.source]
+
     @property
     def natural_key(self) -> list[str]:
         return [self.entity, self.indicator, self.date, self.source]

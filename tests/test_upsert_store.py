@@ -131,6 +131,19 @@ def test_positional_and_calendar_growth_differ_at_a_gap(panel_of):
         year_over_year(panel, "D")
 
 
+def test_sources_of_one_day_do_not_mix(spark):
+    days = months("2020-01-01", 18)
+    rows = [("A", "x", d, v + i, s, "id") for i, d in enumerate(days) for s, v in (("P", 100.0), ("Q", 900.0))]
+    panel = spark.createDataFrame(rows, "entity string, indicator string, date date, value double, source string, series_id string")
+    alone = year_over_year(panel.where("source = 'P'"), "M").select("date", "value").collect()
+    assert sorted(year_over_year(panel, "M").where("source = 'P'").select("date", "value").collect()) == sorted(alone)
+    assert year_over_year(panel, "M").count() == year_over_year_calendar(panel).count() == 12
+    for order, base in ((["P", "Q"], 100.0), (["Q", "P"], 900.0)):
+        change = series_change(panel, priority=order).first()
+        assert (change.first_value, change.last_value, change.change) == (base, base + 17, 17.0)
+        assert [(r.date, r.source) for r in tail_rows(panel, 1, priority=order).collect()] == [(days[-1], order[0])]
+
+
 def test_growth_on_a_zero_base(spark):
     rows = spark.createDataFrame([(5.0, 0.0), (-5.0, 0.0), (0.0, 0.0), (5.0, None), (None, 5.0)], "v double, b double")
     found = [r.g for r in rows.select(percent_change(F.col("v"), F.col("b")).alias("g")).collect()]
