@@ -445,8 +445,8 @@ ask("entity_enrichment", "nation_orders", """SELECT lower(entity) AS code, 'Nati
   'N' || n_nationkey AS currency, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS amount FROM nation_orders GROUP BY ALL""")
 ask("code_translation", "nation_orders", """SELECT lower(entity) AS code, 'X' || n_nationkey AS provider_code, count(*) AS n_orders
   FROM nation_orders GROUP BY ALL""")
-ask("store_round_trip", "nation_orders revisions", """SELECT entity, date, source, arg_max(value, (CASE status WHEN 'F' THEN 0 ELSE 1 END, arrival)) AS value
-  FROM revisions WHERE status IN ('F', 'O') AND date <= DATE '1999-12-31' GROUP BY 1, 2, 3""")
+ask("store_round_trip", "nation_orders revisions", """SELECT entity, date, source, arg_max(value, (CASE status WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, arrival)) AS value
+  FROM revisions WHERE date <= DATE '1999-12-31' GROUP BY 1, 2, 3""")
 
 _GROWN = "CASE WHEN base = 0 THEN CASE WHEN value > 0 THEN 'inf'::DOUBLE WHEN value < 0 THEN '-inf'::DOUBLE END ELSE (value / base - 1) * 100 END"
 ask("yoy_positional", PANEL, f"""SELECT entity, indicator, date, {r6('g', 'value')} FROM (SELECT *, {_GROWN} AS g FROM

@@ -310,12 +310,12 @@ def code_translation(spark, sf_dir):
 
 @query
 def store_round_trip(spark, sf_dir):
-    """Two upserts into a fresh store, then a pruned read."""
+    """Three upserts into a fresh store, the last two as revisions, then a pruned read."""
     import uuid
 
-    store = ObservationStore(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    store = ObservationStore(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}", entity_buckets=4)
     orders = _revisions(spark, sf_dir)
-    for status in ("F", "O"):
+    for status in ("F", "O", "P"):
         store.upsert(orders.where(F.col("o_orderstatus") == status).drop("o_orderstatus", "iso3"), "arrival")
     return store.read(["order_size"], until=dt.date(1999, 12, 31)).select("entity", "date", "source", "value")
 

@@ -1,92 +1,170 @@
-"""The observation table on Parquet: partitioned by indicator and year, upserted by partition."""
+"""The observation table on Parquet: versioned folders, published as a whole.
+
+::
+
+    <path>/data/version=<v>/indicator=<i>/obs_year=<y>/bucket=<b>/   rows
+    <path>/published/<n>                                             the live folders of version n
+
+An upsert writes the folders it touches anew, under a version of its own, then publishes a list of
+all live folders by one rename. Readers take the newest list, so they see a batch whole or not at
+all, and a job that fails before the rename leaves the table as it was.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcycle.operators.upsert import merge_observations, upsert_counts
 from panelcycle.schema import OBSERVATION_SCHEMA, PANEL
-from panelcycle.session import ensure_checkpoint_dir
+from panelcycle.session import materialize
 
-YEAR = "obs_year"
-# Up to this many touched partitions become a literal filter; beyond, a semi join selects rows.
+YEAR, BUCKET, VERSION = "obs_year", "bucket", "version"
+FOLDER = (PANEL.indicator, YEAR, BUCKET)
+# Up to this many touched folders become a literal filter; beyond, a semi join selects rows.
 LITERAL_PARTITIONS = 2_000
+# Versions that stay readable: the newest and the one before it, for readers under way.
+KEPT_VERSIONS = 2
+
+
+class ConcurrentUpsert(RuntimeError):
+    """Another job published the version this one was about to publish; nothing was changed."""
 
 
 class ObservationStore:
     """A folder of observations.
 
-    Partitioning by (indicator, year) prunes by indicator list and date bound and lets an upsert
-    rewrite only the years it revises. Rows are sorted by entity and date inside the files, so
-    entity filters skip row groups.
+    Folders by (indicator, year) prune by indicator list and date bound. ``entity_buckets`` divides
+    each of them by a hash of the entity, so that a small revision of a large table rewrites a small
+    part of it; the number is fixed by the first upsert. Rows are sorted by entity and date inside
+    the files, so entity filters skip row groups.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, entity_buckets: int = 1):
         self.spark = spark
-        self.path = path
-
-    def _stored(self) -> DataFrame:
-        """The table with its partition columns, empty before the first write."""
-        schema = T.StructType([*OBSERVATION_SCHEMA.fields, T.StructField(YEAR, T.IntegerType())])
-        try:
-            return self.spark.read.schema(schema).parquet(self.path)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
+        self.path = path.rstrip("/")
+        self.entity_buckets = entity_buckets
+
+    # ---- published versions
+
+    def _hadoop(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def versions(self) -> list[int]:
+        """Numbers of the published versions still readable, ascending."""
+        fs, folder = self._hadoop(f"{self.path}/published")
+        if not fs.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in fs.listStatus(folder)]
+        return sorted(int(name) for name in names if name.isdigit())
+
+    def _published(self, version: int) -> tuple[int, list[str]]:
+        """Entity buckets and live folders of a version; as many lines as the table has folders."""
+        lines = [row.value for row in self.spark.read.text(f"{self.path}/published/{version:012d}").collect()]
+        return int(lines[0]), sorted(lines[1:])
+
+    def _live(self) -> tuple[int, list[str]]:
+        versions = self.versions()
+        return self._published(versions[-1]) if versions else (self.entity_buckets, [])
+
+    def _publish(self, version: int, buckets: int, folders: list[str]) -> None:
+        fs, target = self._hadoop(f"{self.path}/published/{version:012d}")
+        _, draft = self._hadoop(f"{self.path}/published/.draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write("\n".join([str(buckets), *folders]).encode())
+        out.close()
+        if fs.exists(target) or not fs.rename(draft, target):
+            fs.delete(draft, False)
+            raise ConcurrentUpsert(f"version {version} of {self.path} was published by another job")
+
+    def _drop_unused(self) -> None:
+        """Remove versions older than the kept ones, with the folders only they name."""
+        versions = self.versions()
+        kept = {folder for v in versions[-KEPT_VERSIONS:] for folder in self._published(v)[1]}
+        for version in versions[:-KEPT_VERSIONS]:
+            for folder in set(self._published(version)[1]) - kept:
+                fs, where = self._hadoop(f"{self.path}/data/{folder}")
+                fs.delete(where, True)
+            fs, where = self._hadoop(f"{self.path}/published/{version:012d}")
+            fs.delete(where, False)
+
+    # ---- rows
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        """The rows of live folders with their partition columns; empty before the first upsert."""
+        parts = [T.StructField(VERSION, T.StringType()), T.StructField(YEAR, T.IntegerType()), T.StructField(BUCKET, T.IntegerType())]
+        schema = T.StructType([*OBSERVATION_SCHEMA.fields, *parts])
+        if not folders:
             return self.spark.createDataFrame([], schema)
+        data = f"{self.path}/data"
+        return self.spark.read.schema(schema).option("basePath", data).parquet(*[f"{data}/{f}" for f in folders])
 
     def read(self, indicators: Sequence[str] | None = None, until: dt.date | None = None) -> DataFrame:
         """The observations, optionally of some indicators and up to a date; both prune folders."""
-        rows = self._stored()
+        rows = self._rows(self._live()[1])
         if indicators is not None:
             rows = rows.where(F.col(PANEL.indicator).isin(list(indicators)))
         if until is not None:
             rows = rows.where((F.col(YEAR) <= until.year) & (F.col(PANEL.date) <= F.lit(until)))
         return rows.select(*OBSERVATION_SCHEMA.names)
 
-    def _write(self, rows: DataFrame) -> None:
-        # rebalance keeps a partition's rows together but splits one that is too large for a task
-        dated = rows.withColumn(YEAR, F.year(PANEL.date))
-        (
-            dated.hint("rebalance", PANEL.indicator, YEAR)
-            .sortWithinPartitions(PANEL.indicator, YEAR, PANEL.entity, PANEL.date)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(PANEL.indicator, YEAR)
-            .parquet(self.path)
-        )
-
     def upsert(self, batch: DataFrame, arrival: str | None = None) -> DataFrame:
         """Merge a batch and return the counts per series.
 
-        The merged partitions are materialised in the checkpoint folder first. Counts and files
-        then come from the same rows, the table is not read while it is replaced, and a lost
-        executor or a repeated run after a failure leads to the same table.
+        The batch is evaluated once, with its arrival order, into the checkpoint folder; touched
+        folders, merged rows and counts all come from that table, so a batch that would not repeat
+        itself cannot make them disagree. A failed run may simply be repeated. Of two upserts at
+        once, the later to finish raises ``ConcurrentUpsert``.
         """
-        if PANEL.fetched_at not in batch.columns:
-            batch = batch.withColumn(PANEL.fetched_at, F.current_timestamp())
-        ensure_checkpoint_dir(self.spark)
-        merged = merge_observations(self._touched(batch), batch, arrival).checkpoint()
-        self._write(merged.select(*OBSERVATION_SCHEMA.names))
+        versions = self.versions()
+        buckets, live = self._live()
+        order = F.monotonically_increasing_id() if arrival is None else F.col(arrival).cast("bigint")
+        loaded = F.col(PANEL.fetched_at) if PANEL.fetched_at in batch.columns else F.current_timestamp()
+        columns = [F.col(c) for c in OBSERVATION_SCHEMA.names if c != PANEL.fetched_at]
+        landed = materialize(
+            batch.select(*columns, loaded.alias(PANEL.fetched_at), order.alias("_arrival")), "store-batch"
+        )
+        merged = materialize(merge_observations(self._touched(landed, buckets, live), landed, "_arrival"), "store-merged")
+        written = self._write(merged, buckets, versions[-1] + 1 if versions else 1)
+        replaced = {folder.split("/", 1)[1] for folder in written}
+        stay = [folder for folder in live if folder.split("/", 1)[1] not in replaced]
+        self._publish(versions[-1] + 1 if versions else 1, buckets, sorted(stay + written))
+        self._drop_unused()
         return upsert_counts(merged.where(F.col("action") != "kept"))
 
-    def _touched(self, batch: DataFrame) -> DataFrame:
-        """Stored rows of the partitions that hold a key of the batch."""
-        rows = self._stored()
-        parts = batch.select(PANEL.indicator, F.year(PANEL.date).alias(YEAR)).distinct()
+    def _foldered(self, rows: DataFrame, buckets: int) -> DataFrame:
+        return rows.withColumns(
+            {YEAR: F.year(PANEL.date), BUCKET: F.pmod(F.hash(PANEL.entity), F.lit(buckets)).cast("int")}
+        )
+
+    def _write(self, merged: DataFrame, buckets: int, version: int) -> list[str]:
+        """Write merged rows under a version folder no list names yet; return its folders."""
+        name = f"{VERSION}={version}-{uuid.uuid4().hex[:8]}"
+        # rebalance keeps a folder's rows together but splits one that is too large for a task
+        (
+            self._foldered(merged.select(*OBSERVATION_SCHEMA.names), buckets)
+            .hint("rebalance", *FOLDER)
+            .sortWithinPartitions(*FOLDER, PANEL.entity, PANEL.date)
+            .write.partitionBy(*FOLDER)
+            .parquet(f"{self.path}/data/{name}")
+        )
+        fs, pattern = self._hadoop(f"{self.path}/data/{name}/*/*/*")
+        return ["/".join(status.getPath().toString().split("/")[-4:]) for status in fs.globStatus(pattern) if status.isDirectory()]
+
+    def _touched(self, batch: DataFrame, buckets: int, live: list[str]) -> DataFrame:
+        """Stored rows of the folders that hold a key of the batch."""
+        rows = self._rows(live)
+        parts = self._foldered(batch, buckets).select(*FOLDER).distinct()
         listed = parts.limit(LITERAL_PARTITIONS + 1).collect()
         if len(listed) > LITERAL_PARTITIONS:
-            return rows.join(parts, [PANEL.indicator, YEAR], "left_semi").select(*OBSERVATION_SCHEMA.names)
-        by_year: dict[int, list[str]] = {}
-        for part in listed:
-            by_year.setdefault(part[YEAR], []).append(part[PANEL.indicator])
-        wanted = F.lit(False)
-        for year, names in sorted(by_year.items()):
-            wanted = wanted | ((F.col(YEAR) == year) & F.col(PANEL.indicator).isin(sorted(names)))
-        return rows.where(wanted).select(*OBSERVATION_SCHEMA.names)
+            return rows.join(parts, list(FOLDER), "left_semi").select(*OBSERVATION_SCHEMA.names)
+        # of partition columns only, so it is decided per folder before anything is read
+        key = F.concat_ws("/", F.col(YEAR).cast("string"), F.col(BUCKET).cast("string"), F.col(PANEL.indicator))
+        wanted = sorted(f"{part[YEAR]}/{part[BUCKET]}/{part[PANEL.indicator]}" for part in listed)
+        return rows.where(key.isin(wanted)).select(*OBSERVATION_SCHEMA.names)

@@ -13,7 +13,7 @@ from panelcycle.operators.series import display_tails, history, percent_change,
 from panelcycle.operators.upsert import merge_observations, upsert_counts
 from panelcycle.plans.load import load_batch, summary_by_entity
 from panelcycle.schema import LONG_COLUMNS, OBSERVATION_SCHEMA, PANEL
-from panelcycle.sources.store import ObservationStore
+from panelcycle.sources.store import ConcurrentUpsert, ObservationStore
 from tests.conftest import day, months
 
 AT = dt.datetime(2026, 1, 1)
@@ -89,6 +89,39 @@ def test_store_prunes_folders(spark, store):
     assert "LessThanOrEqual(date" in filters
 
 
+def test_store_publishes_whole_batches(spark, store, monkeypatch):
+    rows = [("US", i, d, 1.0, "S", "s") for i in ("a/b", "c=d") for d in months("2020-01-01", 14)]
+    store.upsert(batch(spark, rows), "arrival")
+    before = store.versions()
+    revised = batch(spark, [("US", "c=d", day("2021-01-01"), 2.0, "S", "s"), ("US", "e", day("2021-01-01"), 3.0, "S", "s")])
+    monkeypatch.setattr(store, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.upsert(revised, "arrival")
+    assert store.versions() == before and {r.value for r in store.read().collect()} == {1.0}
+    monkeypatch.undo()
+    store.upsert(revised, "arrival")
+    assert store.read().groupBy("value").count().orderBy("value").collect() == [(1.0, 27), (2.0, 1), (3.0, 1)]
+    assert store.read(["a/b"]).count() == 14
+    with pytest.raises(ConcurrentUpsert):
+        store._publish(store.versions()[-1], 1, [])
+    under_way = store.read()
+    store.upsert(revised, "arrival")
+    assert under_way.count() == 29 and len(store.versions()) == 2
+
+
+def test_store_takes_a_batch_that_does_not_repeat_itself(spark, tmp_path):
+    store = ObservationStore(spark, str(tmp_path / "obs"), entity_buckets=3)
+    kept = [(f"E{k}", "a", day(f"{y}-01-01"), 1.0, "S", "s") for k in range(9) for y in range(2000, 2006)]
+    store.upsert(batch(spark, kept), "arrival")
+    drawn = batch(spark, [(f"E{k}", "a", day("2000-01-01"), 2.0, "S", "s") for k in range(9)]).withColumn(
+        "date", F.add_months("date", 12 * F.floor(F.rand() * 6).cast("int"))
+    )
+    counts = store.upsert(drawn).agg(F.sum("changed").alias("n")).first()
+    assert counts.n == 9 and store.read().count() == len(kept) and store.read().where("value = 2").count() == 9
+    assert ObservationStore(spark, str(tmp_path / "obs")).upsert(drawn).count() == 9  # the stored bucket number holds
+    assert store.read().count() == len(kept)
+
+
 def test_one_bad_series_never_stops_the_batch(spark, store):
     good = [("US", "a", d, 1.0, "S", "s", None) for d in months("2020-01-01", 3)]
     bad = [("US", "b", day("2020-01-01"), 1.0, "S", "s", None), ("US", "b", None, 1.0, "S", "s", "period out of range: 2020-M13")]
