@@ -384,11 +384,12 @@ _CSV = """SELECT o_orderstatus AS entity, o_orderpriority AS indicator,
   FROM orders WHERE o_orderstatus <> 'P'"""
 ask("sdmx_csv_rows", "", f"""SELECT entity, indicator, date, count(*) FILTER (NOT fault) AS n_rows, count(*) FILTER (fault) AS n_faults,
   sum(v) FILTER (NOT fault) AS total FROM ({_CSV}) WHERE date IS NOT NULL OR fault GROUP BY 1, 2, 3""")
-ask("provider_series", "wide", f"""SELECT entity, 'sales' AS indicator, date, {r6('v', 'value')}, 'FRED' AS source, 'SALES.' || entity AS series_id
-  FROM (SELECT entity, date, CASE n_regionkey WHEN 0 THEN price
+cte("grown_sales", """SELECT * FROM (SELECT entity, date, CASE n_regionkey WHEN 0 THEN price
       WHEN 1 THEN (price / lag(price, 12) OVER w - 1) * 100 WHEN 2 THEN (price / lag(price, 4) OVER w - 1) * 100
       WHEN 3 THEN (price / lag(price, 1) OVER w - 1) * 100 END AS v
     FROM wide JOIN nation ON n_name = entity WINDOW w AS (PARTITION BY entity ORDER BY date)) WHERE v IS NOT NULL""")
+ask("provider_series", "wide grown_sales", f"""SELECT entity, 'sales' AS indicator, date, {r6('v', 'value')}, 'FRED' AS source,
+  'SALES.' || entity AS series_id FROM grown_sales""")
 ask("provider_series_faults", "", """SELECT n_name AS entity, 'SALES.' || n_name AS series_id, 'no yearly step for frequency D' AS error
   FROM nation WHERE n_regionkey = 4""")
 ask("worldbank_json_rows", "wide", """SELECT entity, 'gini' AS indicator, make_date(year(date), 12, 31) AS date, sum(price) AS value,
@@ -424,6 +425,13 @@ cte("loaded", """SELECT entity, indicator, CASE WHEN NOT bool_or(broken) THEN co
   CASE WHEN bool_or(broken) THEN 'period out of range: 2001-M13' END AS error FROM load_steps GROUP BY 1, 2""")
 LOADED = "nation_orders revisions load_steps loaded"
 ask("load_summary", LOADED, "SELECT * FROM loaded")
+ask("load_end_to_end", f"{LOADED} wide grown_sales", """SELECT l.*, CASE WHEN error IS NULL THEN n_days ELSE 0 END AS stored, n_broken AS quarantined
+    FROM loaded l JOIN (SELECT entity, source AS indicator, count(DISTINCT date) AS n_days, count(*) FILTER (status = 'P' AND source = '5-LOW') AS n_broken
+      FROM revisions GROUP BY 1, 2) USING (entity, indicator)
+  UNION ALL SELECT n_name, 'sales', CASE WHEN n_regionkey <> 4 THEN n END, CASE WHEN n_regionkey <> 4 THEN n END, CASE WHEN n_regionkey <> 4 THEN 0 END,
+    CASE WHEN n_regionkey = 4 THEN 'no yearly step for frequency D' END, n, CASE WHEN n_regionkey = 4 THEN 1 ELSE 0 END
+    FROM (SELECT n_name, n_regionkey, count(date) AS n FROM nation LEFT JOIN grown_sales ON entity = n_name GROUP BY ALL)
+  UNION ALL SELECT n_name, 'nothing', 0, 0, 0, NULL, 0, 0 FROM nation""")
 ask("load_summary_by_entity", LOADED, """SELECT entity, count(*) AS n_series, count(error) AS n_failed,
   CAST(coalesce(sum(rows), 0) AS BIGINT) AS rows, CAST(coalesce(sum(inserted), 0) AS BIGINT) AS inserted FROM loaded GROUP BY 1""")
 _AGES = f"""SELECT CAST(o_custkey AS VARCHAR) AS series_id, max(CAST(o_orderdate AS DATE)) AS latest,

@@ -142,12 +142,15 @@ def _specs(spark, sf_dir) -> DataFrame:
     )
 
 
-@query
-def provider_series(spark, sf_dir):
-    raw = monthly_wide(spark, sf_dir).select(
+def _sales(spark, sf_dir) -> DataFrame:
+    return monthly_wide(spark, sf_dir).select(
         F.concat(F.lit("SALES."), F.col("entity")).alias("series_id"), "date", F.col("price").alias("value")
     )
-    landed = land_series(raw, _specs(spark, sf_dir))
+
+
+@query
+def provider_series(spark, sf_dir):
+    landed = land_series(_sales(spark, sf_dir), _specs(spark, sf_dir))
     return landed.select("entity", "indicator", "date", r6("value"), "source", "series_id")
 
 
@@ -219,7 +222,7 @@ def upsert_summary(spark, sf_dir):
     return upsert_counts(_merged(spark, sf_dir).where(F.col("action") != "kept"))
 
 
-def _load_summary(spark, sf_dir) -> DataFrame:
+def _parsed_orders(spark, sf_dir) -> DataFrame:
     """Series are (nation, priority); periods of partly shipped low-priority orders are broken."""
     broken = (F.col("o_orderstatus") == "P") & (F.col("source") == "5-LOW")
     raw = _revisions(spark, sf_dir).select(
@@ -228,13 +231,17 @@ def _load_summary(spark, sf_dir) -> DataFrame:
         F.col("value").cast("string").alias("OBS_VALUE"),
     )
     period, value = F.col("TIME_PERIOD"), F.col("OBS_VALUE").try_cast("double")
-    parsed = raw.select(
+    return raw.select(
         "entity", "indicator", periods.period_start(period).alias("date"), value.alias("value"), "source", "series_id",
         periods.period_error(period).alias("error"), "arrival", "fetched_at",
     )
+
+
+def _load_summary(spark, sf_dir) -> DataFrame:
+    parsed = _parsed_orders(spark, sf_dir)
     stored = spark.createDataFrame([], OBSERVATION_SCHEMA)
     counts = upsert_counts(merge_observations(stored, load.sound_rows(parsed), "arrival"))
-    return load.load_summary(raw, counts, load.failed_series(parsed))
+    return load.load_summary(parsed, counts, load.failed_series(parsed))
 
 
 @query
@@ -247,6 +254,29 @@ def load_summary_by_entity(spark, sf_dir):
     return load.summary_by_entity(_load_summary(spark, sf_dir))
 
 
+@query
+def load_end_to_end(spark, sf_dir):
+    """Rows of two providers, faulty specs and series without data, through the load into a store.
+
+    The summary, with the rows then found in the store and in the quarantine.
+    """
+    import uuid
+
+    specs = _specs(spark, sf_dir)
+    growth = land_series(_sales(spark, sf_dir), specs)
+    statistics = _parsed_orders(spark, sf_dir)
+    parsed = load.with_spec_faults(statistics.unionByName(growth, allowMissingColumns=True), faulty_specs(specs))
+    empty = specs.select("entity", F.lit("nothing").alias("indicator"))
+    asked = statistics.select("entity", "indicator").unionByName(specs.select("entity", "indicator")).unionByName(empty)
+    folder = f"{ensure_checkpoint_dir(spark)}/load-{uuid.uuid4().hex}"
+    store = ObservationStore(spark, f"{folder}/store")
+    summary = load.load_batch(store, parsed, asked, "arrival", f"{folder}/quarantine")
+    keys = ["entity", "indicator"]
+    stored = store.read().groupBy(*keys).agg(F.count(F.lit(1)).alias("stored"))
+    held = spark.read.parquet(f"{folder}/quarantine").groupBy(*keys).agg(F.count(F.lit(1)).alias("quarantined"))
+    return summary.join(stored, keys, "left").join(held, keys, "left").fillna(0, ["stored", "quarantined"])
+
+
 def _customer_series(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     specs = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("series_id"),

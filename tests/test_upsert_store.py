@@ -135,6 +135,18 @@ def test_one_bad_series_never_stops_the_batch(spark, store):
     assert by_entity == [("SE", 1, 0, 0), ("US", 2, 1, 3)]
 
 
+def test_strays_and_faults_go_to_the_quarantine(spark, store, tmp_path):
+    rows = [("US", "a", day("2020-01-01"), 1.0, "S", "s", None), ("US", "b", day("2020-01-01"), 1.0, "S", "s", None),
+            ("US", "b", None, None, "S", "s", "not a number: x"), (None, None, None, None, None, "stray", "no spec for this file")]
+    parsed = spark.createDataFrame(rows, "entity string, indicator string, date date, value double, source string, series_id string, error string")
+    specs = spark.createDataFrame([("US", "a"), ("US", "b")], "entity string, indicator string")
+    summary = load_batch(store, parsed, specs, quarantine_path=str(tmp_path / "q")).collect()
+    assert {(r.entity, r.indicator, r.rows, r.error) for r in summary} == {
+        ("US", "a", 1, None), ("US", "b", None, "not a number: x"), (None, None, None, "no spec for this file")}
+    assert store.read().count() == 1
+    assert {r.error for r in spark.read.parquet(str(tmp_path / "q")).collect()} == {"not a number: x", "no spec for this file"}
+
+
 def test_freshness(spark):
     today = day("2026-01-01")
     specs = spark.createDataFrame([("OLD", "raw"), ("YEAR", "raw"), ("NEW", "raw"), ("X657S", "yoy"), ("NONE", "raw")], "series_id string, transform string")
