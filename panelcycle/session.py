@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import PurePosixPath
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +37,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
-    if current is not None and (not configured or configured.rstrip("/") + "/" in current + "/"):
+    if current is not None and (not configured or PurePosixPath(urlsplit(configured).path) in PurePosixPath(urlsplit(current).path).parents):
         return current
     if not configured:
         if not context.master.startswith("local"):
