@@ -1,14 +1,15 @@
 """Exact linear-interpolation quantiles per series.
 
-``percentile`` keeps a value -> count map per group. That is right for ordinary series, but one
-series holding a large part of all rows would have to fit in one task. Series above a size limit
-therefore take a second way: their rows are first counted per distinct value, then cut into
-value bins, and only the bins that hold a wanted rank are ordered. Both ways are exact.
+``percentile`` keeps a value -> count map per group. That is right for series that fit in a task.
+The series are counted first, in one pass that combines map-side; only if some hold at least
+``LARGE_SERIES_ROWS`` rows does the plan get a second way for them, which narrows ranges of values
+until each holds a single value. Both ways are exact.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,90 +17,101 @@ from pyspark.sql import functions as F
 
 from panelcycle.operators.asof import slot_of
 from panelcycle.schema import PANEL, PanelColumns, present
+from panelcycle.session import materialize
 
 LARGE_SERIES_ROWS = 5_000_000
-# A large series also holds more than 1/200,000 of all rows, so there are fewer than 200,000 and
-# their list can be broadcast whatever the panel's size. At 10**12 rows that is 5 million rows.
-MAX_LARGE_SERIES = 200_000
-# Bins of about a million distinct values, 16 to 4,096 per series. All cut points together are
-# fewer than rows / 10**6 + 16 per large series: tens of megabytes at 10**12 rows.
-ROWS_PER_CUT = 1_000_000
-FEWEST_CUTS, MOST_CUTS = 16, 4_096
-COARSE_STEP = 64
+# Parts that a range of values is cut into per round. A round's groups hold one row per part and
+# slot, however many rows the series has.
+PARTS = 1_024
 
 
 def quantile_name(p: float) -> str:
     return f"q{round(p * 100):02d}"
 
 
-def _small_series(values: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    quantiles = F.percentile("_v", [float(p) for p in probs])
-    grouped = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), quantiles.alias("_q"))
-    return grouped.select(*keys, "n_obs", *[F.col("_q")[i].alias(quantile_name(p)) for i, p in enumerate(probs)])
+def _large_series(values: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
+    """Series of at least ``limit`` rows with their size and extremes, as a table; None if there are none."""
+    sizes = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_obs"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    )
+    large = materialize(sizes.where(F.col("n_obs") >= limit), "large-series")
+    return large if large.limit(1).count() else None
 
 
-def _large_series(values: DataFrame, large: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    distinct = values.join(F.broadcast(large.select(*keys)), keys, "left_semi").groupBy(*keys, "_v").agg(
-        F.count(F.lit(1)).alias("_copies")
-    )
-    # Cut points: a sample of the distinct values chosen by their hash, so that every reading of
-    # the data yields the same bins. It only decides where to cut, no row is left out. Testing
-    # the count keeps this branch's shuffle identical to the others', so Spark reuses one.
-    wanted_cuts = F.least(F.lit(MOST_CUTS), F.greatest(F.lit(FEWEST_CUTS), F.floor(F.col("n_obs") / ROWS_PER_CUT)))
-    one_in = F.greatest(F.lit(1), F.floor(F.col("n_obs") / wanted_cuts)).cast("bigint")
-    sampled = distinct.where(F.col("_copies") > 0).join(F.broadcast(large), keys).where(
-        F.pmod(F.xxhash64("_v"), one_in) == 0
-    )
-    sorted_cuts = sampled.groupBy(*keys).agg(F.sort_array(F.collect_set("_v")).alias("_cuts"))
-    cuts = sorted_cuts.withColumn("_coarse", F.expr(f"filter(_cuts, (c, i) -> i % {COARSE_STEP} = 0)"))
-    # number of cuts at or below the value: a coarse look first, then one stretch of the cuts
-    below_coarse = F.expr("size(filter(_coarse, c -> c <= _v))")
-    below_fine = F.expr(
-        f"size(filter(slice(_cuts, ({COARSE_STEP} * (_at - 1)) + 1, {COARSE_STEP}), c -> c <= _v))"
-        f" + {COARSE_STEP} * (_at - 1)"
-    )
-    binned = (
-        distinct.join(F.broadcast(large.join(cuts, keys, "left")), keys)
-        .withColumn("_at", below_coarse)
-        .withColumn("_bin", F.when(F.col("_at") > 0, below_fine).otherwise(0))
-        .drop("_cuts", "_coarse", "_at")
-    )
-    totals = binned.groupBy(*keys, "_bin").agg(F.sum("_copies").alias("_in_bin"))
-    ordered_bins = Window.partitionBy(*keys).orderBy("_bin")
-    starts = totals.withColumn("_before", F.sum("_in_bin").over(ordered_bins) - F.col("_in_bin"))
+def _part() -> Column:
+    """Which part of its range a value lies in: never less for a larger value, and different for the two ends."""
 
+    def half(c: str) -> Column:  # halves of finite values, so that no difference overflows
+        largest = F.lit(sys.float_info.max)
+        return F.greatest(F.least(F.col(c), largest), -largest) / 2
+
+    span = half("_high") - half("_low")
+    scaled = F.floor((half("_v") - half("_low")) / F.nullif(span, F.lit(0.0)) * PARTS).cast("int")
+    return F.coalesce(scaled, (F.col("_v") > F.col("_low")).cast("int"))
+
+
+def _values_at(rows: DataFrame, large: DataFrame, targets: DataFrame, keys: list[str], last: int) -> DataFrame:
+    """(keys, slot, _rank, _value): the value at a 0-based rank among a series' rows up to a slot.
+
+    ``rows`` (keys, slot, _v) are the large series' own; ``targets`` (keys, slot, _rank) are few. Per
+    round every open range of values is cut into parts, the parts are counted by slot, and only
+    those that hold a wanted rank stay open. Ranges are disjoint, so a row meets one of them at
+    most. Rounds end when every open range is one value; each round parts the two ends of a range.
+    """
+    place = [*keys, "_range"]
+    rows = rows.groupBy(*keys, "slot", "_v").agg(F.count(F.lit(1)).alias("_copies")).withColumn("_range", F.lit(""))
+    ranges = large.select(*keys, F.lit("").alias("_range"), "_low", "_high")
+    targets = targets.withColumns({"_range": F.lit(""), "_left": F.col("_rank")})
+    deeper = F.concat_ws(".", "_range", "_part").alias("_range")
+    found = []
+    while True:
+        placed = materialize(
+            rows.join(ranges, place).select(*place, "slot", "_v", "_copies", _part().alias("_part")), "quantile-rows"
+        )
+        counts = placed.groupBy(*place, "_part", "slot").agg(
+            F.sum("_copies").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most")
+        )
+        part = Window.partitionBy(*place, "_part")
+        so_far = part.orderBy("slot")
+        held = counts.select(
+            *place, "_part", "slot", F.sum("_n").over(so_far).alias("_n"), F.lead("slot").over(so_far).alias("_next"),
+            F.min("_least").over(part).alias("_low"), F.max("_most").over(part).alias("_high"),
+        ).withColumn("slot", F.explode(F.sequence("slot", F.coalesce(F.col("_next") - 1, F.lit(last)))))
+        held = held.join(targets.select(*place, "slot").distinct(), [*place, "slot"], "left_semi")
+        in_order = Window.partitionBy(*place, "slot").orderBy("_part")
+        starts = held.withColumn("_before", F.sum("_n").over(in_order) - F.col("_n"))
+        here = (F.col("_left") >= F.col("_before")) & (F.col("_left") < F.col("_before") + F.col("_n"))
+        hit = materialize(
+            starts.join(targets, [*place, "slot"]).where(here).select(
+                *keys, deeper, "slot", "_rank", (F.col("_left") - F.col("_before")).alias("_left"), "_low", "_high"
+            ),
+            "quantile-ranges",
+        )
+        found.append(hit.where("_low = _high").select(*keys, "slot", "_rank", F.col("_low").alias("_value")))
+        open_ = hit.where("_low < _high")
+        if not open_.limit(1).count():
+            break
+        targets = open_.select(*place, "slot", "_rank", "_left")
+        ranges = open_.select(*place, "_low", "_high").distinct()
+        rows = placed.select(*keys, deeper, "slot", "_v", "_copies")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _by_ranks(rows: DataFrame, large: DataFrame, sizes: DataFrame, keys: list[str], probs: Sequence[float], last: int = 0) -> DataFrame:
+    """Quantiles as an array ``_q`` beside the rows of ``sizes`` (keys, slot, n_obs, ...) of the large series."""
     positions = [F.lit(float(p)) * (F.col("n_obs") - 1) for p in probs]
-    ranks = [f(pos) for pos in positions for f in (F.floor, F.ceil)]
-
-    def holds(rank: Column, start: str, size: str) -> Column:
-        return (rank >= F.col(start)) & (rank < F.col(start) + F.col(size))
-
-    wanted_bins = starts.join(F.broadcast(large), keys)
-    hit = holds(ranks[0], "_before", "_in_bin")
-    for rank in ranks[1:]:
-        hit = hit | holds(rank, "_before", "_in_bin")
-    wanted_bins = wanted_bins.where(hit).select(*keys, "_bin", "_before")
-    # Joined on the bin, which is also what the window partitions by; a bin is small by design.
-    in_order = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    ranked = (
-        binned.join(wanted_bins, [*keys, "_bin"])
-        .withColumn("_start", F.col("_before") + F.sum("_copies").over(in_order) - F.col("_copies"))
-    )
-    edges = ranked.groupBy(*keys).agg(
-        F.first("n_obs").alias("n_obs"),
-        *[
-            F.max(F.when(holds(rank, "_start", "_copies"), F.col("_v"))).alias(f"_r{i}")
-            for i, rank in enumerate(ranks)
-        ],
-    )
-    out = []
-    for i, p in enumerate(probs):
-        low, high = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
-        position = F.lit(float(p)) * (F.col("n_obs") - 1)
+    ranks = F.array_distinct(F.array(*[f(pos) for pos in positions for f in (F.floor, F.ceil)]))
+    found = _values_at(rows, large, sizes.select(*keys, "slot", F.explode(ranks).alias("_rank")), keys, last)
+    held = found.groupBy(*keys, "slot").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at"))
+    blended = []
+    for position in positions:
         lower, upper = F.floor(position), F.ceil(position)
-        blended = (upper - position) * low + (position - lower) * high
-        out.append(F.when(lower == upper, low).otherwise(blended).alias(quantile_name(p)))
-    return edges.select(*keys, "n_obs", *out)
+        low, high = F.element_at("_at", lower), F.element_at("_at", upper)
+        blended.append(F.when(lower == upper, low).otherwise((upper - position) * low + (position - lower) * high))
+    return sizes.join(held, [*keys, "slot"]).withColumn("_q", F.array(*blended)).drop("_at")
 
 
 def series_quantiles(
@@ -112,23 +124,22 @@ def series_quantiles(
 ) -> DataFrame:
     """Quantiles of every series over the rows of all sources; NULL below ``min_observations``.
 
-    ``large_series_rows=None`` plans the ordinary way alone. It is for panels with one row per
-    series and day, where the calendar already bounds a series (366 values a year).
+    ``large_series_rows=None`` plans the ordinary way alone, without counting first. It is for panels
+    with one row per series and day, where the calendar already bounds a series (366 values a year).
     """
     keys = list(keys or cols.series_key)
     values = panel.where(present(F.col(cols.value))).select(*keys, F.col(cols.value).alias("_v"))
-    if large_series_rows is None:
-        both = _small_series(values, keys, probs)
-    else:
-        sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"))
-        all_rows = sizes.agg(F.sum("n_obs")).scalar()
-        large = sizes.where(
-            (F.col("n_obs") >= large_series_rows) & (F.col("n_obs") * MAX_LARGE_SERIES > all_rows)
-        )
-        small_values = values.join(F.broadcast(large.select(*keys)), keys, "left_anti")
-        both = _small_series(small_values, keys, probs).unionByName(_large_series(values, large, keys, probs))
+    large = None if large_series_rows is None else _large_series(values, keys, large_series_rows)
+    small = values if large is None else values.join(large.select(*keys), keys, "left_anti")
+    found = small.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_obs"), F.percentile("_v", [float(p) for p in probs]).alias("_q")
+    )
+    if large is not None:
+        rows = values.join(large.select(*keys), keys, "left_semi").withColumn("slot", F.lit(0))
+        sizes = large.select(*keys, F.lit(0).alias("slot"), "n_obs")
+        found = found.unionByName(_by_ranks(rows, large, sizes, keys, probs).select(*keys, "n_obs", "_q"))
     enough = F.col("n_obs") >= min_observations
-    return both.select(*keys, "n_obs", *[F.when(enough, F.col(quantile_name(p))).alias(quantile_name(p)) for p in probs])
+    return found.select(*keys, "n_obs", *[F.when(enough, F.col("_q")[i]).alias(quantile_name(p)) for i, p in enumerate(probs)])
 
 
 def expanding_quantiles(
@@ -143,43 +154,34 @@ def expanding_quantiles(
 
     Rows are walked once per series in slot order. The rows of a slot are peers of one growing
     frame, so the quantiles are evaluated once per slot with news, never once per row, and then
-    hold until the next such slot. A series too large for one task has its rows repeated for the
-    later dates instead, and every (series, date) goes through the large-series way.
+    hold until the next such slot. The large series' values are counted by slot instead, and their
+    rows are never repeated for later dates.
     """
     keys = cols.series_key
     usable = panel.where(present(F.col(cols.value))).select(*keys, cols.date, F.col(cols.value).alias("_v"))
     values = slot_of(usable, grid, cols).select(*keys, "_v", "slot")
-    if large_series_rows is None:
-        walked, repeated = values, None
-    else:
-        sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"))
-        all_rows = sizes.agg(F.sum("n_obs")).scalar()
-        large = sizes.where(
-            (F.col("n_obs") >= large_series_rows) & (F.col("n_obs") * MAX_LARGE_SERIES > all_rows)
-        ).select(*keys)
-        walked = values.join(F.broadcast(large), keys, "left_anti")
-        repeated = values.join(F.broadcast(large), keys, "left_semi")
+    large = None if large_series_rows is None else _large_series(values, list(keys), large_series_rows)
+    walked = values if large is None else values.join(large.select(*keys), list(keys), "left_anti")
 
     so_far = Window.partitionBy(*keys).orderBy("slot")
     last = len(grid) - 1
-    held = (
-        walked.select(
-            *keys, "slot",
-            F.count(F.lit(1)).over(so_far).alias("n_obs"),
-            F.percentile("_v", [float(p) for p in probs]).over(so_far).alias("_q"),
-            F.lead("slot").over(so_far).alias("_next"),
+    news = walked.select(
+        *keys, "slot",
+        F.count(F.lit(1)).over(so_far).alias("n_obs"),
+        F.lead("slot").over(so_far).alias("_next"),
+        F.percentile("_v", [float(p) for p in probs]).over(so_far).alias("_q"),
+    ).where(F.col("_next").isNull() | (F.col("_next") > F.col("slot")))  # the last of a slot's rows stands for the slot
+    if large is not None:
+        rows = values.join(large.select(*keys), list(keys), "left_semi")
+        per_slot = rows.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("_n"))
+        sizes = per_slot.select(
+            *keys, "slot", F.sum("_n").over(so_far).alias("n_obs"), F.lead("slot").over(so_far).alias("_next")
         )
-        # the last of a slot's rows stands for the slot
-        .where(F.col("_next").isNull() | (F.col("_next") > F.col("slot")))
-        .withColumn("slot", F.explode(F.sequence("slot", F.coalesce(F.col("_next") - 1, F.lit(last)))))
-    )
-    names = [quantile_name(p) for p in probs]
+        news = news.unionByName(_by_ranks(rows, large, sizes, list(keys), probs, last))
+    held = news.withColumn("slot", F.explode(F.sequence("slot", F.coalesce(F.col("_next") - 1, F.lit(last)))))
     enough = F.col("n_obs") >= min_observations
-    found = held.select(*keys, "slot", "n_obs", *[F.when(enough, F.col("_q")[i]).alias(n) for i, n in enumerate(names)])
-    if repeated is not None:
-        later = repeated.select(*keys, F.col("_v").alias(cols.value), F.explode(F.sequence("slot", F.lit(last))).alias("slot"))
-        found = found.unionByName(
-            series_quantiles(later, probs, min_observations, [*keys, "slot"], large_series_rows, cols)
-        )
     dates = F.array(*[F.lit(d) for d in grid])
-    return found.select(*keys, F.element_at(dates, F.col("slot") + 1).alias("as_of"), "n_obs", *names)
+    return held.select(
+        *keys, F.element_at(dates, F.col("slot") + 1).alias("as_of"), "n_obs",
+        *[F.when(enough, F.col("_q")[i]).alias(quantile_name(p)) for i, p in enumerate(probs)],
+    )

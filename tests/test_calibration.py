@@ -39,6 +39,7 @@ def test_large_series_way_is_exact(panel_of, seed):
         "one": [3.25],
         "flat": [7.0] * 50,
         "hot": [rng.random() for _ in range(1500)],
+        "ends": [-1.7e308, 1.7e308, 5e-324, 0.0, -5e-324] * 20,
     }
     rows = [(g, "x", dt.date(2000, 1, 1) + dt.timedelta(days=i), v) for g, vs in groups.items() for i, v in enumerate(vs)]
     probs = (0.0, 0.1, 0.5, 0.75, 0.95, 1.0)
@@ -49,6 +50,13 @@ def test_large_series_way_is_exact(panel_of, seed):
         assert ours == pytest.approx(list(np.quantile(values, probs)), rel=1e-12, abs=1e-12), name
 
 
+def test_large_series_with_infinite_values(panel_of):
+    values = [float("-inf"), -1.0, 2.0, float("inf"), float("inf")]
+    rows = [("A", "x", d, v) for d, v in zip(months(START, 5), values)]
+    found = series_quantiles(panel_of(rows), (0.0, 0.25, 0.5, 1.0), large_series_rows=1).first()
+    assert [found.q00, found.q25, found.q50, found.q100] == [float("-inf"), -1.0, 2.0, float("inf")]
+
+
 def test_thresholds_fall_back_field_by_field(spark, panel_of):
     panel = panel_of(series("DSR", "debt_service_ratio", range(40)) + series("CPI", "cpi_yoy", [0.5] * 40) + series("HOT", "cpi_yoy", range(40))
                      + series("FEW", "cpi_yoy", [9.0] * 39))

@@ -103,3 +103,11 @@ def test_grid_asof_of_the_hot_series(stored):
     found = {(r.entity, r.indicator): r.observed_on for r in asof_grid(stored, GRID).where(F.col("as_of") == F.lit(GRID[-1])).collect()}
     expected = {(r.entity, r.indicator): r.d for r in stored.groupBy("entity", "indicator").agg(F.max("date").alias("d")).collect()}
     assert found == expected
+
+
+@pytest.mark.parametrize("how, scans, exchanges", [("calibrated", 3, 5), ("expanding", 3, 5)])
+def test_a_default_classification_reads_and_shuffles_little(stored, how, scans, exchanges):
+    """Ordinary series are counted before, so the plan has no way for larger ones."""
+    plan = plan_of(classify(stored, GRID, thresholds=how))
+    assert plan.count("FileScan") <= scans
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= exchanges
