@@ -17,7 +17,7 @@ def ask(name: str, needs: str, sql: str) -> None:
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (needs, sql) in FINAL.items():
-        head = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" if n in ("panel", "daily") else f"{n} AS ({CTES[n]})" for n in needs)
+        head = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" if n in ("panel", "daily", "panel_sources") else f"{n} AS ({CTES[n]})" for n in needs)
         out[name] = (f"WITH {head}\n" if needs else "") + sql
     return out
 
@@ -111,6 +111,12 @@ cte("nation_orders", """SELECT o.*, n_name AS entity, n_nationkey, n_regionkey F
 _QUARTERS = "SELECT CAST(g AS DATE) AS as_of FROM generate_series(DATE '1995-10-01', DATE '2001-08-01', INTERVAL 3 MONTH) t(g)"
 cte("grid", _QUARTERS)
 cte("grid_one", f"SELECT {AS_OF} AS as_of")
+cte("panel_sources", """SELECT entity, indicator, date, value, 'STAR' AS source FROM panel
+  UNION ALL SELECT entity, indicator, date, value * 1.25::DOUBLE, 'ALT' FROM panel WHERE (year(date) * 12 + month(date)) % 2 = 0
+  UNION ALL SELECT entity, indicator, CAST(date + 14 AS DATE), value * 0.75::DOUBLE, 'MID' FROM panel WHERE (year(date) * 12 + month(date)) % 3 = 0""")
+_SRC_RANK = "CASE source WHEN 'ALT' THEN 0 WHEN 'STAR' THEN 1 ELSE 2 END"
+cte("panel_srcday", f"""SELECT entity, indicator, date, value FROM panel_sources
+  QUALIFY row_number() OVER (PARTITION BY entity, indicator, date ORDER BY {_SRC_RANK}) = 1""")
 cte("panel_lagged45", "SELECT entity, indicator, CAST(date + 45 AS DATE) AS date, value FROM panel")
 
 
@@ -141,12 +147,13 @@ _snapshot_ctes("", "panel", "grid", _ALL_NATIONS.format(grid="grid"))
 _snapshot_ctes("_one", "panel", "grid_one", _ALL_NATIONS.format(grid="grid_one"))
 _snapshot_ctes("_pit", "panel_lagged45", "grid", _ALL_NATIONS.format(grid="grid"))
 _snapshot_ctes("_cust", "panel_customer", "grid_one", "SELECT DISTINCT entity, as_of FROM found_cust WHERE indicator <> 'hy_spread'")
-_snapshot_ctes("_custq", "panel_customer", "grid", "SELECT DISTINCT entity, as_of FROM found_custq WHERE indicator <> 'hy_spread'")
+_snapshot_ctes("_custq", "panel_customer", "grid", "SELECT entity, as_of FROM (SELECT DISTINCT entity FROM found_custq WHERE indicator <> 'hy_spread') CROSS JOIN grid")
+_snapshot_ctes("_src", "panel_srcday", "grid", _ALL_NATIONS.format(grid="grid"))
 
 
 def snapshot_needs(suffix: str = "") -> str:
     panels = {"": f"{PANEL} grid", "_one": f"{PANEL} grid_one", "_pit": f"{PANEL} panel_lagged45 grid",
-              "_cust": "wide_customer panel_customer grid_one", "_custq": "wide_customer panel_customer grid"}
+              "_cust": "wide_customer panel_customer grid_one", "_custq": "wide_customer panel_customer grid", "_src": f"{PANEL} panel_sources panel_srcday grid"}
     return f"{panels[suffix]} found{suffix} anchors{suffix} lagged{suffix} snapshot{suffix} features{suffix}"
 
 
@@ -177,6 +184,8 @@ def _thresholds(panel: str, minimum: int, keys: str = "entity") -> str:
 cte("own", _thresholds("panel", 40))
 cte("own_grid", _thresholds("(SELECT * FROM panel JOIN grid ON date <= as_of)", 40, "entity, as_of"))
 cte("own_grid45", _thresholds("(SELECT * FROM panel_lagged45 JOIN grid ON date <= as_of)", 40, "entity, as_of"))
+cte("own_src", _thresholds("panel_sources", 40))
+cte("own_grid_src", _thresholds("(SELECT * FROM panel_sources JOIN grid ON date <= as_of)", 40, "entity, as_of"))
 cte("own_customer", _thresholds("panel_customer", 40))
 cte("own_customer10", _thresholds("panel_customer", 10))
 
@@ -195,6 +204,11 @@ cte("signal_grid", zscore("entity, as_of", """(SELECT p.*, as_of FROM panel p JO
 cte("signal_grid45", zscore("entity, as_of", """(SELECT p.*, as_of FROM panel_lagged45 p JOIN grid
   ON p.date <= as_of AND p.date >= as_of - 7300 WHERE indicator = 'hy_spread')"""))
 
+_SRC_NEWEST = f"arg_max(value, (date, -({_SRC_RANK})))"
+cte("signal_src", zscore("entity", f"(SELECT * FROM panel_sources WHERE indicator = 'hy_spread' AND date >= {TODAY} - 7300)", _SRC_NEWEST))
+cte("signal_grid_src", zscore("entity, as_of", """(SELECT p.*, as_of FROM panel_sources p JOIN grid
+  ON p.date <= as_of AND p.date >= as_of - 7300 WHERE indicator = 'hy_spread')""", _SRC_NEWEST))
+
 # ---- rules -----------------------------------------------------------------------------------------
 
 _FILLED = ", ".join(f"coalesce(t.{n}, {d}::DOUBLE) AS {n}" for n, d in THRESHOLDS.items())
@@ -211,6 +225,8 @@ def _inputs(name: str, features: str, own: str | None, signal: str | None, signa
 
 
 _inputs("inputs", "features", "own", "signal_today", "entity")
+_inputs("inputs_src", "features_src", "own_src", "signal_src", "entity")
+_inputs("inputs_srcpit", "features_src", "own_grid_src", "signal_grid_src", "entity as_of", "entity as_of")
 _inputs("inputs_pit_rules", "features", "own", "signal_grid", "entity as_of")
 _inputs("inputs_pit", "features_pit", "own_grid45", "signal_grid45", "entity as_of", "entity as_of")
 _inputs("inputs_custq", "features_custq", "own_customer", None, "")
@@ -300,6 +316,16 @@ _classification("_pit", "inputs_pit")
 _classification("_custq", "inputs_custq")
 _classification("_default", "inputs_default")
 _classification("_one", "inputs_one")
+_classification("_src", "inputs_src")
+_classification("_srcpit", "inputs_srcpit")
+_USER_RULES = {
+    "inverted": (2, "CASE WHEN yield_curve_slope < 0 THEN 0.6::DOUBLE END"),
+    "hot": (2, "CASE WHEN cpi_yoy > cpi_elevated THEN 0.5::DOUBLE END"),
+    "cheap_money": (1, "CASE WHEN real_rate_10y < -2 THEN 0.9::DOUBLE WHEN real_rate_10y < 0 THEN 0.4::DOUBLE END"),
+}
+cte("fired_user", "SELECT *, " + ", ".join(f"{e} AS {n}" for n, (_, e) in _USER_RULES.items()) + " FROM inputs")
+cte("weighed_user", f"SELECT *, {_weights(_USER_RULES, 'st', range(1, 3))} FROM fired_user")
+cte("short_user", _decision("weighed_user", "st", {1: "Loose", 2: "Tight"}, "st_stage", "st_label", "st_confidence"))
 
 
 def decided_needs(suffix: str) -> str:
@@ -310,6 +336,8 @@ def decided_needs(suffix: str) -> str:
         "_custq": f"{snapshot_needs('_custq')} own_customer inputs_custq",
         "_default": f"{snapshot_needs('_one')} inputs_default",
         "_one": f"{snapshot_needs('_one')} own signal_today inputs_one",
+        "_src": f"{snapshot_needs('_src')} own_src signal_src inputs_src",
+        "_srcpit": f"{snapshot_needs('_src')} own_grid_src signal_grid_src inputs_srcpit",
     }[suffix]
     return f"{before} fired{suffix} weighed{suffix} short{suffix} long{suffix} decided{suffix}"
 
@@ -584,6 +612,14 @@ _PATH = f"SELECT entity, as_of AS date, st_stage, st_label, {r6('st_confidence')
 ask("regime_replay", decided_needs(""), _PATH + "decided")
 ask("regime_replay_point_in_time", decided_needs("_pit"), _PATH + "decided_pit")
 ask("regime_replay_customers", decided_needs("_custq"), _PATH + "decided_custq")
+ask("regime_replay_sources", decided_needs("_src"), _PATH + "decided_src")
+ask("regime_replay_sources_point_in_time", decided_needs("_srcpit"), _PATH + "decided_srcpit")
+ask("feature_snapshot_sources", snapshot_needs("_src"), f"SELECT entity, as_of, {_SNAP} FROM snapshot_src")
+ask("entity_view_headers_sources", decided_needs("_src"), f"""SELECT entity, as_of, st_label, lt_label, {r6('st_confidence')}, {r6('lt_confidence')},
+  {_CAUTION} AS caution_level, {_REGIME} AS real_yield_regime FROM decided_src""")
+ask("regime_replay_user_rules", decided_needs("") + " fired_user weighed_user short_user", f"""SELECT s.entity, s.as_of AS date, s.st_stage,
+  replace(s.st_label, 'Transition', 'Unclear') AS st_label, {r6('s.st_confidence', 'st_confidence')}, d.lt_phase
+  FROM short_user s JOIN decided d ON d.entity = s.entity AND d.as_of = s.as_of""")
 ask("phase_path_gate", decided_needs(""), "SELECT entity, count(DISTINCT lt_phase) AS n_phases FROM decided GROUP BY 1 HAVING count(DISTINCT lt_phase) > 1")
 
 ask("asset_tilt_table", SEK, f"SELECT entity, as_of, asset, {r6('tilt')} FROM tilted_sek")

@@ -126,6 +126,26 @@ def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sourced_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations' panel from three sources: ALT repeats the days of every second month with other
+    values, MID reports the middle of every third month. Landed once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "sources")
+    if key not in _LANDED:
+        value, month = F.col("value"), F.year("date") * 12 + F.month("date")
+
+        def report(source: str, date: Column, amount: Column) -> Column:
+            return F.struct(F.lit(source).alias("source"), date.alias("date"), amount.alias("value"))
+
+        reports = F.array(
+            report("STAR", F.col("date"), value),
+            report("ALT", F.col("date"), F.when(month % 2 == 0, value * 1.25)),
+            report("MID", F.date_add("date", 14), F.when(month % 3 == 0, value * 0.75)),
+        )
+        rows = landed_panel(spark, sf_dir).select("entity", "indicator", "series_id", F.inline(reports))
+        _LANDED[key] = materialize(rows.where(F.col("value").isNotNull()), "panel-sources", ["indicator"])
+    return _LANDED[key]
+
+
 def grid_dates() -> list[dt.date]:
     from panelcycle.plans.replay import date_grid
 

@@ -23,6 +23,7 @@ from bindings.panel import (
     landed_panel,
     monthly_panel,
     monthly_wide,
+    sourced_panel,
     table,
 )
 from panelcycle.catalog.indicators import ALL_INDICATORS, LAGGED_FEATURES
@@ -33,7 +34,7 @@ from panelcycle.operators import audit, membership, series
 from panelcycle.operators.asof import asof_grid, asof_join, latest_at, with_anchor_lags
 from panelcycle.operators.canonical import canonical_panel, duplicate_keys
 from panelcycle.operators.quantiles import expanding_quantiles, series_quantiles
-from panelcycle.operators.rules import LONG_TERM_RULES, SHORT_TERM_RULES
+from panelcycle.operators.rules import LONG_TERM_RULES, SHORT_TERM_RULES, Rule, RuleSet, case, text
 from panelcycle.operators.signals import credit_signal, trailing_zscore, trailing_zscore_grid
 from panelcycle.operators.snapshot import feature_snapshots, with_derived_features
 from panelcycle.operators.thresholds import calibrated_thresholds, expanding_thresholds, threshold_deltas, with_thresholds
@@ -55,6 +56,7 @@ from panelcycle.sources.worldbank import parse_worldbank_json
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+SOURCE_PRIORITY = ("ALT", "STAR")  # of the panel of three sources
 PRIORITY = ("N", "R", "A")  # sources of the daily panel, best first
 ASKED_CODES = ["nation_3", "Nation_7", "REGION_1", "nation_24"]
 
@@ -457,7 +459,7 @@ def status_bands(spark, sf_dir):
 @query
 def vote_reasons(spark, sf_dir):
     """Texts round differently by engine, so there is nothing to compare them with."""
-    views = _views(spark, sf_dir, "USD")
+    views = _views(spark, sf_dir, "USD", with_reasons=True)
     return views.select(
         "entity", "as_of", "summary", F.transform("st_votes", lambda v: v["reason"]).cast("string").alias("st_reasons"),
         F.transform("lt_votes", lambda v: v["reason"]).cast("string").alias("lt_reasons"),
@@ -743,6 +745,59 @@ def _rounded_path(replayed: DataFrame) -> DataFrame:
     )
 
 
+def _sourced(spark, sf_dir) -> dict:
+    """Arguments for plans over the panel of three sources; all others stay at their defaults."""
+    return {"today": TODAY, "entities": nations(spark, sf_dir).select("entity"), "signal_entities": SIGNAL_ENTITIES,
+            "priority": SOURCE_PRIORITY}
+
+
+@query
+def feature_snapshot_sources(spark, sf_dir):
+    """As-of values and lags where up to two sources report a day and a third one reports between them."""
+    found = feature_snapshots(sourced_panel(spark, sf_dir), grid_dates(), nations(spark, sf_dir), priority=SOURCE_PRIORITY)
+    return found.select("entity", "as_of", *[r6(c) for c in (*ALL_INDICATORS, *LAGGED_FEATURES)])
+
+
+@query
+def regime_replay_sources(spark, sf_dir):
+    """The replay with its default plan over a panel of three sources."""
+    return _rounded_path(replay(sourced_panel(spark, sf_dir), REPLAY_START, REPLAY_END, **_sourced(spark, sf_dir)))
+
+
+@query
+def regime_replay_sources_point_in_time(spark, sf_dir):
+    """Thresholds and signal of each date, default plan, three sources."""
+    replayed = replay(sourced_panel(spark, sf_dir), REPLAY_START, REPLAY_END, calibration="expanding", signal_asof="as_of",
+                      **_sourced(spark, sf_dir))
+    return _rounded_path(replayed)
+
+
+@query
+def entity_view_headers_sources(spark, sf_dir):
+    views = entity_views(sourced_panel(spark, sf_dir), grid_dates(), HOME_CURRENCY, HOMES, **_sourced(spark, sf_dir))
+    return views.select("entity", "as_of", "st_label", "lt_label", r6("st_confidence"), r6("lt_confidence"), "caution_level", "real_yield_regime")
+
+
+USER_RULES = RuleSet(
+    (
+        Rule("inverted", 2, case(("yield_curve_slope < 0D", 0.6)), text("curve at %.2fpp", "yield_curve_slope")),
+        Rule("hot", 2, case(("cpi_yoy > cpi_elevated", 0.5)), text("inflation %.2f%%", "cpi_yoy")),
+        Rule("cheap_money", 1, case(("real_rate_10y < -2D", 0.9), ("real_rate_10y < 0D", 0.4)), text("real rate %+.1f%%", "real_rate_10y")),
+    ),
+    {0: "Unclear", 1: "Loose", 2: "Tight"},
+)
+
+
+@query
+def regime_replay_user_rules(spark, sf_dir):
+    """The replay under a user's own short cycle of two classes."""
+    replayed = replay(
+        landed_panel(spark, sf_dir), REPLAY_START, REPLAY_END, "Q", TODAY, nations(spark, sf_dir).select("entity"),
+        signal_entities=SIGNAL_ENTITIES, short_term=USER_RULES,
+    )
+    return replayed.select("entity", "date", "st_stage", "st_label", r6("st_confidence"), "lt_phase")
+
+
 @query
 def phase_path_gate(spark, sf_dir):
     replayed = _classified(spark, sf_dir).select("entity", "lt_phase")
@@ -751,10 +806,11 @@ def phase_path_gate(spark, sf_dir):
 
 # ---- tilts and views ----------------------------------------------------------------------------------
 
-def _views(spark, sf_dir, currency: str) -> DataFrame:
+def _views(spark, sf_dir, currency: str, with_reasons: bool = False) -> DataFrame:
     return entity_views(
         landed_panel(spark, sf_dir), grid_dates(), currency, HOMES, today=TODAY,
         entities=nations(spark, sf_dir).select("entity"), signal_entities=SIGNAL_ENTITIES, one_row_per_day=True,
+        with_reasons=with_reasons,
     )
 
 

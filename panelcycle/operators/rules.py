@@ -3,13 +3,16 @@
 A rule is a class, a weight that is NULL while the rule does not fire, and a reason. A comparison
 with a missing input is NULL and ``CASE`` treats NULL as "not fired", so missing data never casts
 a vote unless a rule says so. Weights are doubles (``D``), not decimals. A rule set is an ordered
-list; users may pass their own.
+list with the labels of its classes; users may pass their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from panelcycle.catalog.tilts import PHASE_LABELS, STAGE_LABELS
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -19,6 +22,23 @@ class Rule:
     reason: str
 
 
+@dataclass(frozen=True)
+class RuleSet:
+    """One cycle: its rules in voting order and a label per class, 0 standing for a transition."""
+
+    rules: Sequence[Rule]
+    labels: Mapping[int, str]
+
+    @property
+    def classes(self) -> tuple[int, ...]:
+        return tuple(sorted({r.cls for r in self.rules}))
+
+    @property
+    def voting_order(self) -> tuple[int, ...]:
+        """The classes in the order in which they first vote, which is that of a blend's sums."""
+        return tuple(dict.fromkeys(r.cls for r in self.rules))
+
+
 def case(*steps: tuple[str, float]) -> str:
     """First matching step's weight as a double, NULL when none matches."""
     whens = " ".join(f"WHEN {condition} THEN {float(weight)}D" for condition, weight in steps)
@@ -117,3 +137,6 @@ LONG_TERM_RULES: tuple[Rule, ...] = (
     Rule("inflated_away", 6, case((f"{_SHRINKING} AND cpi_yoy > cpi_elevated", 0.7)),
          text("debt %.0f%%, %+.0fpp in 5 years, with inflation %.1f%%", _DEBT, _DEBT_CHANGE, _CPI)),
 )
+
+SHORT_TERM = RuleSet(SHORT_TERM_RULES, STAGE_LABELS)
+LONG_TERM = RuleSet(LONG_TERM_RULES, PHASE_LABELS)

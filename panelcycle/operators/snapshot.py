@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcycle.catalog.indicators import (
@@ -31,6 +31,17 @@ def _markers(entities: DataFrame, first: dt.date, cols: PanelColumns) -> DataFra
     ).distinct()
 
 
+def _on_earlier_dates(snapshots: DataFrame, grid: Sequence[dt.date], cols: PanelColumns) -> DataFrame:
+    """Add empty rows on the grid dates before an entity's first one. An entity has a row per date at most."""
+    first = F.row_number().over(Window.partitionBy(cols.entity).orderBy("as_of")) == 1
+    earlier = F.filter(F.array(*[F.lit(d) for d in grid]), lambda d: d < F.col("as_of"))
+    dates = F.when(first, F.array_append(earlier, F.col("as_of"))).otherwise(F.array("as_of"))
+    spread = snapshots.withColumn("_dates", dates).withColumn("_at", F.explode_outer("_dates"))
+    values = [c for c in snapshots.columns if c not in (cols.entity, "as_of")]
+    own = F.col("_at") == F.col("as_of")
+    return spread.select(cols.entity, F.col("_at").alias("as_of"), *[F.when(own, F.col(c)).alias(c) for c in values])
+
+
 def feature_snapshots(
     panel: DataFrame,
     grid: Sequence[dt.date],
@@ -39,12 +50,14 @@ def feature_snapshots(
     lagged: Mapping[str, tuple[str, int]] = LAGGED_FEATURES,
     priority: Sequence[str] = (),
     one_row_per_day: bool = False,
+    every_date: bool = False,
     cols: PanelColumns = PANEL,
 ) -> DataFrame:
     """As-of values, lagged values and observation dates of all indicators, side by side.
 
     With ``entities`` every listed entity gets a row on every date, data or not; without it the
-    entities are those of the panel. The indicator list is fixed, so widening needs no pass to
+    entities are those of the panel, from their first observation on, or on all dates with
+    ``every_date``, if they have an observation by the last one. The indicator list is fixed, so widening needs no pass to
     discover columns.
 
     The canonical rows are shuffled once, by entity. Lags, as-of picks, widening and a later join
@@ -67,7 +80,8 @@ def feature_snapshots(
     for feature, (name, days) in lagged.items():
         if name in indicators:
             aggregates.append(pick(name, f"lag_{days}d", feature))
-    return answered.groupBy(cols.entity, "as_of").agg(*aggregates)
+    found = answered.groupBy(cols.entity, "as_of").agg(*aggregates)
+    return _on_earlier_dates(found, grid, cols) if every_date and entities is None else found
 
 
 def with_derived_features(snapshots: DataFrame) -> DataFrame:

@@ -27,13 +27,11 @@ from panelcycle.functions.scalars import (
     real_yield_regime,
 )
 from panelcycle.functions.text import summary_line
+from panelcycle.operators.rules import LONG_TERM, SHORT_TERM
 from panelcycle.operators.votes import quoted
 
 TiltTable = Mapping[int, Mapping[str, float]]
 
-# The order in which the classes first vote, which is the order of the blend's sums.
-SHORT_TERM_BLEND_ORDER: tuple[int, ...] = (3, 2, 4, 1)
-LONG_TERM_BLEND_ORDER: tuple[int, ...] = (1, 2, 3, 4, 5, 6)
 # Fixed value: contributions up to this size get no reason.
 REASON_CUTOFF = 0.01
 
@@ -74,19 +72,21 @@ def asset_tilts(
     short_table: TiltTable = SHORT_TERM_TILTS,
     long_table: TiltTable = LONG_TERM_TILTS,
     with_reasons: bool = True,
+    short_order: Sequence[int] = SHORT_TERM.voting_order,
+    long_order: Sequence[int] = LONG_TERM.voting_order,
 ) -> DataFrame:
     """Add a ``tilts`` array with one struct per asset, in display order, and the header columns.
 
     ``classified`` carries both cycles' class, label, confidence and class weights, and
-    ``real_rate_10y``. Confidences scale the two cycle layers; the overlays speak for themselves.
+    ``real_rate_10y``; the orders are their rule sets' voting orders. Confidences scale the two cycle layers; the overlays speak for themselves.
     """
     currency = F.lit(home_currency) if isinstance(home_currency, str) else home_currency
     target = F.col("real_rate_10y")
     home = F.lit(None).cast("double") if home_real_rate is None else home_real_rate
     staged = classified.withColumns(
         {
-            "_st_total": F.expr(" + ".join(f"st_w{k}" for k in SHORT_TERM_BLEND_ORDER)),
-            "_lt_total": F.expr(" + ".join(f"lt_w{k}" for k in LONG_TERM_BLEND_ORDER)),
+            "_st_total": F.expr(" + ".join(f"st_w{k}" for k in short_order)),
+            "_lt_total": F.expr(" + ".join(f"lt_w{k}" for k in long_order)),
             "_st_conf": F.expr("greatest(st_confidence, 0D)"),
             "_lt_conf": F.expr("greatest(lt_confidence, 0D)"),
             "_ry": real_yield_intensity(target),
@@ -97,8 +97,8 @@ def asset_tilts(
             "caution_level": caution_level(F.col("lt_phase")),
         }
     )
-    layers = [f"{layer_tilt(a, short_table, 'st_stage', 'st', SHORT_TERM_BLEND_ORDER)} AS _st_{a}" for a in ASSETS]
-    layers += [f"{layer_tilt(a, long_table, 'lt_phase', 'lt', LONG_TERM_BLEND_ORDER)} AS _lt_{a}" for a in ASSETS]
+    layers = [f"{layer_tilt(a, short_table, 'st_stage', 'st', short_order)} AS _st_{a}" for a in ASSETS]
+    layers += [f"{layer_tilt(a, long_table, 'lt_phase', 'lt', long_order)} AS _lt_{a}" for a in ASSETS]
     structs = []
     for position, asset in enumerate(ASSETS):
         total = (

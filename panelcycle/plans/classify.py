@@ -12,29 +12,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcycle.catalog.entities import SIGNAL_ENTITIES
-from panelcycle.catalog.tilts import PHASE_LABELS, STAGE_LABELS
-from panelcycle.operators.rules import LONG_TERM_RULES, SHORT_TERM_RULES, Rule
+from panelcycle.operators.rules import LONG_TERM, SHORT_TERM, RuleSet
 from panelcycle.operators.signals import credit_signal
 from panelcycle.operators.snapshot import feature_snapshots, with_derived_features
 from panelcycle.operators.thresholds import calibrated_thresholds, expanding_thresholds, with_thresholds
 from panelcycle.operators.votes import cast_votes, decide
 from panelcycle.schema import PANEL, PanelColumns
 
-SHORT_TERM_CLASSES = (1, 2, 3, 4)
-LONG_TERM_CLASSES = (1, 2, 3, 4, 5, 6)
 SIGNAL_COLUMNS = ("hy_spread", "hy_spread_z")
 
 
-def classify_short_term(features: DataFrame, rules: Sequence[Rule] = SHORT_TERM_RULES, with_reasons: bool = True) -> DataFrame:
+def classify_short_term(features: DataFrame, cycle: RuleSet = SHORT_TERM, with_reasons: bool = True) -> DataFrame:
     """Add ``st_stage``, ``st_label``, ``st_confidence``, ``st_votes`` and the class weights."""
-    voted = cast_votes(features, rules, "st", with_reasons)
-    return decide(voted, SHORT_TERM_CLASSES, STAGE_LABELS, "st", "st_stage", "st_label", "st_confidence")
+    voted = cast_votes(features, cycle.rules, "st", with_reasons)
+    return decide(voted, cycle.classes, cycle.labels, "st", "st_stage", "st_label", "st_confidence")
 
 
-def classify_long_term(features: DataFrame, rules: Sequence[Rule] = LONG_TERM_RULES, with_reasons: bool = True) -> DataFrame:
+def classify_long_term(features: DataFrame, cycle: RuleSet = LONG_TERM, with_reasons: bool = True) -> DataFrame:
     """Add ``lt_phase``, ``lt_label``, ``lt_confidence``, ``lt_votes`` and the class weights."""
-    voted = cast_votes(features, rules, "lt", with_reasons)
-    return decide(voted, LONG_TERM_CLASSES, PHASE_LABELS, "lt", "lt_phase", "lt_label", "lt_confidence")
+    voted = cast_votes(features, cycle.rules, "lt", with_reasons)
+    return decide(voted, cycle.classes, cycle.labels, "lt", "lt_phase", "lt_label", "lt_confidence")
 
 
 def attach_signal(snapshots: DataFrame, signal: DataFrame | None, on: Sequence[str]) -> DataFrame:
@@ -55,16 +52,22 @@ def classify(
     priority: Sequence[str] = (),
     one_row_per_day: bool = False,
     with_reasons: bool = True,
+    short_term: RuleSet = SHORT_TERM,
+    long_term: RuleSet = LONG_TERM,
+    every_date: bool = False,
     cols: PanelColumns = PANEL,
 ) -> DataFrame:
     """Both classifications of every entity on every grid date.
 
     ``thresholds``: ``"calibrated"`` derives them from each entity's full history, ``"expanding"``
-    from its history up to each date; a frame or a mapping is used as given; None means the defaults. ``signal_asof``: ``"today"`` gives every
-    date the score as of ``today`` (default: last grid date), ``"as_of"`` the score of that date,
-    ``"none"`` no signal. Series never cross an entity, so the job scales with entities.
+    from its history up to each date; a frame or a mapping is used as given; None means the defaults.
+    ``signal_asof``: ``"today"`` gives every date the score as of ``today`` (default: last grid date), ``"as_of"`` the score of that date,
+    ``"none"`` no signal. ``short_term`` and ``long_term`` are the rule sets. ``every_date``: see
+    ``feature_snapshots``. Series never cross an entity, so the job scales with entities.
     """
-    snapshots = feature_snapshots(panel, grid, entities, priority=priority, one_row_per_day=one_row_per_day, cols=cols)
+    snapshots = feature_snapshots(
+        panel, grid, entities, priority=priority, one_row_per_day=one_row_per_day, every_date=every_date, cols=cols
+    )
     if signal_asof == "today":
         signal = credit_signal(panel, today or grid[-1], enabled=signal_entities, priority=priority, cols=cols)
         on = [cols.entity]
@@ -76,7 +79,7 @@ def classify(
     else:
         raise ValueError(f"signal_asof must be 'today', 'as_of' or 'none', not {signal_asof!r}")
     threshold_keys = (cols.entity,)
-    # one row per day bounds a series by the calendar, so no way for larger ones is planned
+    # one row per day bounds a series by the calendar, so the series need not be counted
     limit = {"large_series_rows": None} if one_row_per_day else {}
     if isinstance(thresholds, str):
         if thresholds == "calibrated":
@@ -89,4 +92,4 @@ def classify(
     features = with_thresholds(
         with_derived_features(attach_signal(snapshots, signal, on)), thresholds, threshold_keys
     )
-    return classify_long_term(classify_short_term(features, with_reasons=with_reasons), with_reasons=with_reasons)
+    return classify_long_term(classify_short_term(features, short_term, with_reasons), long_term, with_reasons)

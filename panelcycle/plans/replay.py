@@ -49,14 +49,15 @@ def replay(
 
     By default thresholds see the full history and the credit signal is today's, as documented
     in the README; ``calibration="expanding"``, ``signal_asof="as_of"`` and
-    ``publication_lag_days`` make a replay see only what was known. Entities listed without data get "insufficient data" rows.
+    ``publication_lag_days`` make a replay see only what was known. Every entity has a row on
+    every date: those listed in ``entities``, else those of the panel; without data it says so.
     """
     grid = date_grid(start, end, step)
     if not grid:
         raise ValueError("the replay's end lies before its start")
     if calibration not in CALIBRATIONS:
         raise ValueError(f"calibration must be one of {sorted(CALIBRATIONS)}, not {calibration!r}")
-    options.setdefault("thresholds", CALIBRATIONS[calibration])
+    options = {"thresholds": CALIBRATIONS[calibration], "every_date": True, **options}
     if publication_lag_days:
         panel = panel.withColumn(cols.date, F.date_add(cols.date, publication_lag_days))
     classified = classify(panel, grid, today, entities, signal_asof=signal_asof, with_reasons=False, cols=cols, **options)

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcycle.catalog.entities import HOME_ENTITY_BY_CURRENCY
-from panelcycle.catalog.tilts import DEFAULT_CAUTION
+from panelcycle.catalog.tilts import DEFAULT_CAUTION, LONG_TERM_TILTS, SHORT_TERM_TILTS
 from panelcycle.functions.scalars import DERIVED_FEATURES
 from panelcycle.operators.membership import flag_presence
 from panelcycle.operators.snapshot import feature_snapshots
-from panelcycle.operators.tilts import asset_tilts
+from panelcycle.operators.rules import LONG_TERM, SHORT_TERM, RuleSet
+from panelcycle.operators.tilts import TiltTable, asset_tilts
 from panelcycle.plans.classify import classify
 from panelcycle.schema import PANEL, PanelColumns
 
@@ -37,22 +38,30 @@ def entity_views(
     homes: Mapping[str, str] = HOME_ENTITY_BY_CURRENCY,
     priority: Sequence[str] = (),
     one_row_per_day: bool = False,
+    short_term: RuleSet = SHORT_TERM,
+    long_term: RuleSet = LONG_TERM,
+    short_table: TiltTable = SHORT_TERM_TILTS,
+    long_table: TiltTable = LONG_TERM_TILTS,
+    with_reasons: bool = True,
     cols: PanelColumns = PANEL,
     **options,
 ) -> DataFrame:
     """Both classifications and the tilts of every entity, seen from one home currency.
 
     An entity that is itself the home sees no gap. A currency without a home entity, and USD,
-    add no overlay.
+    add no overlay. The rule sets and their tilt tables may be the user's own.
     """
-    classified = classify(panel, grid, priority=priority, one_row_per_day=one_row_per_day, cols=cols, **options)
+    classified = classify(panel, grid, priority=priority, one_row_per_day=one_row_per_day, with_reasons=with_reasons,
+                          short_term=short_term, long_term=long_term, cols=cols, **options)
+    tilting = {"short_table": short_table, "long_table": long_table, "with_reasons": with_reasons,
+               "short_order": short_term.voting_order, "long_order": long_term.voting_order}
     home = homes.get(home_currency)
     if home_currency == "USD" or home is None:
-        return asset_tilts(classified, home_currency)
+        return asset_tilts(classified, home_currency, **tilting)
     rates = home_real_rates(panel, grid, [home], cols, priority=priority, one_row_per_day=one_row_per_day)
     # one row per grid date
     joined = classified.join(F.broadcast(rates.drop("_home")), "as_of", "left")
-    return asset_tilts(joined, home_currency, F.col("home_real_rate"))
+    return asset_tilts(joined, home_currency, F.col("home_real_rate"), **tilting)
 
 
 def world_view(panel: DataFrame, basket: DataFrame, as_of: dt.date, cols: PanelColumns = PANEL, **options) -> DataFrame:
@@ -62,7 +71,7 @@ def world_view(panel: DataFrame, basket: DataFrame, as_of: dt.date, cols: PanelC
     answer; entities with rows but no verdict keep their own.
     """
     seen = flag_presence(basket, panel, cols.entity, cols)
-    views = entity_views(panel, [as_of], cols=cols, **options).select(
+    views = entity_views(panel, [as_of], cols=cols, **{"with_reasons": False, **options}).select(
         cols.entity, "lt_phase", "lt_label", "st_stage", "st_label", "caution_level",
         F.col("total_credit_pct_gdp").alias("total_debt_pct_gdp"), "debt_service_ratio", "cpi_yoy", "real_rate_10y",
     )

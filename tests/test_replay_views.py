@@ -11,6 +11,7 @@ from panelcycle.catalog.entities import BLOC_MEMBERS, entity_dim
 from panelcycle.catalog.tilts import ASSETS, LONG_TERM_TILTS, QUADRANT_TILTS, SHORT_TERM_TILTS, STAGE_QUADRANTS
 from panelcycle.functions import scalars
 from panelcycle.operators.membership import available_indicators, enrich, expand_blocs, flag_presence, member_to_entity, translate_code, unknown_codes
+from panelcycle.operators.rules import LONG_TERM, SHORT_TERM, Rule, RuleSet, case
 from panelcycle.operators.tilts import asset_tilts, explode_tilts, rank_long_tilts, top_tilts
 from panelcycle.plans.classify import classify
 from panelcycle.plans.replay import date_grid, entities_with_a_path, replay
@@ -51,6 +52,31 @@ def test_replay_does_not_leak_backwards(spark, recession):
     assert {(r.st_label, r.lt_label, r.st_confidence) for r in empty} == {("Transition (insufficient data)",) * 2 + (0.0,)}
 
 
+def test_replay_without_a_list_has_every_entity_on_every_date(panel_of):
+    panel = panel_of([("A", "cpi_yoy", "2001-05-01", 1.0), ("B", "cpi_yoy", "1999-01-01", 2.0), ("LATE", "cpi_yoy", "2009-01-01", 2.0)])
+    rows = replay(panel, day("2000-01-01"), day("2002-01-01"), "Y", signal_asof="none").collect()
+    assert sorted((r.entity, r.date.year) for r in rows) == [(e, y) for e in "AB" for y in (2000, 2001, 2002)]
+    assert {r.st_label for r in rows if r.entity == "A" and r.date.year < 2002} == {"Transition (insufficient data)"}
+
+
+def test_a_users_rule_set_through_the_views(panel_of):
+    """Two classes of the user's own: labels, the blend of a tie and its order follow the rule set."""
+    cycle = RuleSet((Rule("b", 2, case(("cpi_yoy > 0D", 0.5)), "'b'"), Rule("a", 1, case(("cpi_yoy > 5D", 0.4)), "'a'")), {0: "Open", 1: "One", 2: "Two"})
+    assert (cycle.classes, cycle.voting_order) == ((1, 2), (2, 1))
+    panel = panel_of([("X", "cpi_yoy", "2000-01-01", 1.0), ("Y", "cpi_yoy", "2000-01-01", 6.0)])
+    views = entity_views(panel, [day("2000-06-01")], signal_asof="none", short_term=cycle, short_table={1: {"gold": 1.0}, 2: {"gold": -1.0}})
+    rows = {r.entity: r for r in views.collect()}
+    assert (rows["X"].st_stage, rows["X"].st_label) == (2, "Two")
+    assert (rows["Y"].st_stage, rows["Y"].st_label) == (0, "Open (Two ↔ One)")
+    gold = {e: next(t.tilt for t in r.tilts if t.asset == "gold") for e, r in rows.items()}
+    assert gold["X"] == pytest.approx(-0.5 / 1.5) and gold["Y"] == pytest.approx((-0.5 + 0.4) / 0.9 * 0.5 / 1.9)
+
+
+def test_voting_orders_of_the_fixed_rule_sets():
+    assert SHORT_TERM.voting_order == (3, 2, 4, 1) and SHORT_TERM.classes == (1, 2, 3, 4)
+    assert LONG_TERM.voting_order == LONG_TERM.classes == (1, 2, 3, 4, 5, 6)
+
+
 def test_replay_at_one_date_is_a_classification(spark, recession):
     at = day("2009-10-01")
     once = classify(recession, [at]).select("st_stage", "st_label", "st_confidence", "lt_phase").first()
@@ -60,7 +86,7 @@ def test_replay_at_one_date_is_a_classification(spark, recession):
 
 def test_publication_lag_delays_the_verdict(recession):
     rows = replay(recession, day("2009-07-01"), day("2010-01-01"), "Q", publication_lag_days=120).collect()
-    assert {r.date: r.st_stage for r in rows} == {day("2009-10-01"): 0, day("2010-01-01"): 3}
+    assert {r.date: r.st_stage for r in rows} == {day("2009-07-01"): 0, day("2009-10-01"): 0, day("2010-01-01"): 3}
 
 
 def test_path_gate(spark):
