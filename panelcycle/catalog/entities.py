@@ -25,7 +25,7 @@ HOME_ENTITY_BY_CURRENCY: dict[str, str] = {
     "USD": "US", "SEK": "SE", "EUR": "EU", "GBP": "UK", "JPY": "JP", "CNY": "CN",
 }
 
-# Members of the euro bloc.
+# Members of the euro bloc, sorted by code.
 BLOC_MEMBERS: dict[str, tuple[str, ...]] = {
     "EMU": (
         "AUT", "BEL", "CYP", "DEU", "ESP", "EST", "FIN", "FRA", "GRC", "HRV",

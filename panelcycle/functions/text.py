@@ -13,6 +13,6 @@ def joined(parts: list[Column], separator: str = " · ") -> Column:
 
 def summary_line(stage_label: Column, phase_label: Column, caution: Column) -> Column:
     return F.format_string(
-        "Short term %s, long term %s, caution %s. Tilts are deviations from a diversified base portfolio.",
+        "Short term %s, long term %s, caution %s.",
         F.lower(stage_label), F.lower(phase_label), caution,
     )

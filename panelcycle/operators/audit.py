@@ -34,6 +34,7 @@ def freshness(specs: DataFrame, raw: DataFrame, today: dt.date, series: str = "s
     double_growth = F.col(series).contains(ALREADY_GROWTH_MARKS[0])
     for mark in ALREADY_GROWTH_MARKS[1:]:
         double_growth = double_growth | F.col(series).contains(mark)
+    # The texts of the notes, "EMPTY" and "ok" below included.
     notes = joined(
         [
             F.when(age > VERY_STALE_DAYS, "STALE >2y").when(age > STALE_DAYS, "stale >1y"),
