@@ -153,10 +153,12 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 def jaccard_groups(
     docs: DataFrame, identity: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999
 ) -> DataFrame:
-    """(doc_id, text_key, copy_class, class_id, n_links): one row per row of ``docs``.
+    """(doc_id, text_key, copy_class, class_id, n_links, copy_key, group_key): one row per row of ``docs``.
 
     copy_class is the smallest identity with the same n-gram set, class_id the smallest identity of
-    the group of linked documents, n_links the number of other rows whose n-gram set has a Jaccard
+    the group of linked documents. Unlike sets or groups have the same ones where identities are null
+    or repeated; copy_key and group_key, hashes in hex, are one for each set and each group whatever
+    the identities. n_links is the number of other rows whose n-gram set has a Jaccard
     similarity of ``threshold`` or more. text_key is a hash of the text. A text of fewer than n words
     is one n-gram of all its words. Texts without words (null, empty, blank) equal each other and
     nothing else. Null identities sort first. Further columns play no part; an empty table gives an
@@ -222,12 +224,12 @@ def jaccard_groups(
     answers = materialize(
         grouped_classes.join(smallest, "root").select(
             "set_key", F.col("rep").alias("copy_class"), F.col("least.rep").alias("class_id"),
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.hex("set_key").alias("copy_key"), F.hex("root").alias("group_key"),
         ),
         "ngram-answers",
     )
     return signed.select("doc_id", "text_key", "set_key").join(answers, "set_key").select(
-        "doc_id", "text_key", "copy_class", "class_id", "n_links"
+        "doc_id", "text_key", "copy_class", "class_id", "n_links", "copy_key", "group_key"
     )
 
 
@@ -235,7 +237,7 @@ def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` less all but one row of every group: the one of the smallest identity stays."""
     groups = jaccard_groups(docs, **options)
     identity, text = options.get("identity", "doc_id"), options.get("text", "text")
-    chosen = groups.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key")).alias("keep")).select(
+    chosen = groups.groupBy("group_key").agg(F.min(F.struct("doc_id", "text_key")).alias("keep")).select(
         F.col("keep.doc_id").alias("_kept_id"), F.col("keep.text_key").alias("_kept_key")
     )
     keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))

@@ -70,7 +70,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "copy_class", "class_id", "n_links")
+    return jaccard_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "copy_class", "class_id", "n_links", "copy_key", "group_key")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

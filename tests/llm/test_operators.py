@@ -198,6 +198,19 @@ def test_op9_against_brute_force(spark, docs_of, texts, block, monkeypatch):
     assert {i: (links[i], root(i)) for i in ids} == {i: (found[i].n_links, found[i].class_id) for i in ids}
 
 
+def test_op9_null_and_repeated_ids(docs_of):
+    unlike = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcdef"]
+    near = unlike[0].replace("a39", "b39")
+    rows = [(None, unlike[0]), (None, unlike[1]), (None, unlike[2]), (3, near), (7, unlike[3]), (7, unlike[4]), (8, unlike[4]), (9, unlike[5])]
+    docs = docs_of(rows)
+    kept = ngram_join.keep_one_per_group(docs).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted(
+        [(0, unlike[0]), (0, unlike[1]), (0, unlike[2]), (7, unlike[3]), (7, unlike[4]), (9, unlike[5])]
+    )
+    keys = Counter(r.group_key for r in ngram_join.jaccard_groups(docs).collect())
+    assert sorted(keys.values()) == [1, 1, 1, 1, 2, 2]
+
+
 def test_op9_band_choice():
     bands, rows = ngram_join.bands_for(0.8, 0.9999)
     assert (1 - 0.8**rows) ** bands <= 1e-4 and bands * rows <= 160
