@@ -19,8 +19,6 @@ from panelcycle.llm.hashing import windows_of, word_hashes, words_of
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
-#: Trusted documents are a bounded sample of the rows labelled good.
-TRUSTED_ROWS = 4096
 THRESHOLD = -0.08
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
@@ -31,13 +29,13 @@ def buckets_of(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate((hashes, windows_of(hashes, 2))) >> np.uint64(64 - BUCKET_BITS)
 
 
-def _count(frames: Iterator[pd.DataFrame], trusted: frozenset) -> Iterator[pd.DataFrame]:
+def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for frame in frames:
-        for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+        for trusted, text in zip(frame["trusted"], frame["text"], strict=True):
             counts = np.bincount(buckets_of(word_hashes(words_of(text))).astype(np.int64), minlength=BUCKETS)
             raw += counts
-            if doc_id in trusted:
+            if trusted:
                 good += counts
     some = np.flatnonzero(raw)
     yield pd.DataFrame({"bucket": some.astype(np.int32), "raw": raw[some], "trusted": good[some]})
@@ -85,16 +83,16 @@ def judge_quality(
 ) -> DataFrame:
     """Counts, base_failed, kept and llr: one row per row of ``docs``.
 
-    Trusted documents: up to ``TRUSTED_ROWS`` rows of ``labels`` with label 1, by a hash of the
-    identity; without any the ratio is 0 everywhere and the base rules decide. Null texts have no
+    Trusted documents: all whose identity has label 1 in ``labels``; without any the ratio is 0
+    everywhere and the base rules decide. Null texts have no
     words and fail the base rules. Repeated rows get equal verdicts; further columns play no part;
     an empty table gives an empty result.
     """
     own = docs.select(F.col(f"`{identity}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    good = labels.where((F.col(label) == 1) & F.col(identity).isNotNull()).select(identity).distinct()
-    ids = frozenset(r[0] for r in good.orderBy(F.xxhash64(F.col(identity), F.lit(9)), identity).limit(TRUSTED_ROWS).collect())
-    counts = own.mapInPandas(lambda frames: _count(frames, ids), "bucket int, raw long, trusted long").groupBy("bucket").agg(
+    good = labels.where((F.col(label) == 1) & F.col(identity).isNotNull()).select(F.col(identity).alias("good_id")).distinct()
+    flagged = own.join(good, F.col("doc_id") == F.col("good_id"), "left").select(F.col("good_id").isNotNull().alias("trusted"), "text")
+    counts = flagged.mapInPandas(_count, "bucket int, raw long, trusted long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")
     ).collect()  # at most BUCKETS rows
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)

@@ -157,6 +157,22 @@ def test_op7_counts(query, texts):
         assert r["base_failed"] == (len(words) < 20 or 100 * len(repeats) > 30 * len(words)) and not (r["kept"] and r["base_failed"])
 
 
+def test_op7_trusts_every_good_document(spark, docs_of):
+    texts = {i: " ".join(f"w{(i * 7 + k * k) % 97}" for k in range(22)) for i in range(4400)}
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i in texts], "doc_id long, quality int")
+    raw, trusted = np.zeros(quality_llr.BUCKETS), np.zeros(quality_llr.BUCKETS)
+    hits = {i: quality_llr.buckets_of(quality_llr.word_hashes(quality_llr.words_of(t))).astype(int) for i, t in texts.items()}
+    for i, h in hits.items():
+        np.add.at(raw, h, 1)
+        if i >= 100:
+            np.add.at(trusted, h, 1)
+    p = (raw + 1) / (raw.sum() + quality_llr.BUCKETS)
+    ratios = np.log((trusted + 0.001 * trusted.sum() * p) / (1.001 * trusted.sum())) - np.log(p)
+    for r in quality_llr.judge_quality(docs_of(list(texts.items())), labels).collect():
+        assert abs(r.llr - ratios[hits[r.doc_id]].mean()) < 1e-9
+        assert r.kept == (not r.base_failed and r.llr >= quality_llr.THRESHOLD)
+
+
 def test_op8_shards(query, texts):
     rows = query("op8_sharding")
     assert sorted(r["doc_id"] for r in rows) == sorted(texts)
