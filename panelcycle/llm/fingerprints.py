@@ -7,14 +7,14 @@ may be inserted or deleted by adding or subtracting their vectors, without the t
 The vector has two blocks:
 - identity: 8 lanes modulo 2^32 from four seeded 64-bit hashes of the whole paragraph. Equal
   multisets of paragraphs have equal lanes; different ones agree with probability 2^-256.
-- content: the paragraph's runs of five words are hashed, and a lane counts the runs whose hash has
+- content: every run of five words of the paragraph is hashed, overlapping ones too (a shorter
+  paragraph is one run), and a lane counts the runs whose hash has
   a certain bit set (60 lanes), beside the number of runs. With every bit read as a sign this is a
   tug-of-war sketch: the squared length of the difference of two fingerprints estimates by how many
   runs the texts differ, the squared lengths how many there are. From these comes the likeness.
 
-Content lanes travel three to a long, 20 bits apart, so a paragraph's vector is 28 longs. A lane
-takes a million runs; in a text of over 50 MB a lane may carry into the next, which blurs the
-likeness and leaves equality, insertion and deletion as they are.
+Content lanes travel two to a long, 30 bits apart, so a paragraph's vector is 38 longs. A lane
+takes a thousand million runs, as many as the longest text can have.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from panelcycle.llm.tables import array_literal, fresh_name
 
 IDENTITY_HASHES = 4
-LANE_BITS = 20
-CONTENT_LONGS = 20
-#: Up to five words of one line; possessive, so that no text makes it backtrack.
-RUN = r"[^\s]++(?:[ \t]++[^\s]++){0,4}+"
+LANE_BITS = 30
+CONTENT_LONGS = 30
+RUN_WORDS = 5
 LOW = 0xFFFFFFFF
-LANES_SET = 1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS
+#: Runs are first counted in lanes of five bits, 31 at a time.
+FEW_BITS, FEW = 5, 31
+FEW_SET = sum(1 << k for k in range(0, 60, FEW_BITS))
+FEW_LANES = FEW | FEW << LANE_BITS
 
 
 def paragraphs(text: Column) -> Column:
@@ -48,31 +50,49 @@ def _hashes(lines: Column, seed: int) -> Column:
     return F.transform(lines, lambda line: F.xxhash64(F.lit(seed), line))
 
 
-def _lanes_at(hash_: Column, place: int) -> Column:
-    """Three bits of a hash as three lanes."""
-    return F.shiftrightunsigned(hash_, place).bitwiseAND(F.lit(LANES_SET))
+def _runs(lines: Column) -> Column:
+    """Hashes of all runs of RUN_WORDS words of each line; a line of fewer words is one run."""
+    words = F.filter(F.transform(lines, lambda line: F.array_remove(F.split(line, r"\s+"), "")), lambda w: F.size(w) > 0)
+    hashed = F.transform(words, lambda w: F.transform(w, lambda x: F.xxhash64(x)))
+    return F.flatten(F.transform(hashed, lambda w: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(w) - (RUN_WORDS - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, RUN_WORDS))
+    )))
+
+
+def _counted(runs: Column, place: int) -> Column:
+    """For every FEW runs: how many have each bit set that lies ``place`` above a multiple of FEW_BITS."""
+    starts = F.when(F.size(runs) > 0, F.sequence(F.lit(1), F.size(runs), F.lit(FEW))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda s: _total(
+        F.slice(runs, s, FEW), lambda h: F.shiftrightunsigned(h, place).bitwiseAND(F.lit(FEW_SET))
+    ))
+
+
+def _lanes_at(counts: Column, place: int) -> Column:
+    """Two of the counts as two lanes."""
+    return F.shiftrightunsigned(counts, place).bitwiseAND(F.lit(FEW_LANES))
 
 
 def with_fingerprint(frame: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: struct (units, lanes: array of 28 longs); null text: empty text.
+    """Adds ``out``: struct (units, lanes: array of 38 longs); null text: empty text.
 
     The hashes are columns of their own first, so that every lane reads them and none computes them again.
     """
     lines, runs = fresh_name(frame, "_lines"), fresh_name(frame, "_runs")
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    hashed = frame.withColumns({
-        lines: paragraphs(whole),
-        runs: F.transform(F.regexp_extract_all(whole, F.lit(RUN), F.lit(0)), lambda r: F.xxhash64(r)),
-    })
+    hashed = frame.withColumn(lines, paragraphs(whole)).withColumn(runs, _runs(F.col(lines)))
     identity = []
     for seed in range(IDENTITY_HASHES):
         name = fresh_name(hashed, f"_hash{seed}")
         hashed = hashed.withColumn(name, _hashes(F.col(lines), seed))
         identity.append(_total(F.col(name), lambda h: h.bitwiseAND(F.lit(LOW))).bitwiseAND(F.lit(LOW)))
         identity.append(_total(F.col(name), lambda h: F.shiftrightunsigned(h, 32)).bitwiseAND(F.lit(LOW)))
+    few = []
+    for place in range(FEW_BITS):
+        few.append(fresh_name(hashed, f"_few{place}"))
+        hashed = hashed.withColumn(few[-1], _counted(F.col(runs), place))
     summed = hashed.withColumns({
         lines: F.array(*identity, *[
-            _total(F.col(runs), partial(_lanes_at, place=k)) for k in range(CONTENT_LONGS)
+            _total(F.col(few[k % FEW_BITS]), partial(_lanes_at, place=k - k % FEW_BITS)) for k in range(CONTENT_LONGS)
         ]),
         runs: F.size(runs).cast("long"),
     })
@@ -114,8 +134,8 @@ def likeness(a: Column, b: Column) -> Column:
 
         def squares(x: Column, y: Column) -> Column:
             units = p["units"] if less is None else p["units"] - less["units"]
-            lanes = [signed(x, k) - units if less is None else signed(x, k) - signed(y, k) - units for k in range(3)]
-            return lanes[0] * lanes[0] + lanes[1] * lanes[1] + lanes[2] * lanes[2]
+            lanes = [(signed(x, k) - units if less is None else signed(x, k) - signed(y, k) - units).cast("double") for k in range(2)]
+            return lanes[0] * lanes[0] + lanes[1] * lanes[1]
 
         other = p if less is None else less
         parts = F.zip_with(p["lanes"], other["lanes"], squares)

@@ -49,6 +49,19 @@ def test_op1_sum_of_paragraphs(spark):
     assert tuple(row) == (True, True, True, False)
 
 
+def test_op1_one_inserted_word_keeps_the_likeness(spark):
+    lines = [" ".join(f"w{k}x{i}" for i in range(80)) for k in range(20)]
+    frame = spark.createDataFrame([(x, "new " + x, "a b c d e f g", "a b") for x in lines], "x string, y string, p string, q string")
+    for c in "xypq":
+        frame = fingerprints.with_fingerprint(frame, c, c + "f")
+    rows = frame.select(fingerprints.likeness(F.col("xf"), F.col("yf")).alias("near"), "xf.units", "pf", "qf.units").collect()
+    assert min(r.near for r in rows) > 0.8
+    assert {(r[1], r.pf.units, r[3]) for r in rows} == {(76, 3, 1)}
+    def bits(r, k):  # lane of the k-th bit
+        return r.pf.lanes[8 + k % 30] >> (k // 30 * 30) & (1 << 30) - 1
+    assert all(0 <= bits(rows[0], k) <= 3 for k in range(60)) and any(bits(rows[0], k) for k in range(60))
+
+
 def test_op2_held_out_accuracy(spark, query, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = query("op2_quality_cnn")
