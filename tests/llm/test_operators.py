@@ -119,6 +119,17 @@ def test_op4_layouts(spark):
     assert rows[1].loss_text == "v" and rows[3].loss_text == "r"
 
 
+def test_op4_long_texts_keep_their_turns(spark):
+    n = 21_000_000
+    long = F.repeat(F.lit("a"), n)
+    payload = F.concat(F.lit('{"prompt":"'), long, F.lit('","response":"r \\"x\\": y"}'))
+    row = chat_format.canonical_turns(spark.range(1).select(payload.alias("payload"))).select("layout", F.length(F.col("turns")[0]["text"]), F.size("turns")).first()
+    assert tuple(row) == ("prompt_response", n, 2)
+    rows = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), long.alias("text"))
+    row = chat_format.format_conversations(rows).select("layout", F.length(F.col("read_turns")[0]["text"])).first()
+    assert tuple(row) == ("messages", n)
+
+
 def test_op5_families(spark, docs_of):
     known = [(k, f"some words here\n{t}\nmore", "s") for k, t in enumerate(t[0] for t in license_scan.TEMPLATES.values())]
     rows = license_scan.scan_licenses(docs_of([*known, (90, "the and of words\nnothing here", "s"), (91, None), (92, "")])).collect()
