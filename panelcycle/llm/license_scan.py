@@ -7,12 +7,18 @@ as unknown. Small weights are set to zero, and a temperature fitted on paragraph
 aside calibrates the probabilities. A predicted family counts once the paragraph resembles one of
 its templates.
 
+A paragraph is looked at as a whole and, as a notice may stand inside a longer one, in overlapping
+word windows of about a template's length: each window that resembles a template is scored by the
+classifier like a paragraph of its own.
+
 Fitting runs on the driver over the bounded sample; features and scores are SQL expressions, so
 every paragraph of every document is scored inside the scan.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +48,41 @@ FAMILIES = tuple(TEMPLATES)
 
 
 def words(paragraph: Column) -> Column:
-    return F.filter(F.split(F.lower(paragraph), r"[^a-z0-9.\-]+"), lambda w: w != "")
+    """Words in lower case; a full stop is part of one only inside it."""
+    return F.filter(F.split(F.lower(paragraph), r"(?:[^a-z0-9.\-]|\.(?![a-z0-9]))+"), lambda w: w != "")
+
+
+def resemblance(tokens: Column, template: Column) -> Column:
+    """Jaccard similarity of two sets of words."""
+    return F.size(F.array_intersect(tokens, template)) / F.size(F.array_union(tokens, template))
+
+
+def template_words(template: str) -> list[str]:
+    """What ``words`` makes of a template."""
+    return [w for w in re.split(r"(?:[^a-z0-9.\-]|\.(?![a-z0-9]))+", template.lower()) if w]
+
+
+def _windows_like(tokens: Column, own: Column, length: int) -> Column:
+    """The windows of so many words that begin with a word of the template and resemble it."""
+    starts = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: (
+        F.array_contains(own, F.get(tokens, i - 1)) & (resemblance(F.slice(tokens, i, length), own) >= LEAST_LIKENESS)
+    ))
+    return F.transform(starts, lambda i: F.slice(tokens, i, length))
+
+
+def windows(tokens: Column, known: Column) -> Column:
+    """The word windows that resemble a template; ``known`` are the distinct tokens that any template has."""
+    found = []
+    for template in (t for f in FAMILIES for t in TEMPLATES[f]):
+        listed = template_words(template)
+        distinct = sorted(set(listed))
+        own = F.lit(distinct)
+        # a window cannot resemble the template unless the paragraph has so many of its words
+        possible = F.size(F.array_intersect(known, own)) >= LEAST_LIKENESS * len(distinct)
+        for length in (len(listed), len(listed) * 3 // 2):
+            cut = _windows_like(tokens, own, length)
+            found.append(F.when(possible & (F.size(tokens) > len(listed)), cut).otherwise(F.array().cast("array<array<string>>")))
+    return F.array_distinct(F.concat(*found))
 
 
 def features(tokens: Column) -> Column:
@@ -108,10 +148,12 @@ def fit(rows: list[tuple[list[int], int]], steps: int = 200, rate: float = 20.0,
 
 
 def scan_licenses(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_paragraphs, n_predicted, n_confirmed, family, probability, likeness, paragraph.
+    """One row per row of ``docs``: doc_id, n_paragraphs, n_predicted, n_confirmed, family, probability, likeness, paragraph, found.
 
-    family is that of the confirmed paragraph with the highest probability (the first of equals),
-    paragraph its place from 0; without one they are null. Null texts have no paragraphs. Rows with equal
+    found lists every confirmed family of every paragraph as (paragraph, family, probability,
+    likeness), in that order; a family counts once in a paragraph, and n_predicted and n_confirmed
+    count families of paragraphs alike. family is the one of found with the highest probability (the
+    first of equals), paragraph its place from 0; without one they are null and found is empty. Null texts have no paragraphs. Rows with equal
     identities share their findings. Further columns play no part; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -130,7 +172,11 @@ def scan_licenses(docs: DataFrame, identity: str = "doc_id", text: str = "text")
 
     paragraphs = own.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "paragraph"))
     useful = array_literal([bool(v) for v in np.abs(weights).sum(1) > 0], "boolean")
-    tokens = paragraphs.withColumn("tokens", words(F.col("paragraph"))).withColumn("features", features(F.col("tokens")))
+    vocabulary = F.lit(sorted({w for f in FAMILIES for t in TEMPLATES[f] for w in template_words(t)}))
+    whole = paragraphs.select("doc_id", "at", words(F.col("paragraph")).alias("whole"))
+    whole = whole.withColumn("known", F.array_intersect("whole", vocabulary))
+    parts = F.when(F.size("known") > 1, F.concat(F.array("whole"), windows(F.col("whole"), F.col("known")))).otherwise(F.array("whole"))
+    tokens = whole.select("doc_id", "at", F.explode(parts).alias("tokens")).withColumn("features", features(F.col("tokens")))
     tokens = tokens.withColumn("hits", F.filter("features", lambda f: F.get(useful, f)))
     live = _kept(tokens, F.struct("tokens", "hits", F.size("features").alias("n")), lambda s: F.size(s["hits"]) > 0)
     logits = []
@@ -149,18 +195,27 @@ def scan_licenses(docs: DataFrame, identity: str = "doc_id", text: str = "text")
     for k, f in enumerate(FAMILIES):
         for template in TEMPLATES[f]:
             words_of_template = words(F.lit(template))
-            alike = F.size(F.array_intersect("tokens", words_of_template)) / F.size(F.array_union(F.col("tokens"), words_of_template))
+            alike = resemblance(F.col("tokens"), words_of_template)
             likeness = F.greatest(likeness, F.when(F.col("class") == k, alike).otherwise(0.0))
     confirmed = F.col("likeness") >= LEAST_LIKENESS
-    found = scored.withColumn("likeness", likeness).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_predicted"), F.count_if(confirmed).alias("n_confirmed"),
-        F.max(F.when(confirmed, F.struct("probability", (-F.col("at")).alias("back"), "class", "likeness"))).alias("top"),
+    # the best window of a family in a paragraph
+    best = scored.withColumn("likeness", likeness).groupBy("doc_id", "at", "class").agg(
+        F.max(F.when(confirmed, F.struct("probability", "likeness"))).alias("best")
+    )
+    family = F.get(F.lit(list(FAMILIES)), F.col("class"))
+    sure = F.col("best").isNotNull()
+    found = best.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_predicted"), F.count_if(sure).alias("n_confirmed"),
+        F.max(F.when(sure, F.struct("best.probability", (-F.col("at")).alias("back"), family.alias("family"), "best.likeness"))).alias("top"),
+        F.sort_array(F.collect_list(F.when(sure, F.struct(
+            F.col("at").cast("long").alias("paragraph"), family.alias("family"), "best.probability", "best.likeness"
+        )))).alias("found"),
     )
-    family = F.get(F.lit(list(FAMILIES)), F.col("top.class"))
     base = own.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_paragraphs"), F.col("text").isNull().alias("_none"))
     return base.join(found.withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of")), "left").select(
         "doc_id", F.when(F.col("_none"), F.lit(0)).otherwise(F.col("n_paragraphs")).cast("long").alias("n_paragraphs"),
         F.coalesce("n_predicted", F.lit(0)).cast("long").alias("n_predicted"), F.coalesce("n_confirmed", F.lit(0)).cast("long").alias("n_confirmed"),
-        family.alias("family"), F.col("top.probability").alias("probability"), F.col("top.likeness").alias("likeness"),
+        F.col("top.family").alias("family"), F.col("top.probability").alias("probability"), F.col("top.likeness").alias("likeness"),
         (-F.col("top.back")).cast("long").alias("paragraph"),
+        F.coalesce("found", F.array().cast("array<struct<paragraph:bigint,family:string,probability:double,likeness:double>>")).alias("found"),
     )

@@ -138,6 +138,19 @@ def test_op5_families(spark, docs_of):
     assert found[90] is None and found[91] is None and found[92] is None
 
 
+def test_op5_notices_inside_paragraphs(docs_of):
+    filler = [f"word{k}" for k in range(60)]
+    families = list(license_scan.TEMPLATES)
+    rows = [(k, " ".join([*filler[:30], license_scan.TEMPLATES[f][0], *filler[30:]])) for k, f in enumerate(families)]
+    mit, gpl = license_scan.TEMPLATES["MIT"][0], license_scan.TEMPLATES["GPL-3.0"][0]
+    rows += [(50, f"x\n{mit}\n{gpl}"), (51, " ".join([*filler, mit, *filler, gpl, *filler])), (52, " ".join(filler))]
+    found = {r.doc_id: r for r in license_scan.scan_licenses(docs_of(rows)).collect()}
+    assert [[(f.paragraph, f.family) for f in found[k].found] for k in range(len(families))] == [[(0, f)] for f in families]
+    assert [(f.paragraph, f.family) for f in found[50].found] == [(1, "MIT"), (2, "GPL-3.0")] and found[50].n_confirmed == 2
+    assert [(f.paragraph, f.family) for f in found[51].found] == [(0, "GPL-3.0"), (0, "MIT")]
+    assert found[52].found == [] and found[52].family is None
+
+
 def _windows(data: bytes, n: int):
     return (data[p : p + n] for p in range(len(data) - n + 1))
 
