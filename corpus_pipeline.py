@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packed_sequences),
 ]
 
-#: The classifier, the MinHash join and the tokenizer are beyond SQL; tests hold the stages against brute force.
+#: The classifier, the MinHash join and the tokenizer are beyond SQL; tests hold the operators of op3, op6 and op9 against brute force, the stages' rows not yet.
 ORACLE_SQL = None
 
 
