@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcycle.llm.chat_format import format_conversations
+from panelcycle.llm.fill_middle import fill_in_middle, with_restored
 from panelcycle.llm.fingerprints import fingerprint_edits
 from panelcycle.llm.license_scan import scan_licenses
 from panelcycle.llm.mixing import mix_sources
@@ -13,6 +14,8 @@ from panelcycle.llm.ngram_join import jaccard_groups
 from panelcycle.llm.packing import pack_documents
 from panelcycle.llm.quality_cnn import score_quality
 from panelcycle.llm.quality_llr import judge_quality
+from panelcycle.llm.ranked_search import rank_documents
+from panelcycle.llm.secret_scan import scan_secrets
 from panelcycle.llm.sharding import shuffle_into_shards
 from panelcycle.llm.suffix_dedup import remove_repeats
 from panelcycle.llm.tables import read_table
@@ -78,10 +81,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_restored(fill_in_middle(read_table(spark, sf_dir, "documents"))).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"
+    )
+
+
 LLM_QUERIES = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_quality_cnn, op3_packing, op4_chat_format, op5_license_scan, op6_suffix_dedup, op7_quality_llr,
-        op8_sharding, op9_ngram_join, op10_mixing,
+        op8_sharding, op9_ngram_join, op10_mixing, op11_secret_scan, op12_ranked_search, op13_fill_middle,
     )
 }

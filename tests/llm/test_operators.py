@@ -284,7 +284,7 @@ def test_op10_targets(query):
 def test_sql_counterparts(spark, sf_dir):
     from bindings.compare import difference, oracle_connection
 
-    for name in ("op4_chat_format", "op10_mixing"):
+    for name in ("op4_chat_format", "op10_mixing", "op12_ranked_search", "op13_fill_middle"):
         assert difference(spark, oracle_connection(sf_dir), name, sf_dir) is None
 
 
