@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 CTES: dict[str, str] = {}
+MATERIALIZED = ("panel", "daily", "panel_sources", "panel_months", "daily_months", "visible", "events_once", "keyed", "decided", "features")
 FINAL: dict[str, tuple[list[str], str]] = {}
 
 
@@ -17,7 +18,7 @@ def ask(name: str, needs: str, sql: str) -> None:
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (needs, sql) in FINAL.items():
-        head = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" if n in ("panel", "daily", "panel_sources") else f"{n} AS ({CTES[n]})" for n in needs)
+        head = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" if n in MATERIALIZED else f"{n} AS ({CTES[n]})" for n in needs)
         out[name] = (f"WITH {head}\n" if needs else "") + sql
     return out
 
@@ -379,17 +380,23 @@ def _cycle(asset: str, table: dict, cls: str, prefix: str, order: tuple[int, ...
     return f"CASE WHEN {cls} <> 0 THEN CASE {cls} {settled} ELSE 0::DOUBLE END WHEN {total} > 0 THEN {blend} ELSE 0::DOUBLE END"
 
 
-def _tilts(suffix: str, decided: str, home: str | None) -> None:
+def _tilts(suffix: str, decided: str, home: str | None, viewer: str = "") -> None:
     st = " ".join(f"WHEN '{a}' THEN {_cycle(a, _STAGE_TILTS, 'st_stage', 'st', (3, 2, 4, 1))}" for a in ASSETS)
     lt = " ".join(f"WHEN '{a}' THEN {_cycle(a, _PHASE_TILTS, 'lt_phase', 'lt', (1, 2, 3, 4, 5, 6))}" for a in ASSETS)
     rate = f"LEFT JOIN {home} h ON h.as_of = d.as_of" if home else ""
-    fx = _FX if home else "0::DOUBLE"
-    cte(f"tilted{suffix}", f"""SELECT d.entity, d.as_of, a.pos, a.asset,
+    fx = _FX if home or viewer else "0::DOUBLE"
+    cte(f"layers{suffix}", f"""SELECT d.*, a.pos, a.asset, CASE a.asset {st} END AS st_tilt, CASE a.asset {lt} END AS lt_tilt,
+  a.ry * ({_INTENSITY}) AS ry_tilt, a.hc * ({fx}) AS hc_tilt{', home_real_rate' if home else ''} FROM {decided} d CROSS JOIN assets a {rate}""")
+    cte(f"tilted{suffix}", f"""SELECT d.entity, d.as_of, {viewer} a.pos, a.asset,
   (CASE a.asset {st} END) * st_confidence + (CASE a.asset {lt} END) * lt_confidence + a.ry * ({_INTENSITY}) + a.hc * ({fx}) AS tilt
   FROM {decided} d CROSS JOIN assets a {rate}""")
 
 
 cte("home", "SELECT as_of, real_rate_10y AS home_real_rate FROM features WHERE entity = 'NATION_5'")
+cte("viewers", "SELECT * FROM (VALUES ('SEK', 'NATION_5'), ('EUR', 'NATION_8'), ('USD', NULL), ('INR', NULL), ('BRL', NULL)) v(home_currency, home)")
+cte("viewed", """SELECT d.*, v.home_currency, h.real_rate_10y AS home_real_rate FROM decided d CROSS JOIN viewers v
+  LEFT JOIN features h ON h.entity = v.home AND h.as_of = d.as_of""")
+_tilts("_all", "viewed", None, "d.home_currency,")
 _tilts("_usd", "decided", None)
 _tilts("_sek", "decided", "home")
 USD = f"{decided_needs('')} assets tilted_usd"
@@ -487,18 +494,21 @@ ask("store_round_trip", "nation_orders revisions", """SELECT entity, date, sourc
 _GROWN = "CASE WHEN base = 0 THEN CASE WHEN value > 0 THEN 'inf'::DOUBLE WHEN value < 0 THEN '-inf'::DOUBLE END ELSE (value / base - 1) * 100 END"
 ask("yoy_positional", PANEL, f"""SELECT entity, indicator, date, {r6('g', 'value')} FROM (SELECT *, {_GROWN} AS g FROM
   (SELECT *, lag(value, 12) OVER (PARTITION BY entity, indicator ORDER BY date) AS base FROM panel)) WHERE g IS NOT NULL""")
-def _year_before(panel: str, keys: str) -> str:
-    """Growth over a number of the month and the day in it: an equality, so the join is a plain hash join."""
+for _name in ("panel", "daily"):
+    cte(f"{_name}_months", f"SELECT *, year(date) * 12 + month(date) AS m, day(date) AS d FROM {_name}")
+
+
+def _year_before(months: str, keys: str) -> str:
+    """Growth over a number of the month and the day in it: a table of its own, and an equality, so the join is a plain hash join."""
     on = " AND ".join(f"b.{k} = a.{k}" for k in keys.split(", "))
     return f"""(SELECT {keys}, date, {_GROWN} AS g FROM (SELECT {', '.join(f'a.{k}' for k in keys.split(', '))}, a.date, a.value, b.value AS base
-  FROM (SELECT *, year(date) * 12 + month(date) - 12 AS m, day(date) AS d FROM {panel}) a
-  JOIN (SELECT *, year(date) * 12 + month(date) AS m, day(date) AS d FROM {panel}) b ON {on} AND b.m = a.m AND b.d = a.d))"""
+  FROM {months} a JOIN {months} b ON {on} AND b.m = a.m - 12 AND b.d = a.d))"""
 
 
-ask("yoy_calendar", PANEL, f"SELECT entity, indicator, date, {r6('g', 'value')} FROM {_year_before('panel', 'entity, indicator')} WHERE g IS NOT NULL")
+ask("yoy_calendar", f"{PANEL} panel_months", f"SELECT entity, indicator, date, {r6('g', 'value')} FROM {_year_before('panel_months', 'entity, indicator')} WHERE g IS NOT NULL")
 ask("yoy_positional_sources", "daily", f"""SELECT entity, source, date, {r6('g', 'value')} FROM (SELECT *, {_GROWN} AS g FROM
   (SELECT *, lag(value, 12) OVER (PARTITION BY entity, source ORDER BY date) AS base FROM daily)) WHERE g IS NOT NULL""")
-ask("yoy_calendar_sources", "daily", f"SELECT entity, source, date, {r6('g', 'value')} FROM {_year_before('daily', 'entity, source')} WHERE g IS NOT NULL")
+ask("yoy_calendar_sources", "daily daily_months", f"SELECT entity, source, date, {r6('g', 'value')} FROM {_year_before('daily_months', 'entity, source')} WHERE g IS NOT NULL")
 ask("period_dates", "", """WITH days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem),
   forms AS (SELECT DISTINCT unnest([year(d) || '-Q' || quarter(d), strftime(d, '%Y-M%m'), CAST(year(d) AS VARCHAR), strftime(d, '%Y/%m'),
     year(d) || '-Q' || month(d)]) AS period FROM days),
@@ -541,7 +551,7 @@ ask("asof_over_grid", "daily canonical", f"""SELECT c.entity, as_of, {r6('arg_ma
   JOIN (SELECT CAST(g AS DATE) AS as_of FROM (WITH RECURSIVE s(g) AS (SELECT DATE '1995-01-31' UNION ALL
     SELECT CAST(g + INTERVAL 1 MONTH AS DATE) FROM s WHERE g + INTERVAL 1 MONTH <= DATE '2001-12-31') SELECT g FROM s)) ON date <= as_of GROUP BY 1, 2""")
 ask("asof_probe_join", f"{PANEL} nation_orders", f"""SELECT o_orderkey, i.indicator, CAST(o_orderdate AS DATE) AS as_of, {r6('p.value', 'value')}, p.date AS observed_on
-  FROM (SELECT * FROM nation_orders CROSS JOIN (VALUES ('cpi_yoy'), ('policy_rate')) v(indicator)) i
+  FROM (SELECT * FROM nation_orders CROSS JOIN (SELECT unnest({list(_ROLES)}) AS indicator)) i
   ASOF LEFT JOIN panel p ON p.entity = i.entity AND p.indicator = i.indicator AND i.o_orderdate >= p.date""")
 ask("anchor_lags", "daily canonical", f"""SELECT c.entity, c.date, {r6('c.value', 'value')}, {r6('a.value', 'lag_90d')}, {r6('b.value', 'lag_180d')}, {r6('d.value', 'lag_1825d')}
   FROM (SELECT *, date - 90 AS d1, date - 180 AS d2, date - 1825 AS d3 FROM canonical) c
@@ -625,6 +635,8 @@ ask("phase_path_gate", decided_needs(""), "SELECT entity, count(DISTINCT lt_phas
 ask("asset_tilt_table", SEK, f"SELECT entity, as_of, asset, {r6('tilt')} FROM tilted_sek")
 ask("asset_tilt_table_usd", USD, f"SELECT entity, as_of, asset, {r6('tilt')}, {_ARROW} AS direction FROM tilted_usd")
 _RANKED = "row_number() OVER (PARTITION BY entity, as_of ORDER BY abs(tilt) DESC, pos)"
+ask("viewer_tilt_table", f"{decided_needs('')} viewers viewed assets tilted_all",
+    f"SELECT entity, as_of, home_currency, asset, {r6('tilt')} FROM tilted_all")
 ask("top_tilt_table", USD, f"SELECT entity, as_of, {_RANKED} AS rank, asset, {r6('tilt')} FROM tilted_usd QUALIFY rank <= 3")
 ask("ranked_tilts", USD, f"SELECT entity, as_of, {_RANKED} AS rank, asset, {r6('tilt')} FROM tilted_usd")
 ask("entity_view_headers", decided_needs(""), f"""SELECT entity, as_of, st_stage, st_label, {r6('st_confidence')}, lt_phase, lt_label, {r6('lt_confidence')},
@@ -635,3 +647,127 @@ ask("world_basket", decided_needs("_one"), f"""SELECT b.entity, iso3, name, CAST
   FROM (SELECT n_name AS entity, 'N' || n_nationkey AS iso3, 'Nation ' || n_nationkey AS name FROM nation
     UNION ALL SELECT r_name, 'R' || r_regionkey, 'Region ' || r_regionkey FROM region) b LEFT JOIN decided_one d ON d.entity = b.entity""")
 ask("panel_landing", PANEL, f"SELECT entity, indicator, date, {r6('value')}, 'STAR' AS source FROM panel")
+
+# ---- reasons in words: printf rounds the exact value, ties to even
+
+SHORT_TEXTS = {
+    "negative_growth": "printf('growth %.2f%% below zero', real_gdp_yoy)",
+    "unemployment_rise": "printf('unemployment %+.2fpp in 3 months', unemployment_change_3m)",
+    "curve_inverted": "printf('yield curve inverted at %.2fpp', yield_curve_slope)",
+    "inflation_level": """CASE WHEN cpi_yoy > cpi_peak THEN printf('inflation %.2f%% over its peak line of %.1f%%', cpi_yoy, cpi_peak)
+      WHEN policy_rate_change_6m > 0.5 THEN printf('inflation %.2f%% over %.1f%% while the policy rate moved %+.2fpp in 6 months', cpi_yoy, cpi_elevated, policy_rate_change_6m)
+      ELSE printf('inflation %.2f%% over %.1f%%', cpi_yoy, cpi_elevated) END""",
+    "inflation_accelerating": "printf('inflation accelerating %+.2fpp in 3 months to %.2f%%', cpi_change_3m, cpi_yoy)",
+    "policy_cut": """CASE WHEN cpi_yoy < 4 THEN printf('policy rate cut %.2fpp in 6 months with inflation at %.2f%%', policy_rate_change_6m, cpi_yoy)
+      ELSE printf('policy rate cut %.2fpp in 6 months', policy_rate_change_6m) END""",
+    "inflation_falling": "printf('inflation easing %.2fpp in 3 months', cpi_change_3m)",
+    "healthy_growth": """CASE WHEN unemployment_change_3m <= 0.1 THEN printf('growth %.2f%%, inflation %.2f%%, unemployment not rising', real_gdp_yoy, cpi_yoy)
+      ELSE printf('growth %.2f%% with inflation %.2f%%', real_gdp_yoy, cpi_yoy) END""",
+    "curve_steep": "printf('yield curve steep at %.2fpp', yield_curve_slope)",
+}
+LONG_TEXTS = {
+    "low_debt": f"printf('total debt %.0f%% below 100%%', {_TC})",
+    "debt_outpacing": f"CASE WHEN {_C5} > 5 THEN printf('total debt %.0f%%, %+.0fpp in 5 years', {_TC}, {_C5}) ELSE printf('total debt %.0f%% in the middle range', {_TC}) END",
+    "rapid_credit": f"""CASE WHEN {_TC} >= 200 AND {_C5} > 15 THEN printf('total debt %.0f%% expanding fast, %+.0fpp in 5 years', {_TC}, {_C5})
+      ELSE printf('total debt %.0f%% in the late-cycle zone from %.0f%%', {_TC}, debt_late_cycle_low) END""",
+    "spread_tight": "printf('credit spread unusually tight, z %+.2f', hy_spread_z)",
+    "extreme_debt": f"""CASE WHEN {_DSR} > dsr_stretched THEN printf('total debt %.0f%% at or over %.0f%%, debt service %.1f%% over %.0f%%', {_TC}, debt_extreme, {_DSR}, dsr_stretched)
+      ELSE printf('total debt %.0f%% at or over %.0f%%', {_TC}, debt_extreme) END""",
+    "service_burden": f"printf('debt service %.1f%% over %.0f%% on debt of %.0f%%', {_DSR}, dsr_distress, {_TC})",
+    "spread_wide": "printf('credit spread unusually wide, z %+.2f', hy_spread_z)",
+    "painful_deleveraging": f"printf('debt %+.0fpp in 5 years to %.0f%%, debt service %.1f%%', {_C5}, {_TC}, {_DSR})",
+    "service_extreme": f"printf('debt service %.1f%% over %.0f%%', {_DSR}, dsr_extreme)",
+    "financial_repression": f"printf('real rate %+.1f%% on debt of %.0f%%', real_rate_10y, {_TC})",
+    "inflated_away": f"printf('debt %.0f%%, %+.0fpp in 5 years, with inflation %.1f%%', {_TC}, {_C5}, cpi_yoy)",
+}
+
+
+def _told(texts: dict) -> str:
+    return "'[' || concat_ws(', ', " + ", ".join(f"CASE WHEN {n} IS NOT NULL THEN {t} END" for n, t in texts.items()) + ") || ']'"
+
+
+ask("vote_reasons", decided_needs(""), f"""SELECT entity, as_of, 'Short term ' || lower(st_label) || ', long term ' || lower(lt_label) || ', caution ' || ({_CAUTION}) || '.' AS summary,
+  {_told(SHORT_TEXTS)} AS st_reasons, {_told(LONG_TEXTS)} AS lt_reasons FROM decided""")
+ask("tilt_reasons", f"{decided_needs('')} home assets layers_sek", f"""SELECT entity, as_of, asset, concat_ws(' · ',
+    CASE WHEN abs(st_tilt) > 0.01 THEN printf('short term %s at %.0f%%: %+.2f', st_label, 100 * st_confidence, st_tilt * st_confidence) END,
+    CASE WHEN abs(lt_tilt) > 0.01 THEN printf('long term %s at %.0f%%: %+.2f', lt_label, 100 * lt_confidence, lt_tilt * lt_confidence) END,
+    CASE WHEN abs(ry_tilt) > 0.01 THEN printf('real yield %s, %+.1f%%: %+.2f', {_REGIME}, real_rate_10y, ry_tilt) END,
+    CASE WHEN abs(hc_tilt) > 0.01 THEN printf('SEK view, real rates %+.1fpp apart: %+.2f', home_real_rate - real_rate_10y, hc_tilt) END) AS reasons
+  FROM layers_sek""")
+
+# ---- by date and load time: every revision against every quarter that knew it
+
+_LOG_NAMES = ["real_gdp_yoy", "cpi_yoy", "unemployment_rate", "policy_rate", "yield_10y", "yield_2y", "total_credit_pct_gdp", "debt_service_ratio"]
+_H = "CAST(round(o_totalprice * 100) AS BIGINT)"
+cte("order_log", f"""SELECT entity, ({_LOG_NAMES})[o_orderkey % 8 + 1] AS indicator, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
+  CASE o_orderkey % 8 WHEN 6 THEN 100::DOUBLE + ({_H} % 25000)::DOUBLE / 100::DOUBLE WHEN 7 THEN 10::DOUBLE + ({_H} % 1500)::DOUBLE / 100::DOUBLE
+    ELSE ({_H} % 1000)::DOUBLE / 100::DOUBLE - 3::DOUBLE END AS value,
+  o_orderdate + to_days(CAST(o_custkey % 200 AS INT)) AS fetched_at, o_orderkey AS arrival FROM nation_orders""")
+cte("visible", """SELECT entity, indicator, date, as_of, arg_max(value, (fetched_at, arrival)) AS value
+  FROM order_log JOIN grid ON date <= as_of AND fetched_at <= as_of GROUP BY 1, 2, 3, 4""")
+cte("found_vin", "SELECT entity, indicator, as_of, max(date) AS observed_on, arg_max(value, date) AS value FROM visible GROUP BY 1, 2, 3")
+cte("lagged_vin", """SELECT f.entity, f.indicator, f.as_of, f.observed_on, any_value(f.value) AS value,
+  arg_max(v.value, v.date) FILTER (v.date <= f.observed_on - 90) AS lag_90, arg_max(v.value, v.date) FILTER (v.date <= f.observed_on - 180) AS lag_180,
+  arg_max(v.value, v.date) FILTER (v.date <= f.observed_on - 1825) AS lag_1825
+  FROM found_vin f JOIN visible v ON v.entity = f.entity AND v.indicator = f.indicator AND v.as_of = f.as_of GROUP BY 1, 2, 3, 4""")
+_PICKS = [f"max(value) FILTER (indicator = '{i}') AS {i}, max(observed_on) FILTER (indicator = '{i}') AS {i}_date" for i in INDICATORS]
+_PICKS += [f"max(lag_{d}) FILTER (indicator = '{i}') AS {n}" for n, (i, d) in LAGS.items()]
+cte("snapshot_vin", f"""SELECT e.entity, e.as_of, {', '.join(_PICKS)} FROM ({_ALL_NATIONS.format(grid='grid')}) e
+  LEFT JOIN lagged_vin f ON f.entity = e.entity AND f.as_of = e.as_of GROUP BY 1, 2""")
+cte("features_vin", f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in DERIVED.items())} FROM snapshot_vin")
+cte("own_vin", _thresholds("visible", 40, "entity, as_of"))
+_inputs("inputs_vin", "features_vin", "own_vin", None, "", "entity as_of")
+_classification("_vin", "inputs_vin")
+KNOWN = "nation_orders order_log grid visible"
+ask("asof_by_vintage", f"{KNOWN} found_vin lagged_vin", f"""SELECT entity, indicator, as_of, {r6('value')}, observed_on, {r6('lag_90', 'lag_90d')}, {r6('lag_1825', 'lag_1825d')}
+  FROM lagged_vin""")
+ask("regime_replay_vintages", f"{KNOWN} found_vin lagged_vin snapshot_vin features_vin own_vin inputs_vin fired_vin weighed_vin short_vin long_vin decided_vin",
+    _PATH + "decided_vin")
+ask("trailing_zscores_vintages", KNOWN, f"""SELECT entity, indicator, as_of, n_obs, {r6('latest')}, {r6('z')} FROM
+  ({zscore('entity, indicator, as_of', '(SELECT * FROM visible WHERE date >= as_of - 730)', minimum=3)})""")
+
+# ---- on timestamps
+
+cte("events_once", """SELECT CASE WHEN user_id % 3 = 0 THEN 'HOT' ELSE event_type END AS entity, ts, arg_max(value, event_id) AS value
+  FROM events GROUP BY 1, 2""")
+ask("asof_hourly", "events_once", f"""SELECT g.entity, g.as_of, {r6('e.value', 'value')}, e.ts AS observed_at
+  FROM (SELECT entity, h AS as_of FROM (SELECT DISTINCT entity FROM events_once),
+    generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 HOUR) t(h)) g
+  ASOF JOIN events_once e ON e.entity = g.entity AND g.as_of >= e.ts""")
+ask("asof_event_probes", "events_once", f"""SELECT p.event_id, p.ts AS as_of, {r6('e.value', 'value')}, e.ts AS observed_at
+  FROM (SELECT event_id, ts, 'HOT' AS entity FROM events WHERE user_id % 3 <> 0) p ASOF LEFT JOIN events_once e ON e.entity = p.entity AND p.ts >= e.ts""")
+ask("event_time_lags", "events_once", f"""SELECT p.event_id, p.entity, {r6('p.value', 'value')}, {r6('a.value', 'lag_30m')}, {r6('b.value', 'lag_6h')}
+  FROM (SELECT event_id, value, CASE WHEN user_id % 3 = 0 THEN 'HOT' ELSE event_type END AS entity, ts - INTERVAL 30 MINUTE AS t1, ts - INTERVAL 6 HOUR AS t2 FROM events) p
+  ASOF LEFT JOIN events_once a ON a.entity = p.entity AND p.t1 >= a.ts ASOF LEFT JOIN events_once b ON b.entity = p.entity AND p.t2 >= b.ts""")
+
+# ---- entities of three columns
+
+cte("keyed_months", f"""SELECT entity AS nation, p_brand AS brand, l_returnflag AS flag, {_MONTH} AS date, count(*)::DOUBLE AS n,
+  sum(CAST(round(l_discount * 100) AS BIGINT))::DOUBLE AS d, sum(CAST(round(l_tax * 100) AS BIGINT))::DOUBLE AS t, sum(CAST(round(l_quantity * 100) AS BIGINT))::DOUBLE AS q
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN nation_orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4""")
+cte("keyed", " UNION ALL ".join(f"SELECT nation, brand, flag, date, '{i}' AS indicator, {c} / n AS value FROM keyed_months"
+                                for i, c in (("cpi_yoy", "d"), ("policy_rate", "t"), ("total_credit_pct_gdp", "q"))))
+_KEY = "nation, brand, flag"
+KEYED = "nation_orders keyed_months keyed"
+cte("keyed_found", f"""SELECT {_KEY}, indicator, as_of, max(date) AS observed_on, arg_max(value, date) AS value
+  FROM keyed JOIN (VALUES ({AS_OF}), ({TODAY})) g(as_of) ON date <= as_of GROUP BY 1, 2, 3, 4, 5""")
+_SAME = " AND ".join(f"b.{k} = a.{k}" for k in ("nation", "brand", "flag", "indicator"))
+cte("keyed_lagged", f"""SELECT a.*, b.value AS lag_90, c.value AS lag_180, d.value AS lag_1825
+  FROM (SELECT *, observed_on - 90 AS d1, observed_on - 180 AS d2, observed_on - 1825 AS d3 FROM keyed_found) a
+  ASOF LEFT JOIN keyed b ON {_SAME} AND a.d1 >= b.date ASOF LEFT JOIN keyed c ON {_SAME.replace('b.', 'c.')} AND a.d2 >= c.date
+  ASOF LEFT JOIN keyed d ON {_SAME.replace('b.', 'd.')} AND a.d3 >= d.date""")
+_THREE = ("cpi_yoy", "policy_rate", "total_credit_pct_gdp")
+ask("keyed_snapshot", f"{KEYED} keyed_found keyed_lagged", f"SELECT {_KEY}, as_of, " + ", ".join(
+    [r6(f"max(value) FILTER (indicator = '{i}')", i) for i in _THREE]
+    + [r6(f"max(lag_{d}) FILTER (indicator = '{i}')", n) for n, (i, d) in LAGS.items() if i in _THREE])
+    + ", max(observed_on) FILTER (indicator = 'cpi_yoy') AS cpi_yoy_date FROM keyed_lagged GROUP BY 1, 2, 3, 4")
+ask("keyed_latest", f"{KEYED} keyed_found", f"SELECT {_KEY}, indicator, {r6('value')}, observed_on FROM keyed_found WHERE as_of = {AS_OF}")
+ask("keyed_probe_join", KEYED, f"""SELECT l_orderkey, l_linenumber, a.nation, a.brand, a.flag, as_of, {r6('b.value', 'value')}, b.date AS observed_on
+  FROM (SELECT l_orderkey, l_linenumber, entity AS nation, p_brand AS brand, l_returnflag AS flag, 'policy_rate' AS indicator, CAST(l_shipdate AS DATE) AS as_of
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN nation_orders ON l_orderkey = o_orderkey) a
+  ASOF LEFT JOIN keyed b ON {_SAME} AND a.as_of >= b.date""")
+ask("keyed_lags", KEYED, f"""SELECT a.nation, a.brand, a.flag, a.indicator, a.date, {r6('a.value', 'value')}, {r6('b.value', 'lag_90d')}, {r6('c.value', 'lag_365d')}
+  FROM (SELECT *, date - 90 AS d1, date - 365 AS d2 FROM keyed) a ASOF LEFT JOIN keyed b ON {_SAME} AND a.d1 >= b.date
+  ASOF LEFT JOIN keyed c ON {_SAME.replace('b.', 'c.')} AND a.d2 >= c.date""")
+ask("keyed_quantiles", KEYED, _quantiles("keyed", f"{_KEY}, indicator").replace(">= 40", ">= 5").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3, 4"))
+ask("bucketed_snapshot", snapshot_needs("_cust"), f"SELECT entity, as_of, {_SNAP} FROM snapshot_cust")

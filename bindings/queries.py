@@ -32,6 +32,7 @@ from panelcycle.functions import periods, scalars
 from panelcycle.functions.scalars import DERIVED_FEATURES
 from panelcycle.operators import audit, membership, series
 from panelcycle.operators.asof import asof_grid, asof_join, latest_at, with_anchor_lags
+from panelcycle.operators.asof_time import asof_time_grid, asof_time_join, hourly_grid, with_time_lags
 from panelcycle.operators.canonical import canonical_panel, duplicate_keys
 from panelcycle.operators.quantiles import expanding_quantiles, series_quantiles
 from panelcycle.operators.rules import LONG_TERM_RULES, SHORT_TERM_RULES, Rule, RuleSet, case, text
@@ -40,17 +41,18 @@ from panelcycle.operators.snapshot import feature_snapshots, with_derived_featur
 from panelcycle.operators.thresholds import calibrated_thresholds, expanding_thresholds, threshold_deltas, with_thresholds
 from panelcycle.operators.tilts import asset_tilts, explode_tilts, rank_long_tilts, top_tilts
 from panelcycle.operators.upsert import merge_observations, upsert_counts
+from panelcycle.operators.vintages import asof_vintages
 from panelcycle.operators.votes import cast_votes, long_votes
 from panelcycle.plans import load
 from panelcycle.plans.classify import attach_signal, classify
 from panelcycle.plans.replay import date_grid, entities_with_a_path, replay
-from panelcycle.plans.views import entity_views, home_real_rates, world_view
-from panelcycle.schema import OBSERVATION_SCHEMA
+from panelcycle.plans.views import entity_views, home_real_rates, viewer_views, world_view
+from panelcycle.schema import OBSERVATION_SCHEMA, PanelColumns
 from panelcycle.session import ensure_checkpoint_dir
 from panelcycle.sources.provider_series import faulty_specs, land_series
 from panelcycle.sources.sdmx_csv import parse_sdmx
 from panelcycle.sources.sdmx_xml import parse_sdmx_xml
-from panelcycle.sources.store import ObservationStore
+from panelcycle.sources.tables import ObservationTable, save_bucketed
 from panelcycle.sources.worldbank import parse_worldbank_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,9 +260,9 @@ def load_summary_by_entity(spark, sf_dir):
 
 @query
 def load_end_to_end(spark, sf_dir):
-    """Rows of two providers, faulty specs and series without data, through the load into a store.
+    """Rows of two providers, faulty specs and series without data, through the load into a table.
 
-    The summary, with the rows then found in the store and in the quarantine.
+    The summary, with the rows then found in the table and in the quarantine.
     """
     import uuid
 
@@ -271,10 +273,10 @@ def load_end_to_end(spark, sf_dir):
     empty = specs.select("entity", F.lit("nothing").alias("indicator"))
     asked = statistics.select("entity", "indicator").unionByName(specs.select("entity", "indicator")).unionByName(empty)
     folder = f"{ensure_checkpoint_dir(spark)}/load-{uuid.uuid4().hex}"
-    store = ObservationStore(spark, f"{folder}/store")
-    summary = load.load_batch(store, parsed, asked, "arrival", f"{folder}/quarantine")
+    table_ = ObservationTable(spark, f"{folder}/table")
+    summary = load.load_batch(table_, parsed, asked, "arrival", f"{folder}/quarantine")
     keys = ["entity", "indicator"]
-    stored = store.read().groupBy(*keys).agg(F.count(F.lit(1)).alias("stored"))
+    stored = table_.read().groupBy(*keys).agg(F.count(F.lit(1)).alias("stored"))
     held = spark.read.parquet(f"{folder}/quarantine").groupBy(*keys).agg(F.count(F.lit(1)).alias("quarantined"))
     return summary.join(stored, keys, "left").join(held, keys, "left").fillna(0, ["stored", "quarantined"])
 
@@ -342,14 +344,25 @@ def code_translation(spark, sf_dir):
 
 @query
 def store_round_trip(spark, sf_dir):
-    """Three upserts into a fresh store, the last two as revisions, then a pruned read."""
+    """Three upserts into a fresh table, the last two as revisions, then a pruned read."""
     import uuid
 
-    store = ObservationStore(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}", entity_buckets=4)
+    stored = ObservationTable(spark, f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}")
     orders = _revisions(spark, sf_dir)
     for status in ("F", "O", "P"):
-        store.upsert(orders.where(F.col("o_orderstatus") == status).drop("o_orderstatus", "iso3"), "arrival")
-    return store.read(["order_size"], until=dt.date(1999, 12, 31)).select("entity", "date", "source", "value")
+        stored.upsert(orders.where(F.col("o_orderstatus") == status).drop("o_orderstatus", "iso3"), "arrival")
+    return stored.read(["order_size"], until=dt.date(1999, 12, 31)).select("entity", "date", "source", "value")
+
+
+@query
+def bucketed_snapshot(spark, sf_dir):
+    """The customers' snapshot from a table bucketed by customer: no row is shuffled after the write."""
+    import uuid
+
+    name = f"panel_{uuid.uuid4().hex}"
+    stored = save_bucketed(landed_panel(spark, sf_dir, "customer"), name, 16, f"{ensure_checkpoint_dir(spark)}/{name}")
+    snapshots = feature_snapshots(stored, [AS_OF], one_row_per_day=True, colocated=True)
+    return snapshots.select("entity", "as_of", *[r6(n) for n in (*ALL_INDICATORS, *LAGGED_FEATURES)])
 
 
 # ---- projections and scalar functions ---------------------------------------------------------
@@ -458,7 +471,7 @@ def status_bands(spark, sf_dir):
 
 @query
 def vote_reasons(spark, sf_dir):
-    """Texts round differently by engine, so there is nothing to compare them with."""
+    """The reasons of every vote, and the summary line."""
     views = _views(spark, sf_dir, "USD", with_reasons=True)
     return views.select(
         "entity", "as_of", "summary", F.transform("st_votes", lambda v: v["reason"]).cast("string").alias("st_reasons"),
@@ -500,13 +513,156 @@ def asof_over_grid(spark, sf_dir):
 
 @query
 def asof_probe_join(spark, sf_dir):
-    """Every order looks up two indicators of its nation on its order day."""
+    """Every order looks up every indicator of its nation on its order day."""
     probes = nation_orders(spark, sf_dir).select(
-        "o_orderkey", "entity", F.to_date("o_orderdate").alias("as_of"),
-        F.explode(F.array(F.lit("cpi_yoy"), F.lit("policy_rate"))).alias("indicator"),
+        "o_orderkey", "entity", F.to_date("o_orderdate").alias("as_of"), F.explode(F.array(*map(F.lit, INDICATORS))).alias("indicator"),
+    )
+    return asof_join(probes, landed_panel(spark, sf_dir)).select("o_orderkey", "indicator", "as_of", r6("value"), "observed_on")
+
+
+# ---- as-of by date and load time
+
+LOG_INDICATORS = (
+    "real_gdp_yoy", "cpi_yoy", "unemployment_rate", "policy_rate", "yield_10y", "yield_2y", "total_credit_pct_gdp", "debt_service_ratio",
+)
+
+
+def order_log(spark, sf_dir) -> DataFrame:
+    """Orders as a log of revisions of (nation, indicator, month), each loaded up to 199 days after its order."""
+    h, which = hundredths("o_totalprice"), F.col("o_orderkey") % len(LOG_INDICATORS)
+
+    def share(modulus: int) -> Column:
+        return (h % modulus).cast("double") / F.lit(100.0)
+
+    value = F.when(which == 6, F.lit(100.0) + share(25000)).when(which == 7, F.lit(10.0) + share(1500)).otherwise(share(1000) - F.lit(3.0))
+    return nation_orders(spark, sf_dir).select(
+        "entity", F.element_at(F.array(*map(F.lit, LOG_INDICATORS)), which.cast("int") + 1).alias("indicator"),
+        F.to_date(F.trunc("o_orderdate", "MM")).alias("date"), value.alias("value"), F.lit("ORD").alias("source"), F.lit("S").alias("series_id"),
+        (F.col("o_orderdate") + F.make_dt_interval((F.col("o_custkey") % 200).cast("int"))).alias("fetched_at"),
+        F.col("o_orderkey").alias("arrival"),
+    )
+
+
+@query
+def asof_by_vintage(spark, sf_dir):
+    """Every quarter sees the newest month it knew, and its lags, at the values it knew."""
+    found = asof_vintages(order_log(spark, sf_dir), grid_dates(), grid_dates(), lags=[90, 1825])
+    return found.select("entity", "indicator", "as_of", r6("value"), "observed_on", r6("lag_90d"), r6("lag_1825d"))
+
+
+@query
+def regime_replay_vintages(spark, sf_dir):
+    """Both classifiers on every quarter, over the values and thresholds known then."""
+    replayed = replay(
+        order_log(spark, sf_dir), REPLAY_START, REPLAY_END, entities=nations(spark, sf_dir).select("entity"), calibration="expanding",
+        signal_asof="none", known_by="as_of",
+    )
+    return _rounded_path(replayed)
+
+
+@query
+def trailing_zscores_vintages(spark, sf_dir):
+    """Scores of every series of the log over two years of the values known at each date."""
+    scored = trailing_zscore_grid(order_log(spark, sf_dir), grid_dates(), window_days=730, min_observations=3, known_by=grid_dates())
+    return scored.select("entity", "indicator", "as_of", "n_obs", r6("latest"), r6("z"))
+
+
+# ---- as-of on timestamps
+
+EVENT_COLUMNS = PanelColumns(date="ts")
+
+
+def event_panel(spark, sf_dir) -> DataFrame:
+    """Events as series by type; a third of the users report to one series of their own."""
+    hot = F.col("user_id") % 3 == 0
+    return table(spark, sf_dir, "events").select(
+        F.when(hot, "HOT").otherwise(F.col("event_type")).alias("entity"), F.lit("value").alias("indicator"), "ts", "value", "event_id",
+    )
+
+
+@query
+def asof_hourly(spark, sf_dir):
+    """The newest event of every series at every full hour of the month."""
+    grid = hourly_grid(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31))
+    found = asof_time_grid(event_panel(spark, sf_dir), grid, ["event_id"], EVENT_COLUMNS)
+    return found.select("entity", "as_of", r6("value"), "observed_at")
+
+
+@query
+def asof_event_probes(spark, sf_dir):
+    """Every event looks up the hot series at its own time."""
+    events = event_panel(spark, sf_dir)
+    probes = events.where("entity <> 'HOT'").select(F.lit("HOT").alias("entity"), "indicator", F.col("ts").alias("as_of"), "event_id")
+    found = asof_time_join(probes, events, block=dt.timedelta(hours=2), ties=["event_id"], cols=EVENT_COLUMNS)
+    return found.select("event_id", "as_of", r6("value"), "observed_at")
+
+
+@query
+def event_time_lags(spark, sf_dir):
+    """Every event with its series' value half an hour and six hours before."""
+    lags = {"lag_30m": dt.timedelta(minutes=30), "lag_6h": dt.timedelta(hours=6)}
+    lagged = with_time_lags(event_panel(spark, sf_dir), lags, ties=["event_id"], cols=EVENT_COLUMNS)
+    return lagged.select("event_id", "entity", r6("value"), r6("lag_30m"), r6("lag_6h"))
+
+
+# ---- entities of three columns
+
+KEYED = PanelColumns(entity=("nation", "brand", "flag"))
+
+
+def keyed_panel(spark, sf_dir) -> DataFrame:
+    """Nation x brand x return flag by month, all of lineitem."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"))
+    lines = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    orders = nation_orders(spark, sf_dir).select("o_orderkey", F.col("entity").alias("nation"), F.to_date(F.trunc("o_orderdate", "MM")).alias("date"))
+    n = F.count(F.lit(1)).cast("double")
+    monthly = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("nation", "brand", F.col("l_returnflag").alias("flag"), "date").agg(
+        (F.sum(hundredths("l_discount")).cast("double") / n).alias("cpi_yoy"), (F.sum(hundredths("l_tax")).cast("double") / n).alias("policy_rate"),
+        (F.sum(hundredths("l_quantity")).cast("double") / n).alias("total_credit_pct_gdp"),
     )
-    panel = landed_panel(spark, sf_dir).where(F.col("indicator").isin("cpi_yoy", "policy_rate"))
-    return asof_join(probes, panel).select("o_orderkey", "indicator", "as_of", r6("value"), "observed_on")
+    long = monthly.unpivot(["nation", "brand", "flag", "date"], ["cpi_yoy", "policy_rate", "total_credit_pct_gdp"], "indicator", "value")
+    return long.withColumns({"source": F.lit("STAR"), "series_id": F.lit("K")})
+
+
+@query
+def keyed_snapshot(spark, sf_dir):
+    """As-of values and lags of entities that are three columns."""
+    names = ("cpi_yoy", "policy_rate", "total_credit_pct_gdp")
+    found = feature_snapshots(keyed_panel(spark, sf_dir), [AS_OF, TODAY], indicators=names, cols=KEYED)
+    lags = [f for f, (i, _) in LAGGED_FEATURES.items() if i in names]
+    return found.select(*KEYED.entity_key, "as_of", *[r6(c) for c in (*names, *lags)], "cpi_yoy_date")
+
+
+@query
+def keyed_latest(spark, sf_dir):
+    found = latest_at(keyed_panel(spark, sf_dir), AS_OF, cols=KEYED)
+    return found.select(*KEYED.series_key, r6("value"), "observed_on")
+
+
+@query
+def keyed_probe_join(spark, sf_dir):
+    """Every order line asks for its own nation, brand and flag on its ship day."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"))
+    orders = nation_orders(spark, sf_dir).select("o_orderkey", F.col("entity").alias("nation"))
+    lines = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    asked = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "l_orderkey", "l_linenumber", "nation", "brand", F.col("l_returnflag").alias("flag"), F.lit("policy_rate").alias("indicator"),
+        F.to_date("l_shipdate").alias("as_of"),
+    )
+    found = asof_join(asked, keyed_panel(spark, sf_dir), cols=KEYED)
+    return found.select("l_orderkey", "l_linenumber", *KEYED.entity_key, "as_of", r6("value"), "observed_on")
+
+
+@query
+def keyed_lags(spark, sf_dir):
+    lagged = with_anchor_lags(canonical_panel(keyed_panel(spark, sf_dir), cols=KEYED), [90, 365], KEYED)
+    return lagged.select(*KEYED.series_key, "date", r6("value"), r6("lag_90d"), r6("lag_365d"))
+
+
+@query
+def keyed_quantiles(spark, sf_dir):
+    found = series_quantiles(keyed_panel(spark, sf_dir), CALIBRATION_QUANTILES, 5, cols=KEYED)
+    return found.select(*KEYED.series_key, "n_obs", *[r6(f"q{q}") for q in (50, 75, 90, 95)])
 
 
 @query
@@ -840,6 +996,26 @@ def ranked_tilts(spark, sf_dir):
     return rank_long_tilts(long, ["entity", "as_of"], 8).select("entity", "as_of", "rank", "asset", r6("tilt"))
 
 
+VIEWER_HOMES = {"SEK": "NATION_5", "EUR": "NATION_8"}
+
+
+@query
+def viewer_tilt_table(spark, sf_dir):
+    """Every entity seen from five currencies in one job; two have a home in the panel."""
+    views = viewer_views(
+        landed_panel(spark, sf_dir), grid_dates(), ["SEK", "EUR", "USD", "INR", "BRL"], VIEWER_HOMES, today=TODAY,
+        entities=nations(spark, sf_dir).select("entity"), signal_entities=SIGNAL_ENTITIES, one_row_per_day=True, with_reasons=False,
+    )
+    return explode_tilts(views, ["entity", "as_of", "home_currency"]).select("entity", "as_of", "home_currency", "asset", r6("tilt"))
+
+
+@query
+def tilt_reasons(spark, sf_dir):
+    """What moves each tilt by more than a hundredth, in words."""
+    long = explode_tilts(_views(spark, sf_dir, HOME_CURRENCY, with_reasons=True), ["entity", "as_of"])
+    return long.select("entity", "as_of", "asset", "reasons")
+
+
 @query
 def entity_view_headers(spark, sf_dir):
     views = _views(spark, sf_dir, HOME_CURRENCY)

@@ -24,10 +24,10 @@ def latest_at(panel: DataFrame, as_of: dt.date, priority: Sequence[str] = (), co
     aggregate whose shuffle carries one row per series and map task.
     """
     seen = panel.where(F.col(cols.date) <= F.lit(as_of)).select(
-        cols.entity, cols.indicator, cols.date, cols.value,
+        *cols.series_key, cols.date, cols.value,
         recency(F.col(cols.date), F.col(cols.source), priority).alias("_recency"),
     )
-    return seen.groupBy(cols.entity, cols.indicator).agg(
+    return seen.groupBy(*cols.series_key).agg(
         F.max_by(cols.value, "_recency").alias("value"),
         F.max(cols.date).alias("observed_on"),
     )
@@ -92,21 +92,24 @@ def newest_per_slot(observations: DataFrame, grid: Sequence[dt.date], cols: Pane
     """Newest row of each series per slot, from a canonical frame with optional ``lag_*`` columns."""
     extras = [c for c in observations.columns if c.startswith("lag_")]
     slotted = slot_of(observations, grid, cols)
-    return slotted.groupBy(cols.entity, cols.indicator, "slot").agg(
+    return slotted.groupBy(*cols.series_key, "slot").agg(
         F.max_by(cols.value, cols.date).alias("value"),
         F.max(cols.date).alias("observed_on"),
         *[F.max_by(c, cols.date).alias(c) for c in extras],
     )
 
 
-def spread_over_grid(newest: DataFrame, grid: Sequence[dt.date], cols: PanelColumns = PANEL) -> DataFrame:
-    """Repeat each slot's row up to the series' next slot with news: one row per answered date."""
+def spread_over_grid(newest: DataFrame, grid: Sequence[dt.date], cols: PanelColumns = PANEL, points: Column | None = None) -> DataFrame:
+    """Repeat each slot's row up to the series' next slot with news: one row per answered date.
+
+    ``points`` is the grid as an array column, for grids that are not of dates.
+    """
     series = Window.partitionBy(*cols.series_key).orderBy("slot")
     last_slot = F.coalesce(F.lead("slot").over(series) - 1, F.lit(len(grid) - 1))
     filled = newest.withColumn("_until", last_slot)
     return (
         filled.withColumn("slot", F.explode(F.sequence("slot", "_until")))
-        .withColumn("as_of", F.element_at(F.array(*[F.lit(d) for d in grid]), F.col("slot") + 1))
+        .withColumn("as_of", F.element_at(F.array(*[F.lit(d) for d in grid]) if points is None else points, F.col("slot") + 1))
         .drop("_until")
     )
 
@@ -116,7 +119,7 @@ def daily_rows(panel: DataFrame, until: dt.date, priority: Sequence[str] = (), o
     """The canonical panel up to a date, as (entity, indicator, date, value)."""
     bounded = panel.where(F.col(cols.date) <= F.lit(until))
     daily = bounded if one_row_per_day else canonical_panel(bounded, priority, cols)
-    return daily.select(cols.entity, cols.indicator, cols.date, cols.value)
+    return daily.select(*cols.series_key, cols.date, cols.value)
 
 
 def answers_on_grid(daily: DataFrame, grid: Sequence[dt.date], lags: Sequence[int] = (),

@@ -33,10 +33,10 @@ def source_rank(source: Column, priority: Sequence[str] = ()) -> Column:
 def canonical_panel(panel: DataFrame, priority: Sequence[str] = (), cols: PanelColumns = PANEL) -> DataFrame:
     """One row per (entity, indicator, date): the value of the best-ranked source."""
     ranked = panel.select(
-        *[F.col(c) for c in (cols.entity, cols.indicator, cols.date, cols.value)],
+        *[F.col(c) for c in (*cols.series_key, cols.date, cols.value)],
         source_rank(F.col(cols.source), priority).alias("_rank"),
     )
-    return ranked.groupBy(cols.entity, cols.indicator, cols.date).agg(
+    return ranked.groupBy(*cols.series_key, cols.date).agg(
         F.min_by(cols.value, "_rank").alias(cols.value)
     )
 

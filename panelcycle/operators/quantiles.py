@@ -1,6 +1,7 @@
 """Exact linear-interpolation quantiles per series.
 
-``percentile`` keeps a value -> count map per group. That is right for series that fit in a task.
+``percentile`` keeps a value -> count map per group, and expanding quantiles count over one sorted
+order per series. That is right for series that fit in a task.
 The series are counted first, in one pass that combines map-side; only if some hold at least
 ``LARGE_SERIES_ROWS`` rows does the plan get a second way for them, which narrows ranges of values
 until each holds a single value. Both ways are exact.
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcycle.operators.asof import slot_of
+from panelcycle.operators.rank_trees import running_quantiles
+from panelcycle.operators.vintages import revision_spans
 from panelcycle.schema import PANEL, PanelColumns, present
 from panelcycle.session import materialize
 
@@ -152,10 +155,9 @@ def expanding_quantiles(
 ) -> DataFrame:
     """Quantiles of every series as they stood on each grid date, over the rows up to that date.
 
-    Rows are walked once per series in slot order. The rows of a slot are peers of one growing
-    frame, so the quantiles are evaluated once per slot with news, never once per row, and then
-    hold until the next such slot. The large series' values are counted by slot instead, and their
-    rows are never repeated for later dates.
+    A series' values are sorted once; its slots then keep counts over that order, so a slot with
+    news costs its own rows and a search (``operators.rank_trees``), and holds until the next one. The
+    large series' values are counted by slot instead, and their rows are never repeated for later dates.
     """
     keys = cols.series_key
     usable = panel.where(present(F.col(cols.value))).select(*keys, cols.date, F.col(cols.value).alias("_v"))
@@ -165,12 +167,7 @@ def expanding_quantiles(
 
     so_far = Window.partitionBy(*keys).orderBy("slot")
     last = len(grid) - 1
-    news = walked.select(
-        *keys, "slot",
-        F.count(F.lit(1)).over(so_far).alias("n_obs"),
-        F.lead("slot").over(so_far).alias("_next"),
-        F.percentile("_v", [float(p) for p in probs]).over(so_far).alias("_q"),
-    ).where(F.col("_next").isNull() | (F.col("_next") > F.col("slot")))  # the last of a slot's rows stands for the slot
+    news = running_quantiles(walked.withColumn("_sign", F.lit(1)), list(keys), probs)
     if large is not None:
         rows = values.join(large.select(*keys), list(keys), "left_semi")
         per_slot = rows.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("_n"))
@@ -178,10 +175,38 @@ def expanding_quantiles(
             *keys, "slot", F.sum("_n").over(so_far).alias("n_obs"), F.lead("slot").over(so_far).alias("_next")
         )
         news = news.unionByName(_by_ranks(rows, large, sizes, list(keys), probs, last))
-    held = news.withColumn("slot", F.explode(F.sequence("slot", F.coalesce(F.col("_next") - 1, F.lit(last)))))
+    return _on_grid(news, grid, keys, probs, min_observations)
+
+
+def _on_grid(news: DataFrame, grid: Sequence[dt.date], keys: Sequence[str], probs: Sequence[float], min_observations: int) -> DataFrame:
+    """Rows per slot with news, held until the next one, as rows per date."""
+    held = news.withColumn("slot", F.explode(F.sequence("slot", F.coalesce(F.col("_next") - 1, F.lit(len(grid) - 1)))))
     enough = F.col("n_obs") >= min_observations
     dates = F.array(*[F.lit(d) for d in grid])
     return held.select(
         *keys, F.element_at(dates, F.col("slot") + 1).alias("as_of"), "n_obs",
         *[F.when(enough, F.col("_q")[i]).alias(quantile_name(p)) for i, p in enumerate(probs)],
     )
+
+
+def vintage_quantiles(
+    log: DataFrame,
+    grid: Sequence[dt.date],
+    known_by: Sequence[dt.date | dt.datetime],
+    probs: Sequence[float],
+    min_observations: int = 1,
+    cols: PanelColumns = PANEL,
+) -> DataFrame:
+    """``expanding_quantiles`` over a log of revisions: each date sees the values that were loaded by its load time.
+
+    A value is counted at the slot that first sees it and taken out again at the slot of the revision
+    that replaces it.
+    """
+    keys = cols.series_key
+    usable = log.where(present(F.col(cols.value)))
+    spans = revision_spans(usable, grid, known_by, cols)
+    steps = F.array(
+        F.struct(F.col("slot").alias("slot"), F.lit(1).alias("_sign")), F.struct(F.col("_until").alias("slot"), F.lit(-1).alias("_sign"))
+    )
+    events = spans.select(*keys, F.col(cols.value).alias("_v"), F.inline(steps)).where(F.col("slot").isNotNull())
+    return _on_grid(running_quantiles(events, keys, probs), grid, keys, probs, min_observations)

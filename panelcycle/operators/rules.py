@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from panelcycle.catalog.tilts import PHASE_LABELS, STAGE_LABELS
+from panelcycle.functions.text import worded
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,7 @@ def case(*steps: tuple[str, float]) -> str:
 
 
 def text(template: str, *values: str) -> str:
-    return f"format_string({', '.join([repr(template), *values])})"
+    return worded(template, *values)
 
 
 def either(condition: str, then: str, otherwise: str) -> str:

@@ -14,7 +14,7 @@ from panelcycle.catalog.thresholds import (
     MIN_OBSERVATIONS,
     THRESHOLD_QUANTILES,
 )
-from panelcycle.operators.quantiles import LARGE_SERIES_ROWS, expanding_quantiles, quantile_name, series_quantiles
+from panelcycle.operators.quantiles import LARGE_SERIES_ROWS, expanding_quantiles, quantile_name, series_quantiles, vintage_quantiles
 from panelcycle.schema import PANEL, PanelColumns
 
 
@@ -44,7 +44,7 @@ def calibrated_thresholds(
     """One row per entity over its full history; a field is NULL where its series is too short."""
     history = panel.where(F.col(cols.indicator).isin(list(CALIBRATED_INDICATORS)))
     quantiles = series_quantiles(history, CALIBRATION_QUANTILES, min_observations, cols.series_key, large_series_rows, cols)
-    return _assemble(quantiles, [cols.entity], cols)
+    return _assemble(quantiles, cols.entity_key, cols)
 
 
 def expanding_thresholds(
@@ -52,12 +52,16 @@ def expanding_thresholds(
     grid: Sequence[dt.date],
     min_observations: int = MIN_OBSERVATIONS,
     large_series_rows: int | None = LARGE_SERIES_ROWS,
+    known_by: Sequence[dt.date | dt.datetime] | None = None,
     cols: PanelColumns = PANEL,
 ) -> DataFrame:
-    """One row per entity and grid date, over the history up to that date."""
+    """One row per entity and grid date, over the history up to that date; with ``known_by`` as it was loaded by then."""
     history = panel.where(F.col(cols.indicator).isin(list(CALIBRATED_INDICATORS)))
-    quantiles = expanding_quantiles(history, grid, CALIBRATION_QUANTILES, min_observations, large_series_rows, cols)
-    return _assemble(quantiles, [cols.entity, "as_of"], cols)
+    if known_by is not None:
+        quantiles = vintage_quantiles(history, grid, known_by, CALIBRATION_QUANTILES, min_observations, cols)
+    else:
+        quantiles = expanding_quantiles(history, grid, CALIBRATION_QUANTILES, min_observations, large_series_rows, cols)
+    return _assemble(quantiles, [*cols.entity_key, "as_of"], cols)
 
 
 def with_thresholds(

@@ -26,7 +26,7 @@ from panelcycle.functions.scalars import (
     real_yield_intensity,
     real_yield_regime,
 )
-from panelcycle.functions.text import summary_line
+from panelcycle.functions.text import summary_line, worded
 from panelcycle.operators.rules import LONG_TERM, SHORT_TERM
 from panelcycle.operators.votes import quoted
 
@@ -51,16 +51,16 @@ def layer_tilt(asset: str, table: TiltTable, cls: str, prefix: str, order: Seque
 def _reasons(asset: str) -> str:
     st, lt = f"_st_{asset}", f"_lt_{asset}"
     parts = [
-        (st, f"format_string('short term %s at %.0f%%: %+.2f', st_label, 100D * st_confidence, {st} * _st_conf)"),
-        (lt, f"format_string('long term %s at %.0f%%: %+.2f', lt_label, 100D * lt_confidence, {lt} * _lt_conf)"),
+        (st, worded("short term %s at %.0f%%: %+.2f", "st_label", "100D * st_confidence", f"{st} * _st_conf")),
+        (lt, worded("long term %s at %.0f%%: %+.2f", "lt_label", "100D * lt_confidence", f"{lt} * _lt_conf")),
     ]
-    for table, column, template in (
-        (REAL_YIELD_TILTS, "_ry", "format_string('real yield %s, %+.1f%%: %+.2f', real_yield_regime, real_rate_10y, {0})"),
-        (HOME_CURRENCY_TILTS, "_fx", "format_string('%s view, real rates %+.1fpp apart: %+.2f', home_currency, _gap, {0})"),
+    for table, column, template, values in (
+        (REAL_YIELD_TILTS, "_ry", "real yield %s, %+.1f%%: %+.2f", ("real_yield_regime", "real_rate_10y")),
+        (HOME_CURRENCY_TILTS, "_fx", "%s view, real rates %+.1fpp apart: %+.2f", ("home_currency", "_gap")),
     ):
         if asset in table:
             amount = f"{float(table[asset])}D * {column}"
-            parts.append((amount, template.format(amount)))
+            parts.append((amount, worded(template, *values, amount)))
     shown = ", ".join(f"CASE WHEN abs({amount}) > {REASON_CUTOFF}D THEN {words} END" for amount, words in parts)
     return f"concat_ws(' · ', {shown})"
 

@@ -55,6 +55,8 @@ def classify(
     short_term: RuleSet = SHORT_TERM,
     long_term: RuleSet = LONG_TERM,
     every_date: bool = False,
+    known_by: Sequence[dt.date | dt.datetime] | None = None,
+    colocated: bool = False,
     cols: PanelColumns = PANEL,
 ) -> DataFrame:
     """Both classifications of every entity on every grid date.
@@ -62,31 +64,36 @@ def classify(
     ``thresholds``: ``"calibrated"`` derives them from each entity's full history, ``"expanding"``
     from its history up to each date; a frame or a mapping is used as given; None means the defaults.
     ``signal_asof``: ``"today"`` gives every date the score as of ``today`` (default: last grid date), ``"as_of"`` the score of that date,
-    ``"none"`` no signal. ``short_term`` and ``long_term`` are the rule sets. ``every_date``: see
-    ``feature_snapshots``. Series never cross an entity, so the job scales with entities.
+    ``"none"`` no signal. ``short_term`` and ``long_term`` are the rule sets. ``every_date``, ``known_by`` and
+    ``colocated``: see ``feature_snapshots``. A log of revisions (``known_by``) has no full history and no score of
+    today, so it takes expanding or given thresholds and the score of each date or none. Series never cross an
+    entity, so the job scales with entities.
     """
+    if known_by is not None and (thresholds == "calibrated" or signal_asof == "today"):
+        raise ValueError("with known_by, thresholds must be 'expanding' or given and signal_asof 'as_of' or 'none'")
     snapshots = feature_snapshots(
-        panel, grid, entities, priority=priority, one_row_per_day=one_row_per_day, every_date=every_date, cols=cols
+        panel, grid, entities, priority=priority, one_row_per_day=one_row_per_day, every_date=every_date, known_by=known_by,
+        colocated=colocated, cols=cols
     )
     if signal_asof == "today":
         signal = credit_signal(panel, today or grid[-1], enabled=signal_entities, priority=priority, cols=cols)
-        on = [cols.entity]
+        on = cols.entity_key
     elif signal_asof == "as_of":
-        signal = credit_signal(panel, grid=grid, enabled=signal_entities, priority=priority, cols=cols)
-        on = [cols.entity, "as_of"]
+        signal = credit_signal(panel, grid=grid, enabled=signal_entities, priority=priority, known_by=known_by, cols=cols)
+        on = [*cols.entity_key, "as_of"]
     elif signal_asof == "none":
         signal, on = None, []
     else:
         raise ValueError(f"signal_asof must be 'today', 'as_of' or 'none', not {signal_asof!r}")
-    threshold_keys = (cols.entity,)
+    threshold_keys = tuple(cols.entity_key)
     # one row per day bounds a series by the calendar, so the series need not be counted
     limit = {"large_series_rows": None} if one_row_per_day else {}
     if isinstance(thresholds, str):
         if thresholds == "calibrated":
             thresholds = calibrated_thresholds(panel, **limit, cols=cols)
         elif thresholds == "expanding":
-            thresholds = expanding_thresholds(panel, grid, **limit, cols=cols)
-            threshold_keys = (cols.entity, "as_of")
+            thresholds = expanding_thresholds(panel, grid, **limit, known_by=known_by, cols=cols)
+            threshold_keys = (*cols.entity_key, "as_of")
         else:
             raise ValueError(f"thresholds must be 'calibrated' or 'expanding' when a word, not {thresholds!r}")
     features = with_thresholds(

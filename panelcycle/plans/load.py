@@ -1,4 +1,4 @@
-"""Batch load: parsed rows of many series into the store, with a summary per series.
+"""Batch load: parsed rows of many series into the observation table, with a summary per series.
 
 A series with any faulty row is set aside as a whole and reported; the others are loaded.
 """
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelcycle.schema import LONG_COLUMNS, PANEL
 from panelcycle.session import materialize
-from panelcycle.sources.store import ObservationStore
+from panelcycle.sources.tables import ObservationTable
 
 ERROR = "error"
 
@@ -53,18 +53,18 @@ def load_summary(specs: DataFrame, counts: DataFrame, failures: DataFrame) -> Da
     return asked_for.unionByName(strays, allowMissingColumns=True)
 
 
-def load_batch(store: ObservationStore, parsed: DataFrame, specs: DataFrame, arrival: str | None = None,
+def load_batch(table: ObservationTable, parsed: DataFrame, specs: DataFrame, arrival: str | None = None,
                quarantine_path: str | None = None) -> DataFrame:
     """Upsert the sound series of a batch and summarise all requested ones.
 
     ``parsed`` carries ``error`` (NULL for good rows); faults known from the specs alone can be
     unioned in as rows without date and value. It is evaluated once. With ``quarantine_path`` the
-    faulty rows are appended there, after the sound ones are published, so a repeated run after a
+    faulty rows are appended there, after the sound ones are written, so a repeated run after a
     failure adds them once.
     """
     landed = materialize(parsed, "load-parsed")
     failures = materialize(failed_series(landed), "load-failures")
-    counts = store.upsert(sound_rows(landed, failures), arrival)
+    counts = table.upsert(sound_rows(landed, failures), arrival)
     if quarantine_path is not None:
         quarantine(landed).write.mode("append").parquet(quarantine_path)
     return load_summary(specs, counts, failures)

@@ -51,6 +51,8 @@ def replay(
     in the README; ``calibration="expanding"``, ``signal_asof="as_of"`` and
     ``publication_lag_days`` make a replay see only what was known. Every entity has a row on
     every date: those listed in ``entities``, else those of the panel; without data it says so.
+    With ``known_by`` (``"as_of"``, or one load time per date) the panel is a log of revisions and
+    every date sees the values that were loaded by then, not those they were revised to later.
     """
     grid = date_grid(start, end, step)
     if not grid:
@@ -58,10 +60,14 @@ def replay(
     if calibration not in CALIBRATIONS:
         raise ValueError(f"calibration must be one of {sorted(CALIBRATIONS)}, not {calibration!r}")
     options = {"thresholds": CALIBRATIONS[calibration], "every_date": True, **options}
+    if isinstance(options.get("known_by"), str):
+        if options["known_by"] != "as_of":
+            raise ValueError(f"known_by must be 'as_of' when a word, not {options['known_by']!r}")
+        options["known_by"] = grid
     if publication_lag_days:
         panel = panel.withColumn(cols.date, F.date_add(cols.date, publication_lag_days))
     classified = classify(panel, grid, today, entities, signal_asof=signal_asof, with_reasons=False, cols=cols, **options)
-    return classified.select(cols.entity, F.col("as_of").alias("date"), *REPLAY_COLUMNS)
+    return classified.select(*cols.entity_key, F.col("as_of").alias("date"), *REPLAY_COLUMNS)
 
 
 def entities_with_a_path(replayed: DataFrame, entity: str = PANEL.entity) -> DataFrame:

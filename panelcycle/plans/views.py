@@ -26,9 +26,10 @@ def home_real_rates(panel: DataFrame, grid: Sequence[dt.date], home_entities: Se
     The entity filter reaches the scan; the result holds at most one row per listed entity and
     grid date, both of which come from the caller.
     """
-    own = panel.where(F.col(cols.entity).isin(list(home_entities)))
+    own = panel.where(cols.entity_in(home_entities))
     rates = feature_snapshots(own, grid, indicators=("yield_10y", "cpi_yoy"), lagged={}, cols=cols, **options)
-    return rates.select(F.col(cols.entity).alias("_home"), "as_of", F.expr(DERIVED_FEATURES["real_rate_10y"]).alias("home_real_rate"))
+    (home,) = cols.entity_key
+    return rates.select(F.col(home).alias("_home"), "as_of", F.expr(DERIVED_FEATURES["real_rate_10y"]).alias("home_real_rate"))
 
 
 def entity_views(
@@ -64,6 +65,43 @@ def entity_views(
     return asset_tilts(joined, home_currency, F.col("home_real_rate"), **tilting)
 
 
+def viewer_views(
+    panel: DataFrame,
+    grid: Sequence[dt.date],
+    currencies: Sequence[str],
+    homes: Mapping[str, str] = HOME_ENTITY_BY_CURRENCY,
+    priority: Sequence[str] = (),
+    one_row_per_day: bool = False,
+    short_term: RuleSet = SHORT_TERM,
+    long_term: RuleSet = LONG_TERM,
+    short_table: TiltTable = SHORT_TERM_TILTS,
+    long_table: TiltTable = LONG_TERM_TILTS,
+    with_reasons: bool = True,
+    cols: PanelColumns = PANEL,
+    **options,
+) -> DataFrame:
+    """The views of ``entity_views`` from many home currencies at once: one row per entity, date and currency.
+
+    Entities are classified once. A currency is a row of the viewer's side, with its home entity, and
+    the homes' real rates are joined by (home, date). USD and currencies without a home add no overlay,
+    and a home sees no gap to itself.
+    """
+    classified = classify(panel, grid, priority=priority, one_row_per_day=one_row_per_day, with_reasons=with_reasons,
+                          short_term=short_term, long_term=long_term, cols=cols, **options)
+    asked = list(dict.fromkeys(currencies))
+    known = {c: homes[c] for c in asked if c in homes and c != "USD"}
+    kind = cols.entity_key[0]
+    viewers = F.array(*[
+        F.struct(F.lit(c).alias("viewer_currency"), F.lit(known.get(c)).cast(panel.schema[kind].dataType).alias("_home")) for c in asked
+    ])
+    viewed = classified.select("*", F.inline(viewers))
+    rates = home_real_rates(panel, grid, sorted(set(known.values())), cols, priority=priority, one_row_per_day=one_row_per_day)
+    joined = viewed.join(rates, ["_home", "as_of"], "left").drop("_home")
+    tilted = asset_tilts(joined, F.col("viewer_currency"), F.col("home_real_rate"), short_table=short_table, long_table=long_table,
+                         with_reasons=with_reasons, short_order=short_term.voting_order, long_order=long_term.voting_order)
+    return tilted.drop("viewer_currency")
+
+
 def world_view(panel: DataFrame, basket: DataFrame, as_of: dt.date, cols: PanelColumns = PANEL, **options) -> DataFrame:
     """One row per basket entity, with or without data.
 

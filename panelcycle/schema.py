@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +14,12 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class PanelColumns:
-    """Column names of a panel; operators take one so any star schema can be used as is."""
+    """Column names of a panel; operators take one so any star schema can be used as is.
 
-    entity: str = "entity"
+    An entity may be several columns, as in ``PanelColumns(entity=("customer", "part", "flag"))``.
+    """
+
+    entity: str | tuple[str, ...] = "entity"
     indicator: str = "indicator"
     date: str = "date"
     value: str = "value"
@@ -21,17 +27,29 @@ class PanelColumns:
     series_id: str = "series_id"
     fetched_at: str = "fetched_at"
 
+    @property
+    def entity_key(self) -> list[str]:
+        return [self.entity] if isinstance(self.entity, str) else list(self.entity)
+
     @property
     def series_key(self) -> list[str]:
-        return [self.entity, self.indicator]
+        return [*self.entity_key, self.indicator]
 
     @property
     def source_series_key(self) -> list[str]:
-        return [self.entity, self.indicator, self.source]
+        return [*self.series_key, self.source]
 
     @property
     def natural_key(self) -> list[str]:
-        return [self.entity, self.indicator, self.date, self.source]
+        return [*self.series_key, self.date, self.source]
+
+    def entity_in(self, names: Sequence) -> Column:
+        """Whether a row's entity is listed; entities of several columns are listed as tuples."""
+        keys = self.entity_key
+        if len(keys) == 1:
+            return F.col(keys[0]).isin(list(names))
+        listed = [reduce(and_, [F.col(k) == F.lit(v) for k, v in zip(keys, name, strict=True)]) for name in names]
+        return reduce(or_, listed, F.lit(False))
 
 
 PANEL = PanelColumns()

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from panelcycle.catalog.thresholds import CALIBRATION_QUANTILES, DEFAULT_THRESHOLDS
+from panelcycle.operators import rank_trees
 from panelcycle.operators.quantiles import expanding_quantiles, series_quantiles
 from panelcycle.operators.signals import credit_signal, trailing_zscore, trailing_zscore_grid
 from panelcycle.operators.thresholds import calibrated_thresholds, threshold_deltas, with_thresholds
@@ -112,3 +113,94 @@ def test_expanding_quantiles_see_no_later_row(panel_of, limit):
         assert row.n_obs == len(seen)
         expected = list(np.quantile(seen, (0.5, 0.9))) if len(seen) >= 12 else [None, None]
         assert [row.q50, row.q90] == (pytest.approx(expected) if len(seen) >= 12 else expected)
+
+
+# ---- running quantiles and periods
+
+@pytest.mark.parametrize("chunk", [1, 40, 10**6])
+def test_rank_trees_against_numpy(spark, monkeypatch, chunk):
+    """Values come and go; one series holds a third of the rows; keys may be null; chunks hold whole series."""
+    monkeypatch.setattr(rank_trees, "CHUNK_ROWS", chunk)
+    rng = random.Random(chunk)
+    held: dict = {}
+    events, expected = [], {}
+    keys = [("HOT", "x"), (None, "x"), ("A", None), ("A", "x"), ("B", "y"), ("C", "y")]
+    for slot in range(0, 60, 2):
+        touched = set()
+        for _ in range(rng.randrange(9)):
+            key = keys[0] if rng.random() < 0.33 else rng.choice(keys)
+            values = held.setdefault(key, [])
+            if values and rng.random() < 0.4:
+                gone = values.pop(rng.randrange(len(values)))
+                events.append((*key, slot, gone, -1))
+            else:
+                value = rng.choice((1.0, -0.0, 0.0, 2.5, rng.gauss(0, 1e6), 5e-324))
+                values.append(value)
+                events.append((*key, slot, value, 1))
+            touched.add(key)
+        expected.update({(*key, slot): list(held[key]) for key in touched})
+    probs = [0.0, 0.3, 0.5, 0.95, 1.0]
+    frame = spark.createDataFrame(events, "entity string, indicator string, slot int, _v double, _sign int").repartition(3)
+    found = {(r.entity, r.indicator, r.slot): r for r in rank_trees.running_quantiles(frame, ["entity", "indicator"], probs).collect()}
+    assert set(found) == set(expected)
+    for key, values in expected.items():
+        assert found[key].n_obs == len(values)
+        if values:
+            assert list(found[key]["_q"]) == pytest.approx(list(np.quantile(values, probs)), abs=1e-9)
+        later = [s for e, i, s in expected if (e, i) == key[:2] and s > key[2]]
+        assert found[key]["_next"] == (min(later) if later else None)
+
+
+def test_rank_trees_of_nothing(spark):
+    frame = spark.createDataFrame([], "entity string, indicator string, slot int, _v double, _sign int")
+    assert rank_trees.running_quantiles(frame, ["entity", "indicator"], [0.5]).count() == 0
+
+
+def _scores(values, grid, window, minimum=3):
+    out = {}
+    for g in grid:
+        inside = [(d, v) for d, v in values if g - dt.timedelta(days=window) <= d <= g]
+        if len(inside) >= minimum:
+            found = np.array([v for _, v in inside])
+            spread = float(np.sqrt(np.mean((found - found.mean()) ** 2)))
+            out[g] = (len(inside), 0.0 if found.min() == found.max() else (max(inside)[1] - found.mean()) / spread)
+    return out
+
+
+@pytest.mark.parametrize("window", [1, 10, 90, 365, 20_000])
+@pytest.mark.parametrize("level", [0.0, 1e9])
+def test_scores_over_uneven_grids(panel_of, window, level):
+    """Windows shorter and longer than the grid's steps, and a level at which naive squares cancel."""
+    rng = random.Random(window)
+    values = [(dt.date(2000, 1, 1) + dt.timedelta(days=k), level + rng.gauss(0, 1)) for k in sorted(rng.sample(range(1500), 500))]
+    grid = sorted({dt.date(1999, 12, 1) + dt.timedelta(days=rng.choice((rng.randrange(1700), 7 * rng.randrange(60)))) for _ in range(90)})
+    rows = trailing_zscore_grid(panel_of([("A", "x", d, v) for d, v in values]), grid, window, 3).collect()
+    expected = _scores(values, grid, window)
+    assert {r.as_of for r in rows if r.z is not None} == set(expected)
+    for r in rows:
+        if r.z is not None:
+            assert r.n_obs == expected[r.as_of][0] and r.z == pytest.approx(expected[r.as_of][1], rel=1e-6, abs=1e-6)
+
+
+def test_a_value_that_left_the_window_leaves_no_trace(panel_of):
+    """An outlier of 1e15 passes through; the scores after it are those of a series that never had it."""
+    days = [dt.date(2000, 1, 1) + dt.timedelta(days=k) for k in range(400)]
+    values = [(d, 1e15 if k == 20 else float(k % 7)) for k, d in enumerate(days)]
+    grid = [days[k] for k in range(10, 400, 9)]
+    rows = {r.as_of: r.z for r in trailing_zscore_grid(panel_of([("A", "x", d, v) for d, v in values]), grid, 40, 3).collect()}
+    clean = _scores([(d, v) for d, v in values if v < 1e9], grid, 40)
+    without = [g for g in grid if not g - dt.timedelta(days=40) <= days[20] <= g]
+    assert min(without) < days[20] < days[20 + 41] <= min(g for g in without if g > days[20])
+    for g in without:
+        assert rows[g] == pytest.approx(clean[g][1], rel=1e-9, abs=1e-9)
+
+
+def test_rows_of_a_score_are_two_a_date(panel_of):
+    """What is repeated over the grid: two halves a date, not the blocks that a window holds."""
+    days = [dt.date(2000, 1, 1) + dt.timedelta(days=k) for k in range(800)]
+    grid = days[::4]
+    frame = trailing_zscore_grid(panel_of([("A", "x", d, 1.0 * k) for k, d in enumerate(days)]), grid, 700, 3)
+    assert frame.count() == len(grid)
+    text = frame._jdf.queryExecution().optimizedPlan().toString()
+    repeated = [line for line in text.splitlines() if "Generate explode(sequence(" in line and "low#" not in line]
+    assert len(repeated) == 1 and "_from#" in repeated[0]

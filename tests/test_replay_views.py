@@ -15,7 +15,8 @@ from panelcycle.operators.rules import LONG_TERM, SHORT_TERM, Rule, RuleSet, cas
 from panelcycle.operators.tilts import asset_tilts, explode_tilts, rank_long_tilts, top_tilts
 from panelcycle.plans.classify import classify
 from panelcycle.plans.replay import date_grid, entities_with_a_path, replay
-from panelcycle.plans.views import entity_views, world_view
+from panelcycle.plans.views import entity_views, viewer_views, world_view
+from panelcycle.schema import PanelColumns
 from tests.conftest import day
 
 
@@ -204,6 +205,36 @@ def test_home_lookup(spark, minimal, panel_of):
     assert gold["INR"] == gold["USD"] and gold["GBP"] == gold["USD"]
 
 
+def test_all_home_currencies_at_once(spark, minimal, panel_of):
+    """One row per entity and currency, each as the view from that currency alone."""
+    both = minimal.unionByName(panel_of([("SE", "yield_10y", "2026-03-01", 5.0), ("SE", "cpi_yoy", "2026-03-01", 1.0), ("GB", "yield_10y", "2026-03-01", 2.0)]))
+    grid, currencies = [day("2026-02-01"), day("2026-05-01")], ["USD", "SEK", "INR", "GBP", "BRL", "SEK"]
+    found = viewer_views(both, grid, currencies, every_date=True).collect()
+    at_once = {(r.entity, r.as_of, r.home_currency): (r.tilts, r.summary) for r in found}
+    assert len(found) == len(at_once) == 3 * 2 * 5
+    for currency in set(currencies):
+        for r in entity_views(both, grid, currency, every_date=True).collect():
+            assert at_once[r.entity, r.as_of, currency] == (r.tilts, r.summary)
+    gold = {k: next(t.tilt for t in v[0] if t.asset == "gold") for k, v in at_once.items() if k[1] == grid[1]}
+    assert gold["SE", grid[1], "SEK"] == gold["SE", grid[1], "USD"] and gold["US", grid[1], "SEK"] != gold["US", grid[1], "USD"]
+    assert all(gold[e, grid[1], c] == gold[e, grid[1], "USD"] for e in ("US", "SE", "GB") for c in ("INR", "BRL"))
+    plan = viewer_views(both, grid, currencies)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_entities_of_three_columns_are_entities(spark, minimal):
+    """The whole replay over (a, b, c) keys is the replay over one joined key."""
+    keyed = minimal.select(F.col("entity").alias("a"), F.lit(7).alias("b"), F.lit(None).cast("string").alias("c"), *minimal.columns[1:])
+    cols = PanelColumns(entity=("a", "b", "c"))
+    options = {"start": day("2020-01-01"), "end": day("2026-06-01"), "step": "Y", "signal_asof": "none"}
+    one = replay(minimal, **options)
+    three = replay(keyed.withColumn("c", F.lit("x")), **options, cols=cols)
+    assert three.columns[:3] == ["a", "b", "c"]
+    assert sorted(map(str, three.select(F.col("a").alias("entity"), *one.columns[1:]).collect())) == sorted(map(str, one.collect()))
+    signal = replay(keyed.withColumn("c", F.lit("x")), **{**options, "signal_asof": "today"}, signal_entities=[("US", 7, "x")], cols=cols)
+    assert signal.count() == one.count()
+
+
 def test_blocs(spark):
     dim = entity_dim(spark)
     expanded = expand_blocs(dim)

@@ -1,4 +1,4 @@
-"""Upserts against a row-by-row model, the store, batch loads and audits."""
+"""Upserts against a row-by-row model, the tables, batch loads and audits."""
 
 from __future__ import annotations
 
@@ -9,11 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcycle.operators import audit
+from panelcycle.operators.asof import latest_at
 from panelcycle.operators.series import display_tails, history, percent_change, series_change, series_summary, tail_rows, year_over_year, year_over_year_calendar
+from panelcycle.operators.snapshot import feature_snapshots
 from panelcycle.operators.upsert import merge_observations, upsert_counts
 from panelcycle.plans.load import load_batch, summary_by_entity
 from panelcycle.schema import LONG_COLUMNS, OBSERVATION_SCHEMA, PANEL
-from panelcycle.sources.store import ConcurrentUpsert, ObservationStore
+from panelcycle.sources import tables
+from panelcycle.sources.tables import ObservationTable
 from tests.conftest import day, months
 
 AT = dt.datetime(2026, 1, 1)
@@ -62,7 +65,7 @@ def test_upsert_equals_the_row_by_row_model(spark, bits):
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return ObservationStore(spark, str(tmp_path / "obs"))
+    return ObservationTable(spark, str(tmp_path / "obs"))
 
 
 def test_store_keeps_first_stamp_and_last_value(spark, store):
@@ -89,28 +92,31 @@ def test_store_prunes_folders(spark, store):
     assert "LessThanOrEqual(date" in filters
 
 
-def test_store_publishes_whole_batches(spark, store, monkeypatch):
+def test_an_upsert_replaces_the_folders_it_touches_alone(spark, store):
     rows = [("US", i, d, 1.0, "S", "s") for i in ("a/b", "c=d") for d in months("2020-01-01", 14)]
     store.upsert(batch(spark, rows), "arrival")
-    before = store.versions()
+
+    def files():
+        return set(store.read()._jdf.inputFiles())
+
+    before = files()
     revised = batch(spark, [("US", "c=d", day("2021-01-01"), 2.0, "S", "s"), ("US", "e", day("2021-01-01"), 3.0, "S", "s")])
-    monkeypatch.setattr(store, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
-    with pytest.raises(OSError):
-        store.upsert(revised, "arrival")
-    assert store.versions() == before and {r.value for r in store.read().collect()} == {1.0}
-    monkeypatch.undo()
     store.upsert(revised, "arrival")
     assert store.read().groupBy("value").count().orderBy("value").collect() == [(1.0, 27), (2.0, 1), (3.0, 1)]
-    assert store.read(["a/b"]).count() == 14
-    with pytest.raises(ConcurrentUpsert):
-        store._publish(store.versions()[-1], 1, [])
-    under_way = store.read()
-    store.upsert(revised, "arrival")
-    assert under_way.count() == 29 and len(store.versions()) == 2
+    assert store.read(["a/b"]).count() == 14 and len(before & files()) == 3 and len(files()) == 5
+    again = store.upsert(revised, "arrival").agg(F.sum("inserted").alias("n")).first()
+    assert again.n == 0 and store.read().count() == 29
 
 
-def test_store_takes_a_batch_that_does_not_repeat_itself(spark, tmp_path):
-    store = ObservationStore(spark, str(tmp_path / "obs"), entity_buckets=3)
+def test_many_touched_folders_are_found_by_a_join(spark, store, monkeypatch):
+    rows = [("US", i, day(f"{y}-03-01"), 1.0, "S", "s") for i in "abc" for y in range(2000, 2006)]
+    store.upsert(batch(spark, rows), "arrival")
+    monkeypatch.setattr(tables, "LITERAL_FOLDERS", 2)
+    store.upsert(batch(spark, [("US", "a", day(f"{y}-03-01"), 2.0, "S", "s") for y in range(2000, 2005)]), "arrival")
+    assert store.read().groupBy("value").count().orderBy("value").collect() == [(1.0, 13), (2.0, 5)]
+
+
+def test_a_batch_that_does_not_repeat_itself(spark, store):
     kept = [(f"E{k}", "a", day(f"{y}-01-01"), 1.0, "S", "s") for k in range(9) for y in range(2000, 2006)]
     store.upsert(batch(spark, kept), "arrival")
     drawn = batch(spark, [(f"E{k}", "a", day("2000-01-01"), 2.0, "S", "s") for k in range(9)]).withColumn(
@@ -118,8 +124,27 @@ def test_store_takes_a_batch_that_does_not_repeat_itself(spark, tmp_path):
     )
     counts = store.upsert(drawn).agg(F.sum("changed").alias("n")).first()
     assert counts.n == 9 and store.read().count() == len(kept) and store.read().where("value = 2").count() == 9
-    assert ObservationStore(spark, str(tmp_path / "obs")).upsert(drawn).count() == 9  # the stored bucket number holds
-    assert store.read().count() == len(kept)
+
+
+@pytest.fixture
+def bucketed(spark, tmp_path):
+    rows = [(f"E{k}", i, d, float(k), s, "s") for k in range(20) for i in ("cpi_yoy", "policy_rate") for d in months("2020-01-01", 20) for s in "PQ"]
+    panel = batch(spark, rows).drop("arrival")
+    yield panel, tables.save_bucketed(panel, "bucketed_panel", 4, str(tmp_path / "bucketed"))
+    spark.sql("DROP TABLE bucketed_panel")
+
+
+def test_a_bucketed_table_needs_no_exchange(spark, bucketed, monkeypatch):
+    """As-of and snapshot, with canonical pick, lags and widening, stay inside the buckets."""
+    panel, stored = bucketed
+    grid = [day("2020-06-30"), day("2021-06-30")]
+    latest, wide = latest_at(stored, grid[0]), feature_snapshots(stored, grid, colocated=True)
+    for frame in (latest, wide):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and "Exchange hashpartitioning" not in plan and "Exchange SinglePartition" not in plan
+    assert sorted(map(str, latest.collect())) == sorted(map(str, latest_at(panel, grid[0]).collect()))
+    assert sorted(map(str, wide.collect())) == sorted(map(str, feature_snapshots(panel, grid).collect()))
+    assert "Exchange hashpartitioning" in feature_snapshots(panel, grid)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_one_bad_series_never_stops_the_batch(spark, store):
