@@ -7,8 +7,7 @@ as padding. Documents longer than a sequence are cut into whole sequences and a
 at the end of a partition goes, ids and all, to a merge over ``merge_fan_in`` partitions: there the
 windows are poured together without gaps, and the last one is cut at powers of two.
 
-Space is bounded: one batch of texts, the open windows, and a cache of the ids of frequent words
-that is emptied when full. Only the leftovers are shuffled.
+Space is bounded: one batch of texts and the open windows. Only the leftovers are shuffled.
 """
 
 from __future__ import annotations
@@ -29,82 +28,67 @@ from panelcycle.session import materialize
 
 END_ID = 1
 SEQUENCE = 2048
-CACHED_CHUNKS = 250_000
 
 
-class ChunkEncoder:
-    """Ids of texts, by the tokenizer, once per distinct chunk.
+class TextEncoder:
+    """Ids of texts as the tokenizer file gives them.
 
-    A chunk is a line feed, or starts before a single blank or after a line feed. The pre-tokenizer
-    always cuts there and looks no further back, so chunks may be encoded by themselves. Texts with
-    two white space characters in a row are encoded whole. The ids of known chunks are kept in two
-    generations; when the young one is full, the old one is forgotten.
+    ``tokenizers`` decides. Where the file is a plain byte-level BPE, whose ids count its merges in
+    order, the same merges go to tiktoken as ranks, which finds the same ids several times faster; it
+    takes the texts of common characters, on which both libraries' patterns cut alike. All others, and
+    all texts of other tokenizer files, are encoded by ``tokenizers`` itself.
     """
 
-    def __init__(self, path: str, most: int = CACHED_CHUNKS):
+    def __init__(self, path: str):
+        import json
         import re
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.double_space = re.compile(r"\s\s|\x00").search
-        self.most, self.young, self.old = most, {}, {}
-        self.line_feed = self._whole("\n")
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes many chunks in one call, a line feed between two: it is a token of its own there."""
-        plain = [c for c in chunks if c and not c[-1].isspace()]
-        for c in set(chunks).difference(plain):
-            self.young[c] = self._whole(c) if c else b""
-        feed = int(np.frombuffer(self.line_feed, "<u4")[0])
-        for at in range(0, len(plain), 1024):
-            some = plain[at : at + 1024]
-            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
-            ends = [0, *(np.flatnonzero(ids == feed) * 4 + 4).tolist(), len(ids) * 4 + 4]
-            data = ids.tobytes()
-            self.young.update(zip(some, (data[a : b - 4] for a, b in zip(ends, ends[1:])), strict=True))
+        #: Blanks, printable ASCII, Latin letters and marks, dashes and quotes.
+        self.uncommon = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u024f\u2010-\u2027]").search
+        with open(path, encoding="utf-8") as file:
+            self.ranked = self._ranked(json.load(file))
+
+    @staticmethod
+    def _ranked(spec: dict):
+        """A tiktoken encoding of the same merges, or None if the file is no plain byte-level BPE."""
+        import tiktoken
+
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        if model.get("type") != "BPE" or not plain or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        # the printable stand-ins of byte-level vocabularies: bytes that print stand for themselves, the others from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        special = {t["content"] for t in spec.get("added_tokens", ())}
+        ids = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if any(model["vocab"][token] != 256 + i for i, token in enumerate(merges)) or len(ids) != 256 + len(merges):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ids, special_tokens={})
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of every text, in order."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {"\n": self.line_feed}
-        flat: list[str] = []
-        ends = []
-        for t in texts:
-            if not self.double_space(t):
-                flat += t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-                ends.append(len(flat))
+        for text in texts:
+            if self.ranked is None or self.uncommon(text):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             else:
-                ends.append(None)
-        parts = list(map(self.young.get, flat))
-        absent = [i for i, p in enumerate(parts) if p is None]
-        if absent:
-            again = {c: self.old[c] for c in {flat[i] for i in absent} if c in self.old}
-            self.young.update(again)
-            self._learn(list({flat[i] for i in absent}.difference(again)))
-            for i in absent:
-                parts[i] = self.young[flat[i]]
-        begin = 0
-        for text, end in zip(texts, ends, strict=True):
-            if end is None:
-                yield self._whole(text)
-            else:
-                yield b"".join(parts[begin:end])
-                begin = end
+                ids = self.ranked.encode_ordinary(text)
+            yield np.array(ids, "<u4").tobytes()
 
 
-def shared_encoder(path: str) -> ChunkEncoder:
-    """The encoder of this worker process; its cache outlives the task."""
+def shared_encoder(path: str) -> TextEncoder:
+    """The encoder of this worker process; it outlives the task."""
     import sys
 
-    key = f"chunk encoder {path}"
+    key = f"text encoder {path}"
     held = vars(sys.modules["tokenizers"] if "tokenizers" in sys.modules else __import__("tokenizers"))
     if key not in held:
-        held[key] = ChunkEncoder(path)
+        held[key] = TextEncoder(path)
     return held[key]
 
 
@@ -223,10 +207,11 @@ def pack_documents(
     they come. Further columns play no part; an empty table gives an empty result.
     """
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
-    own = docs.select(F.col(f"`{identity}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    kind = own.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema[identity].dataType
+    # identities pass through the workers as text: a number beside a null would lose digits there
+    own = docs.select(F.col(f"`{identity}`").cast("string").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     schema = (
-        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, ids binary"
+        f"doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, ids binary"
     )
     # written once: a second run of the tokenizer for the leftovers would cost as much as the first
     placed = materialize(
@@ -238,4 +223,5 @@ def pack_documents(
         lambda frames: _merge(frames, room, with_ids), schema
     )
     shown = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
-    return placed.where("NOT open").select(*shown).unionByName(merged.select(*shown))
+    packed = placed.where("NOT open").select(*shown).unionByName(merged.select(*shown))
+    return packed.withColumn("doc_id", F.col("doc_id").cast(kind))
