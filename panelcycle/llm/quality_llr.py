@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +61,16 @@ def repeated_words(hashes: np.ndarray, window: int = WINDOW) -> int:
     return int((np.cumsum(step)[:-1] > 0).sum())
 
 
-def _judge(frames: Iterator[pd.DataFrame], ratios: np.ndarray, threshold: float) -> Iterator[pd.DataFrame]:
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"]
-    for frame in frames:
+_VERDICT = {
+    "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(),
+    "base_failed": pa.bool_(), "kept": pa.bool_(), "llr": pa.float64(),
+}
+
+
+def _judge(batches: Iterator[pa.RecordBatch], ratios: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         rows = []
-        for text in frame["text"]:
+        for text in batch.column("text").to_pylist():
             hashes = word_hashes(words_of(text))
             n = len(hashes)
             repeats = repeated_words(hashes)
@@ -75,7 +81,9 @@ def _judge(frames: Iterator[pd.DataFrame], ratios: np.ndarray, threshold: float)
                 n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)),
                 repeats, failed, not failed and llr >= threshold, llr,
             ))
-        yield pd.concat([frame[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+        columns = zip(*rows, strict=True) if rows else ([] for _ in _VERDICT)
+        arrays = [pa.array(list(c), kind) for c, kind in zip(columns, _VERDICT.values(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *_VERDICT])
 
 
 def judge_quality(
@@ -90,8 +98,11 @@ def judge_quality(
     """
     own = docs.select(F.col(f"`{identity}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    good = labels.where((F.col(label) == 1) & F.col(identity).isNotNull()).select(F.col(identity).alias("good_id")).distinct()
-    flagged = own.join(good, F.col("doc_id") == F.col("good_id"), "left").select(F.col("good_id").isNotNull().alias("trusted"), "text")
+    good = labels.where((F.col(label) == 1) & F.col(identity).isNotNull()).select(F.col(identity).cast("string").alias("good_id")).distinct()
+    # rows without an identity meet no label: they are spread by their text instead of lying together
+    named = own.select(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\0"), F.xxhash64("text").cast("string"))).alias("named"), "text")
+    # the good ids grow with the corpus, so the join is a shuffle at every size
+    flagged = named.join(good.hint("merge"), F.col("named") == F.col("good_id"), "left").select(F.col("good_id").isNotNull().alias("trusted"), "text")
     counts = flagged.mapInPandas(_count, "bucket int, raw long, trusted long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")
     ).collect()  # at most BUCKETS rows
@@ -103,8 +114,8 @@ def judge_quality(
         # the trusted model falls back on the raw one, as one more thousandth of its weight
         backed = (trusted + 0.001 * trusted.sum() * (raw + 1) / (raw.sum() + BUCKETS)) / (1.001 * trusted.sum())
         ratios = np.log(backed) - np.log((raw + 1) / (raw.sum() + BUCKETS))
-    return own.mapInPandas(
-        lambda frames: _judge(frames, ratios, threshold),
+    return own.mapInArrow(
+        lambda batches: _judge(batches, ratios, threshold),
         f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, kept boolean, llr double",
     )
