@@ -26,10 +26,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcycle.llm.hashing import grouped
+from panelcycle.llm.tables import fresh_name, join_by_weight, keyed
 from panelcycle.session import materialize
 
 GRAM = 128
@@ -89,13 +91,13 @@ def _anchored(frames: Iterator[pd.DataFrame], length: int, gram: int) -> Iterato
     for frame in frames:
         held: list[tuple] = []
         size = 0
-        for doc_id, text_key, data in zip(frame["doc_id"], frame["text_key"], frame["data"], strict=True):
+        for key, data in zip(zip(frame["k1"], frame["k2"], strict=True), frame["data"], strict=True):
             if len(data) < length:
                 continue
             first, last, bucket = stretches(np.frombuffer(data, np.uint8), length, gram)
             spans = zip(first.tolist(), last.tolist(), strict=True)
             digests = b"".join(blake2b(data[a : b + length], digest_size=8).digest() for a, b in spans)
-            held.append((doc_id, text_key, first, last, bucket, np.frombuffer(digests, np.int64)))
+            held.append((*key, first, last, bucket, np.frombuffer(digests, np.int64)))
             size += len(first)
             if size > 200_000:
                 yield _stretch_rows(held)
@@ -106,7 +108,7 @@ def _anchored(frames: Iterator[pd.DataFrame], length: int, gram: int) -> Iterato
 
 def _stretch_rows(held: list[tuple]) -> pd.DataFrame:
     counts = [len(h[2]) for h in held]
-    columns = {"doc_id": pd.Series([h[0] for h in held]).repeat(counts).to_numpy(), "text_key": np.repeat([h[1] for h in held], counts)}
+    columns = {name: np.repeat(np.array([h[i] for h in held], np.int64), counts) for i, name in enumerate(("k1", "k2"))}
     for i, name in enumerate(("first", "last", "bucket", "stretch"), start=2):
         columns[name] = np.concatenate([h[i] for h in held])
     return pd.DataFrame(columns)
@@ -114,12 +116,12 @@ def _stretch_rows(held: list[tuple]) -> pd.DataFrame:
 
 def _cut(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """The bytes of the stretches that have to be refined."""
-    names = ["bucket", "copies", "kinds", "doc_id", "text_key", "first", "bytes"]
+    names = ["bucket", "copies", "kinds", "k1", "k2", "first", "bytes"]
     for frame in frames:
         rows = []
-        for doc_id, text_key, data, wanted in zip(frame["doc_id"], frame["text_key"], frame["data"], frame["wanted"], strict=True):
+        for k1, k2, data, wanted in zip(frame["k1"], frame["k2"], frame["data"], frame["wanted"], strict=True):
             for w in wanted:
-                rows.append((w["bucket"], w["copies"], w["kinds"], doc_id, text_key, w["first"], data[w["first"] : w["last"] + length]))
+                rows.append((w["bucket"], w["copies"], w["kinds"], k1, k2, w["first"], data[w["first"] : w["last"] + length]))
             if len(rows) > 20_000:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
@@ -152,7 +154,7 @@ def _within(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFram
         end = np.concatenate((begin[1:], [True]))
         owner = row[begin]
         yield pd.DataFrame({
-            "doc_id": group["doc_id"].to_numpy()[owner], "text_key": group["text_key"].to_numpy()[owner],
+            "k1": group["k1"].to_numpy()[owner], "k2": group["k2"].to_numpy()[owner],
             "first": place[begin], "last": place[end],
         })
 
@@ -165,7 +167,7 @@ def _spread(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFram
             ids, row, offset = _windows(group, length)
             yield pd.DataFrame({
                 "bucket": group["bucket"].to_numpy()[row], "window": ids.view(np.int64), "copies": group["copies"].to_numpy()[row],
-                "doc_id": group["doc_id"].to_numpy()[row], "text_key": group["text_key"].to_numpy()[row],
+                "k1": group["k1"].to_numpy()[row], "k2": group["k2"].to_numpy()[row],
                 "first": group["first"].to_numpy()[row] + offset,
             })
 
@@ -179,70 +181,74 @@ def removed_mask(n: int, runs, length: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def _cleaned(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        sizes, removed, spans, kept = [], [], [], []
-        for data, runs in zip(frame["data"], frame["runs"], strict=True):
-            sizes.append(len(data))
-            if runs is None or not len(runs):
-                removed.append(0)
-                spans.append(0)
-                kept.append(data)
-                continue
-            gone = removed_mask(len(data), runs, length)
-            removed.append(int(gone.sum()))
-            spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-            kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
-        yield frame.drop(columns=["runs", "data"]).assign(n_bytes=sizes, n_removed=removed, n_spans=spans, kept=kept)
+def cleaned(data: bytes, runs, length: int) -> tuple[int, int, bytes]:
+    """Bytes removed, spans they form, and what is left."""
+    if not runs:
+        return 0, 0, data
+    gone = removed_mask(len(data), runs, length)
+    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+    return int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for data, runs in zip(batch.column("data"), batch.column("runs"), strict=True):
+            raw = data.as_py()
+            rows.append((len(raw), *cleaned(raw, runs.as_py(), length)))
+        columns = zip(*rows, strict=True) if rows else ([] for _ in range(4))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def row_key(identity: str, data: Column) -> list[Column]:
+    """Two hashes of 64 bits each over identity and text: rows of unlike keys are told apart, a null identity from all others."""
+    named = keyed(identity)
+    return [F.xxhash64(F.lit(part), named, data).alias(f"k{part}") for part in (1, 2)]
 
 
 def _keyed(docs: DataFrame, identity: str, text: str) -> DataFrame:
     data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    return docs.select(F.col(f"`{identity}`").alias("doc_id"), F.hash(data, F.octet_length(data)).alias("text_key"), data.alias("data"))
+    return docs.select(F.col(f"`{identity}`").alias("doc_id"), *row_key(identity, data), data.alias("data"))
 
 
 def repeated_runs(own: DataFrame, length: int, gram: int = GRAM, large_bucket: int = LARGE_BUCKET) -> DataFrame:
-    """(doc_id, text_key, first, last): runs of windows that occur elsewhere. ``own``: doc_id, text_key, data."""
-    kind = own.schema["doc_id"].dataType.simpleString()
+    """(k1, k2, first, last): runs of windows that occur elsewhere. ``own``: k1, k2, data."""
     found = materialize(
-        own.where(F.octet_length("data") >= length).mapInPandas(
-            lambda frames: _anchored(frames, length, gram),
-            f"doc_id {kind}, text_key int, first int, last int, bucket long, stretch long",
+        own.where(F.octet_length("data") >= length).select("k1", "k2", "data").mapInPandas(
+            lambda frames: _anchored(frames, length, gram), "k1 long, k2 long, first int, last int, bucket long, stretch long"
         ),
         "suffix-anchors",
     )
+    heavy = max(1000, found.count() // 1000)
     # first round: buckets of one member are done; second round: buckets of one stretch are done
-    shared = materialize(  # a table, so that the join can split a bucket with very many members
+    shared = materialize(
         found.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("members"), F.min("stretch").alias("least"), F.max("stretch").alias("most")
-        ).where("members > 1").select("bucket", (F.col("least") == F.col("most")).alias("pure")),
+        ).where("members > 1").select("bucket", "members", (F.col("least") == F.col("most")).alias("pure")),
         "suffix-buckets",
     )
-    met = materialize(found.join(shared, "bucket"), "suffix-members")
-    whole = met.where("pure").select("doc_id", "text_key", "first", "last")
+    met = materialize(join_by_weight(found, shared, ["bucket"], F.col("members") >= heavy).drop("members"), "suffix-members")
+    whole = met.where("pure").select("k1", "k2", "first", "last")
     mixed = met.where("NOT pure")
-    kinds = mixed.groupBy("bucket", "stretch").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_key", "first", "last")).alias("one")
+    kinds = materialize(
+        mixed.groupBy("bucket", "stretch").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "first", "last")).alias("one")),
+        "suffix-kinds",
     )
-    sizes = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"))
+    sizes = materialize(kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")), "suffix-sizes")
     open_ = materialize(
-        kinds.join(sizes, "bucket").select("bucket", "stretch", "copies", "kinds", "one.*"), "suffix-open"
-    )
-    again = mixed.join(open_.where("copies > 1").select("bucket", "stretch"), ["bucket", "stretch"], "left_semi").select(
-        "doc_id", "text_key", "first", "last"
+        join_by_weight(kinds, sizes, ["bucket"], F.col("kinds") >= heavy).select("bucket", "stretch", "copies", "kinds", "one.*"), "suffix-open"
     )
+    repeated = open_.where("copies > 1").select("bucket", "stretch", "copies")
+    again = join_by_weight(mixed, repeated, ["bucket", "stretch"], F.col("copies") >= heavy).select("k1", "k2", "first", "last")
     # last round: one of each stretch, with its bytes
-    wanted = open_.groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("bucket", "copies", "kinds", "first", "last")).alias("wanted")
-    )
-    texts = own.withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"}).join(
-        wanted, F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_key") == F.col("text_key"))
-    )
-    cut = texts.select("doc_id", "text_key", "data", "wanted").mapInPandas(
-        lambda frames: _cut(frames, length),
-        f"bucket long, copies long, kinds long, doc_id {kind}, text_key int, first int, bytes binary",
+    wanted = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "copies", "kinds", "first", "last")).alias("wanted"))
+    # equal rows hold the same bytes, one of them is enough
+    cut = own.select("k1", "k2", "data").join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).mapInPandas(
+        lambda frames: _cut(frames, length), "bucket long, copies long, kinds long, k1 long, k2 long, first int, bytes binary"
     )
-    run = f"doc_id {kind}, text_key int, first int, last int"
+    run = "k1 long, k2 long, first int, last int"
     refined = cut.where(F.col("kinds") <= large_bucket).repartition("bucket").sortWithinPartitions("bucket").mapInPandas(
         lambda frames: _within(frames, length), run
     )
@@ -250,18 +256,24 @@ def repeated_runs(own: DataFrame, length: int, gram: int = GRAM, large_bucket: i
         windows = materialize(
             cut.where(F.col("kinds") > large_bucket).mapInPandas(
                 lambda frames: _spread(frames, length),
-                f"bucket long, window long, copies long, doc_id {kind}, text_key int, first int",
+                "bucket long, window long, copies long, k1 long, k2 long, first int",
             ),
             "suffix-windows",
         )
         twice = windows.groupBy("bucket", "window").agg(F.sum("copies").alias("members")).where("members > 1")
         single = windows.where("copies = 1").join(twice.select("bucket", "window"), ["bucket", "window"], "left_semi")
-        refined = refined.unionByName(single.select("doc_id", "text_key", "first", F.col("first").alias("last")))
+        refined = refined.unionByName(single.select("k1", "k2", "first", F.col("first").alias("last")))
     return whole.unionByName(again).unionByName(refined)
 
 
+def _with_runs(rows: DataFrame, own: DataFrame, length: int, name: str, **sizes) -> DataFrame:
+    """``rows`` (with k1 and k2) and their repeated runs as an array, null for none."""
+    runs = repeated_runs(own, length, **sizes).distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias(name))
+    return rows.join(runs, ["k1", "k2"], "left")
+
+
 def remove_repeats(docs: DataFrame, identity: str = "doc_id", text: str = "text", length: int = 400, **sizes) -> DataFrame:
-    """(doc_id, text_key, n_bytes, n_removed, n_spans, kept): one row per row of ``docs``; kept: the remaining bytes.
+    """(doc_id, n_bytes, n_removed, n_spans, kept): one row per row of ``docs``; kept: the remaining bytes.
 
     Null texts are empty; texts shorter than ``length`` stay whole. Strings are judged on the input,
     matches never cross texts but may overlap within one. Rows with equal identities are told apart
@@ -270,39 +282,43 @@ def remove_repeats(docs: DataFrame, identity: str = "doc_id", text: str = "text"
     """
     own = _keyed(docs, identity, text)
     kind = own.schema["doc_id"].dataType.simpleString()
-    runs = repeated_runs(own, length, **sizes).distinct().groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("first", "last")).alias("runs")
-    ).withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
-    joined = own.join(runs, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left")
-    return joined.select("doc_id", "text_key", "data", "runs").mapInPandas(
-        lambda frames: _cleaned(frames, length),
-        f"doc_id {kind}, text_key int, n_bytes long, n_removed long, n_spans long, kept binary",
+    joined = _with_runs(own, own, length, "runs", **sizes)
+    return joined.select("doc_id", "data", "runs").mapInArrow(
+        lambda batches: _cleaned(batches, length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
 
-def without_repeats(docs: DataFrame, identity: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, identity: str = "doc_id", text: str = "text", length: int = 400, gram: int | None = None
+) -> DataFrame:
     """The rows and columns of ``docs`` with the repeated strings cut from their texts.
 
-    A character that loses some of its bytes goes as a whole. Null texts stay null.
+    ``gram`` is about a third of ``length`` by default, at most ``GRAM``. A character that loses some of
+    its bytes goes as a whole. Null texts stay null, and every other column is as it came.
     """
+    gram = gram or max(8, min(GRAM, length // 3))
     own = _keyed(docs, identity, text)
-    runs = repeated_runs(own, length).distinct().groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("first", "last")).alias("_runs")
-    ).withColumnsRenamed({"doc_id": "_of_id", "text_key": "_of_key"})
     data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    keyed = docs.withColumn("_text_key", F.hash(data, F.octet_length(data)))
-    joined = keyed.join(
-        runs, F.col(f"`{identity}`").eqNullSafe(F.col("_of_id")) & (F.col("_text_key") == F.col("_of_key")), "left"
-    ).select(*[F.col(f"`{c}`") for c in docs.columns], "_runs")
-
-    def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    runs_name = fresh_name(docs, "_runs")
+    first, second = (fresh_name(docs, f"_k{part}") for part in (1, 2))
+    runs = repeated_runs(own, length, gram).distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias(runs_name))
+    runs = runs.withColumnsRenamed({"k1": f"{first}_of", "k2": f"{second}_of"})
+    rows = docs.withColumns(dict(zip((first, second), row_key(identity, data), strict=True)))
+    same = (F.col(first) == F.col(f"{first}_of")) & (F.col(second) == F.col(f"{second}_of"))
+    joined = rows.join(runs, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], runs_name)
+    at = docs.columns.index(text)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             texts = []
-            for value, spans in zip(frame[text], frame["_runs"], strict=True):
-                if value and spans is not None and len(spans):
-                    raw = np.frombuffer(value.encode("utf-8", "surrogatepass"), np.uint8)
-                    value = raw[~removed_mask(len(raw), spans, length)].tobytes().decode("utf-8", "ignore")
-                texts.append(value)
-            yield frame.drop(columns="_runs").assign(**{text: texts})
-
-    return joined.mapInPandas(clean, docs.schema)
+            for value, runs in zip(batch.column(at), batch.column(runs_name), strict=True):
+                kept, spans = value.as_py(), runs.as_py()
+                if kept and spans:
+                    kept = cleaned(kept.encode("utf-8", "surrogatepass"), spans, length)[2].decode("utf-8", "ignore")
+                texts.append(kept)
+            columns = [batch.column(i) for i in range(len(docs_columns))]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, docs_columns)
+
+    docs_columns = docs.columns
+    return joined.mapInArrow(clean, docs.schema)

@@ -34,3 +34,17 @@ def keyed(column: str) -> Column:
 def array_literal(values: list, kind: str) -> Column:
     """A long constant array: one string that the optimizer turns into a literal, not a tree of constants."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def join_by_weight(rows: DataFrame, small: DataFrame, keys: list[str], heavy: Column) -> DataFrame:
+    """Inner join of ``rows`` with a table that has one row per key, where a key may hold any share of the rows.
+
+    ``heavy`` marks the keys of a thousandth of the rows or more. There are a thousand of them at most, so
+    they are broadcast and their rows stay where they are; all other rows are shuffled. Both frames
+    should be tables, as they are read twice if there is a heavy key.
+    """
+    hot = small.where(heavy)
+    if not hot.limit(1).count():
+        return rows.join(small, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(~heavy), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
