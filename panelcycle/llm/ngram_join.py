@@ -20,11 +20,13 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcycle.llm.components import connected
 from panelcycle.llm.hashing import grouped, mix64, windows_of, word_hashes, words_of
+from panelcycle.llm.tables import join_by_weight
 from panelcycle.session import materialize
 
 #: Classes in a block: a block pair's sets and its 256 x 256 counts stay in a few MB.
@@ -53,12 +55,12 @@ def _multipliers(count: int) -> np.ndarray:
     return np.random.default_rng(7).integers(1, 2**32, count, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
-def _sign(frames: Iterator[pd.DataFrame], n: int, bands: int, rows: int) -> Iterator[pd.DataFrame]:
+def _sign(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     factors = _multipliers(bands * rows)[:, None]
     shifts = np.random.default_rng(8).integers(0, 2**32, bands * rows, dtype=np.uint64).astype(np.uint32)[:, None]
-    for frame in frames:
+    for batch in batches:
         keys, sizes, signed = [], [], []
-        for text in frame["text"]:
+        for text in batch.column("text").to_pylist():
             grams = ngram_set(text, n)
             keys.append(blake2b(grams.tobytes(), digest_size=16).digest())
             sizes.append(len(grams))
@@ -74,7 +76,8 @@ def _sign(frames: Iterator[pd.DataFrame], n: int, bands: int, rows: int) -> Iter
             for r in range(rows):
                 band = mix64(band + rows_of[:, r])
             signed.append(band.view(np.int64))
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "text_key": frame["text_key"], "set_key": keys, "n": sizes, "bands": signed})
+        made = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signed, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *made], ["doc_id", "text_key", "set_key", "n", "bands"])
 
 
 def _sets(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
@@ -169,8 +172,8 @@ def jaccard_groups(
     own = own.withColumn("text_key", F.xxhash64("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     signed = materialize(
-        own.mapInPandas(
-            lambda frames: _sign(frames, n, bands, rows),
+        own.select("doc_id", "text_key", "text").mapInArrow(
+            lambda batches: _sign(batches, n, bands, rows),
             f"doc_id {kind}, text_key long, set_key binary, n int, bands array<long>",
         ),
         "ngram-signatures",
@@ -217,12 +220,16 @@ def jaccard_groups(
     )
     roots = connected(verified.select(F.col("set_key").alias("a"), F.col("towards").alias("b")))
     links = verified.groupBy("set_key").agg(F.sum("links").alias("links"))
-    grouped_classes = classes.select("set_key", "copies", "rep").join(links, "set_key", "left").join(
-        roots.withColumnRenamed("node", "set_key"), "set_key", "left"
-    ).withColumn("root", F.coalesce("root", "set_key"))
-    smallest = grouped_classes.groupBy("root").agg(F.min(F.struct("rep")).alias("least"))
+    grouped_classes = materialize(
+        classes.select("set_key", "copies", "rep").join(links, "set_key", "left").join(
+            roots.withColumnRenamed("node", "set_key"), "set_key", "left"
+        ).withColumn("root", F.coalesce("root", "set_key")),
+        "ngram-roots",
+    )
+    smallest = materialize(grouped_classes.groupBy("root").agg(F.min(F.struct("rep")).alias("least"), F.count(F.lit(1)).alias("members")), "ngram-least")
+    heavy = F.col("members") >= max(1000, grouped_classes.count() // 1000)
     answers = materialize(
-        grouped_classes.join(smallest, "root").select(
+        join_by_weight(grouped_classes, smallest, ["root"], heavy).select(
             "set_key", F.col("rep").alias("copy_class"), F.col("least.rep").alias("class_id"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.hex("set_key").alias("copy_key"), F.hex("root").alias("group_key"),
         ),

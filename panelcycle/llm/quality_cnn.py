@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,23 +138,24 @@ def score_quality(
     )
     kind = own.schema["doc_id"].dataType.simpleString()
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            logits = np.array([network.logit(d) for d in frame["data"]])
-            yield frame.drop(columns="data").assign(score=1 / (1 + np.exp(-np.clip(logits, -40, 40))))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logits = np.array([network.logit(d.as_py()) for d in batch.column("data")], float)
+            scores = pa.array(1 / (1 + np.exp(-np.clip(logits, -40, 40))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], ["doc_id", "held_out", "score"])
 
-    return own.mapInPandas(score, f"doc_id {kind}, held_out boolean, score double").withColumn(
+    return own.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double").withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, identity: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows and columns of ``docs`` that the network takes for good ones."""
+    """The rows and columns of ``docs`` that the network takes for good ones; every kept value is as it came."""
     network = fit_on(docs, labels, identity, text, label)
 
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            good = [network.logit((t or "").encode("utf-8", "surrogatepass")) >= 0 for t in frame[text]]
-            yield frame[np.array(good, bool)]
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [network.logit((t.as_py() or "").encode("utf-8", "surrogatepass")) >= 0 for t in batch.column(text)]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)

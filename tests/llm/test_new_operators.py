@@ -12,7 +12,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelcycle.llm import fill_middle, ranked_search, secret_scan
+from panelcycle.llm import (
+    fill_middle, fingerprints, license_scan, mixing, ngram_join, packing, quality_cnn, quality_llr, ranked_search, secret_scan, sharding, suffix_dedup,
+    tables,
+)
 from panelcycle.llm.queries import LLM_QUERIES
 
 BIG = 2**53 + 1
@@ -258,3 +261,90 @@ def test_op13_pieces():
         arranged = table.arranged(form)
         assert arranged.bytes() == output and arranged.digest() == sha256(output).hexdigest()
         assert fill_middle.PieceTable.read_back(output, form).bytes() == b"abcdef"
+
+
+# ---- identities: null ones, large ones and repeated ones with unlike texts, in every operator and stage
+
+@pytest.fixture(scope="module")
+def odd_ids(spark):
+    """Rows whose ids a float can not hold stand beside null ones; a nullable long and a binary column come along."""
+    rng = random.Random(2)
+    rows = []
+    for k, i in enumerate([None, BIG, -1, None, BIG, 7, 7, BIG + 1, BIG + 2, None]):
+        text = " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(60))
+        rows.append((i, text, "en", None if k % 3 == 0 else "s", None if k % 2 else BIG + 10 * k, bytes([k, 255])))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, raw binary"
+    return spark.createDataFrame(rows, schema).coalesce(1), rows
+
+
+@pytest.fixture(scope="module")
+def some_labels(spark):
+    return spark.createDataFrame([(7, 1, 0), (-1, 0, 0), (BIG, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+IDENTITY_OPERATORS = {
+    "op1": lambda d, labels: fingerprints.fingerprint_edits(d), "op2": quality_cnn.score_quality, "op3": lambda d, labels: packing.pack_documents(d),
+    "op5": lambda d, labels: license_scan.scan_licenses(d), "op6": lambda d, labels: suffix_dedup.remove_repeats(d), "op7": quality_llr.judge_quality,
+    "op8": lambda d, labels: sharding.shuffle_into_shards(d, 3), "op9": lambda d, labels: ngram_join.jaccard_groups(d),
+    "op10": lambda d, labels: mixing.mix_sources(d), "op11": lambda d, labels: secret_scan.scan_secrets(d),
+    "op13": lambda d, labels: fill_middle.fill_in_middle(d),
+}
+
+
+@pytest.mark.parametrize("name", IDENTITY_OPERATORS)
+def test_identities_survive(odd_ids, some_labels, name):
+    docs, rows = odd_ids
+    found = Counter(r.doc_id for r in IDENTITY_OPERATORS[name](docs, some_labels).select("doc_id").collect())
+    wanted = Counter(r[0] for r in rows)
+    assert set(found) == set(wanted) and (name == "op3" or found == wanted)
+
+
+def test_stages_hand_rows_over_as_they_came(odd_ids, some_labels, monkeypatch):
+    docs, rows = odd_ids
+    every = Counter(rows)
+    kept = Counter((*r[:5], bytes(r[5])) for r in quality_cnn.keep_good(docs, some_labels).collect())
+    assert kept <= every and kept
+    alone = Counter((*r[:5], bytes(r[5])) for r in ngram_join.keep_one_per_group(docs).collect())
+    assert alone == every  # all texts are unlike
+    uncut = Counter((*r[:5], bytes(r[5])) for r in suffix_dedup.without_repeats(docs, length=200).collect())
+    assert uncut == every
+    passage = "a passage that repeats, word for word, in two documents that are unlike each other elsewhere " * 3
+    twice = docs.withColumn("text", F.when(F.col("doc_id") == BIG, F.concat(F.lit(passage), "text")).otherwise(F.col("text")))
+    cut = Counter((*r[:5], bytes(r[5])) for r in suffix_dedup.without_repeats(twice, length=200).collect())
+    assert cut == every
+
+
+def test_op6_unlike_texts_of_one_32_bit_key(docs_of):
+    """Texts are told apart by 128 bits, so no two of many unlike ones share their runs."""
+    docs = docs_of([(None, f"text number {k}") for k in range(1000)] + [(None, "same " * 200), (None, "same " * 200 + "x")])
+    rows = suffix_dedup.remove_repeats(docs).collect()
+    assert sum(r.n_removed == 0 for r in rows) == 1000 and len(rows) == 1002
+
+
+@pytest.mark.parametrize("heavy", [True, False])
+def test_join_by_weight(spark, heavy):
+    rows = spark.range(1000).selectExpr("IF(id % 3 = 0, 0, id) AS k", "id AS v")
+    small = rows.groupBy("k").count()
+    joined = tables.join_by_weight(rows, small, ["k"], F.col("count") >= (100 if heavy else 10_000))
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, rows.join(small, "k").collect()))
+
+
+def test_op3_ids_of_both_encoders(spark, sf_dir):
+    """Whole texts of common characters, and characters on either side of what is common."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = packing.TextEncoder(path), Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    assert encoder.ranked is not None
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("text").collect()][:400]
+    rng = random.Random(9)
+    common = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x250), *range(0x2010, 0x2028))]
+    rare = ["\x00", "\x0b", "\x1c", "\x85", "\xa0", " ", "中", "\U0001f600", "ا", "́"]
+    texts += ["".join(rng.choice(common) for _ in range(80)) for _ in range(3000)]
+    texts += ["".join(rng.choice(common + rare * 9) for _ in range(60)) for _ in range(1000)]
+    texts += [" " * 50 + "a", "x" * 30_000, "ab " * 20_000, "<|endoftext|>", "it's we'll I'M\n\n\n  x", ""]
+    for text, found in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert packing.TextEncoder(public_tokenizers.path("word_bpe_49k.json")).ranked is None

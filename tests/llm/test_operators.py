@@ -99,7 +99,7 @@ def test_op3_chunks_have_the_tokenizers_ids(text):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
     plain.encode_special_tokens = True
-    (found,) = packing.ChunkEncoder(path).encode([text])
+    (found,) = packing.TextEncoder(path).encode([text])
     assert np.frombuffer(found, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
