@@ -16,6 +16,9 @@ from panelcycle.llm.suffix_dedup import without_repeats
 from panelcycle.llm.tables import read_table
 from panelcycle.session import materialize
 
+#: A passage of 50 short words is some 250 bytes long; strings of this length inside it repeat with it.
+PASSAGE_BYTES = 200
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -28,8 +31,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def unrepeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that occur elsewhere too are cut from the texts."""
-    return without_repeats(docs)
+    """Byte strings of ``PASSAGE_BYTES`` that occur elsewhere too are cut from the texts."""
+    return without_repeats(docs, length=PASSAGE_BYTES)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
