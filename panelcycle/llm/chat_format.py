@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: All fields that a mapping may read; a record is parsed once with this schema.
 RECORD = (
@@ -96,15 +97,17 @@ def _turns(layout: Layout, record: str) -> Column:
     return F.array(*turns)
 
 
-def canonical_turns(records: DataFrame, payload: str = "payload", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+def canonical_turns(
+    records: DataFrame, payload: str = "payload", layouts: tuple[Layout, ...] = LAYOUTS, record: Column | None = None
+) -> DataFrame:
     """``records`` with schema_fingerprint, layout and turns: array of (role, text).
 
     Null fields are empty texts; records that are null, no JSON, or of an unknown layout have layout
-    null and no turns. The order of fields plays no part.
+    null and no turns. The order of fields plays no part. ``record`` gives the fields as a struct of
+    ``RECORD`` where they need no parsing; ``payload`` is then read for its field paths alone.
     """
-    parsed = records.withColumns({
-        "schema_fingerprint": schema_fingerprint(F.col(payload)), "_record": F.from_json(F.col(payload), RECORD, {"maxStringLen": str(2**31 - 1)}),
-    })
+    given = F.from_json(F.col(payload), RECORD, {"maxStringLen": str(2**31 - 1)}) if record is None else record
+    parsed = records.withColumns({"schema_fingerprint": schema_fingerprint(F.col(payload)), "_record": given})
     layout, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
     for known in reversed(layouts):
         hit = F.col("schema_fingerprint") == schema_fingerprint(F.lit(known.example))
@@ -162,26 +165,39 @@ def read_back(frame: DataFrame) -> DataFrame:
 
 
 def conversation_records(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Rows by turn as one messages record per conversation, with its turns; turns in order, ties by role and text; null roles and texts are empty."""
+    """Rows by turn as one messages record per conversation: its fields, and a JSON text of its field paths with empty values.
+
+    Turns are in order, ties by role and text; null roles and texts are empty.
+    """
     message = F.struct(
         F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("content")
     )
     listed = rows.groupBy(F.col(conversation).alias("conv_id")).agg(F.sort_array(F.collect_list(message)).alias("m"))
     messages = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    turns = F.transform("m", lambda m: _turn(_named(m["role"]), m["content"]))
-    return listed.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("payload"), turns.alias("turns"))
+    emptied = F.array_distinct(F.transform("m", lambda m: F.struct(F.left(m["role"], F.lit(0)).alias("role"), F.left(m["content"], F.lit(0)).alias("content"))))
+    return listed.select("conv_id", F.to_json(F.struct(emptied.alias("messages"))).alias("payload"), messages.alias("messages"))
+
+
+def messages_record(messages: Column) -> Column:
+    """A record of ``RECORD`` that has messages and no other field."""
+    fields = StructType.fromDDL(RECORD).fields
+    return F.struct(*[(messages if f.name == "messages" else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def format_conversations(rows: DataFrame, **columns) -> DataFrame:
-    """conv_id, payload, layout, turns, formatted, loss_runs, read_turns and loss_text of every conversation.
+    """conv_id, schema_fingerprint, layout, turns, formatted, loss_runs, read_turns and loss_text of every conversation.
 
     One row per conversation; repeated rows are turns of their own; null conversation ids form one
     conversation; further columns play no part; an empty table gives an empty result. A conversation
-    is one text in the end, so its turns come together in one task. The turns are taken from the rows
-    and not from the payload, so no parser limits their length.
+    is one text in the end, so its turns come together in one task. Its fingerprint is taken from its
+    record's field paths and selects the mapping; the texts come from the record's fields and pass no
+    parser, so none limits their length.
     """
-    known = LAYOUTS[0]
-    records = conversation_records(rows, **columns).withColumns({
-        "schema_fingerprint": schema_fingerprint(F.lit(known.example)), "layout": F.lit(known.name),
-    })
-    return read_back(formatted(records))
+    records = conversation_records(rows, **columns)
+    mapped = canonical_turns(records, record=messages_record(F.col("messages"))).drop("payload", "messages")
+    return read_back(formatted(mapped))
+
+
+def format_records(records: DataFrame, payload: str = "payload") -> DataFrame:
+    """The same for JSON records of any known layouts, one row per record; unknown ones have no turns and an empty text."""
+    return read_back(formatted(canonical_turns(records, payload)))

@@ -21,7 +21,8 @@ FROM c GROUP BY conv_id
 _MIX = r"""
 WITH d AS (
     SELECT doc_id, coalesce(source, chr(1114111)) AS k, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-        md5(concat_ws('|', '17', coalesce(doc_id::VARCHAR, 'null'))) AS draw
+        md5(concat_ws('|', '17', coalesce(doc_id::VARCHAR, 'null'), md5(coalesce(text, '')))) AS draw,
+        row_number() OVER (PARTITION BY source, doc_id, text) AS copy
     FROM documents
 ), s AS (
     SELECT k, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY k)) - 1) % 3 + 1 AS w FROM d GROUP BY k
@@ -40,8 +41,7 @@ WITH d AS (
     SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t
 ), r AS (
     SELECT d.doc_id, d.size, f.source_size, f.target, f.whole, f.target - f.whole * f.source_size AS wanted,
-        sum(d.size) OVER (PARTITION BY d.k ORDER BY d.draw) AS through,
-        sum(d.size) OVER (PARTITION BY d.k, d.draw) AS own
+        sum(d.size) OVER (PARTITION BY d.k ORDER BY d.draw, d.copy) AS through, d.size AS own
     FROM d JOIN f USING (k)
 )
 SELECT doc_id, size, source_size, target,

@@ -13,8 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcycle.llm import (
-    fill_middle, fingerprints, license_scan, mixing, ngram_join, packing, quality_cnn, quality_llr, ranked_search, secret_scan, sharding, suffix_dedup,
-    tables,
+    chat_format, fill_middle, fingerprints, license_scan, mixing, ngram_join, packing, quality_cnn, quality_llr, ranked_search, secret_scan, sharding,
+    suffix_dedup, tables,
 )
 from panelcycle.llm.queries import LLM_QUERIES
 
@@ -348,3 +348,160 @@ def test_op3_ids_of_both_encoders(spark, sf_dir):
     for text, found in zip(texts, encoder.encode(texts), strict=True):
         assert np.frombuffer(found, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
     assert packing.TextEncoder(public_tokenizers.path("word_bpe_49k.json")).ranked is None
+
+
+# ---- earlier operators, where null or repeated identities and many equal rows went wrong
+
+@pytest.mark.parametrize("shape", ["null ids", "one id", "equal rows", "mixed"])
+def test_op10_meets_targets_whatever_the_identities(docs_of, shape):
+    rng = random.Random(4)
+    rows = []
+    for k in range(600):
+        text = " ".join(["w"] * 7) if shape == "equal rows" or (shape == "mixed" and k % 3) else " ".join(["w"] * rng.randrange(1, 12)) + f" x{k}"
+        identity = {"null ids": None, "one id": 5, "equal rows": 5, "mixed": 5 if k % 3 else k}[shape]
+        rows.append((identity, text, "abc"[k % 3] if k % 7 else None))
+    docs = docs_of(rows)
+    found = mixing.mix_sources(docs).select("source", "size", "target", "taken", "doc_id").collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in found) == Counter((i, s, len(t.split())) for i, t, s in rows)
+    taken, largest, target = Counter(), Counter(), {}
+    for r in found:
+        taken[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r.size)
+        target[r.source] = r.target
+        assert r.taken <= 3 * r.size
+    for source, wanted in target.items():
+        assert abs(taken[source] - wanted) <= largest[source] / 2
+    again = mixing.mix_sources(docs.repartition(5)).select("source", "size", "taken").collect()
+    assert Counter(map(tuple, again)) == Counter((r.source, r.size, r.taken) for r in found)
+
+
+def test_op8_equal_rows_and_one_identity(docs_of, monkeypatch):
+    """Thousands of unlike texts of one identity, and of equal rows, fall into many buckets; slots stay gapless."""
+    monkeypatch.setattr(sharding, "EQUAL_ROWS", 50)
+    rows = [(1, f"text {k}") for k in range(1500)] + [(2, "the same text")] * 1500 + [(None, None)] * 700
+    docs = docs_of(rows)
+    placed = sharding.shuffle_into_shards(docs, 7, bucket_bytes=4096).collect()
+    assert Counter((r.doc_id, r.text) for r in placed) == Counter(rows)
+    slots = {}
+    for r in placed:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sorted(slots) == list(range(7)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    for kind in ((1,), (2,), (None,)):  # no kind of rows lies together
+        shares = Counter(r.shard for r in placed if (r.doc_id,) == kind)
+        assert max(shares.values()) < 2 * sum(shares.values()) / 7
+
+
+def test_op4_mapping_is_chosen_by_the_fingerprint(spark, monkeypatch):
+    """Rows by turn go through the mapping of their layout; without that layout they have no turns."""
+    rows = spark.createDataFrame([(1, 0, "human", "a"), (1, 1, "gpt", None), (None, 0, None, "x"), (1, 1, "gpt", None)], "conv_id long, turn int, role string, text string")
+    found = {r.conv_id: r for r in chat_format.format_conversations(rows.withColumn("layout", F.lit("z")).withColumn("m", F.lit(1))).collect()}
+    assert [tuple(t) for t in found[1].turns] == [("user", "a"), ("assistant", ""), ("assistant", "")] and found[None].layout == "messages"
+    assert all(r.turns == r.read_turns for r in found.values())
+    example = spark.range(1).select(chat_format.schema_fingerprint(F.lit(chat_format.LAYOUTS[0].example))).first()[0]
+    assert {r.schema_fingerprint for r in found.values()} == {example}
+    records = chat_format.conversation_records(rows)
+    other = chat_format.canonical_turns(records, layouts=chat_format.LAYOUTS[3:], record=chat_format.messages_record(F.col("messages")))
+    assert [(r.layout, r.turns) for r in other.collect()] == [(None, [])] * 2
+    assert chat_format.format_conversations(rows.limit(0)).count() == 0
+
+
+def test_op4_records_of_many_layouts(spark):
+    payloads = ['{"prompt":"p","response":"r"}', '{"instruction":"i","output":"o"}', "[]", '{"messages":[{"role":"user","content":"</turn> #"}]}', None]
+    rows = chat_format.format_records(spark.createDataFrame([(p,) for p in payloads], "payload string")).collect()
+    assert [r.layout for r in rows] == ["prompt_response", "instruction", None, "messages", None]
+    assert all(r.read_turns == r.turns for r in rows) and [r.loss_text for r in rows] == ["r", "o", "", "", ""]
+
+
+def test_op4_a_conversation_of_very_many_turns(spark):
+    n = 60_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
+    row = chat_format.format_conversations(rows).select(F.size("read_turns"), "layout", F.col("read_turns")[n - 1]["text"]).first()
+    assert tuple(row) == (n, "messages", str(n - 1))
+
+
+PROBES = {
+    "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+    "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+    "This work is licensed under the GNU General Public License, version 1.": None,
+    "Licensed under the BSD 2-Clause License.": "BSD-2-Clause", "Licensed under the BSD 4-Clause License.": None,
+    "Licensed under the Mozilla Public License 1.1.": "MPL-1.1", "Licensed under the Mozilla Public License 3.0.": None,
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under CC BY 2.0.": None,
+    "Licensed under the Apache License, Version 1.1.": None, "Licensed under the Eclipse Public License, version 2.0.": None,
+    "plain words of a document": None,
+}
+
+
+def test_op5_families_are_told_apart_row_by_row(docs_of):
+    rows = [(20, "some text\n" + p) for p in PROBES] + [(None, p) for p in PROBES] + [(None, None), (20, "")]
+    found = Counter((r.doc_id, r.family) for r in license_scan.scan_licenses(docs_of(rows)).collect())
+    expected = Counter([(20, f) for f in PROBES.values()] + [(None, f) for f in PROBES.values()] + [(None, None), (20, None)])
+    assert found == expected
+
+
+def test_op5_no_template_is_common_words():
+    for family in license_scan.FAMILIES:
+        for template in license_scan.TEMPLATES[family]:
+            own = set(license_scan.template_words(template))
+            assert len(own & license_scan.COMMON) < license_scan.LEAST_LIKENESS * len(own)
+
+
+def test_op5_held_out_notices_are_calibrated(spark, docs_of):
+    """Notices reworded in ways that were not taught, among plain sentences: stated probabilities match the hits."""
+    rng = random.Random(8)
+    filler = ["we", "hope", "note", "that", "here", "today", "always", "please", "see", "below"]
+    held, truth = [], []
+    for k, family in enumerate(license_scan.FAMILIES):
+        for template in license_scan.TEMPLATES[family]:
+            for _ in range(6):
+                tokens = template.split()
+                at = rng.randrange(len(tokens) + 1)
+                held.append(" ".join([*tokens[:at], rng.choice(filler), *tokens[at:]]))
+                truth.append(k)
+    for _ in range(150):
+        held.append(" ".join(rng.choice(filler + ["table", "license", "public", "under", "terms"]) for _ in range(rng.randrange(5, 15))))
+        truth.append(len(license_scan.FAMILIES))
+    own = docs_of([(k, " ".join(rng.choice(filler) + str(rng.randrange(50)) for _ in range(12))) for k in range(60)])
+    hashes = [F.xxhash64(F.lit(part), "text").alias(f"k{part}") for part in (1, 2)]
+    weights, bias, temperature = license_scan.fit(license_scan.training_rows(own.select("doc_id", "text", *hashes)))
+    frame = spark.createDataFrame([(i, h) for i, h in enumerate(held)], "i int, p string")
+    features = {r.i: r.f for r in frame.select("i", license_scan.features(license_scan.words(F.col("p"))).alias("f")).collect()}
+    x = np.zeros((len(held), license_scan.DIMENSIONS))
+    for i, f in features.items():
+        x[i, f] = 1 / np.sqrt(max(len(f), 1))
+    z = (x @ weights + bias) / temperature
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    right = p.argmax(1) == np.array(truth)
+    assert right.mean() > 0.9
+    sure = p.max(1)
+    gaps = [abs(sure[b].mean() - right[b].mean()) * b.mean() for b in (sure < 0.5, (sure >= 0.5) & (sure < 0.8), sure >= 0.8) if b.any()]
+    assert sum(gaps) < 0.2  # expected calibration error
+
+
+def test_op2_separates_held_out_rows(spark):
+    larger = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    rows = [r for r in LLM_QUERIES["op2_quality_cnn"](spark, larger).collect() if r.held_out and r.doc_id in labels]
+    good = np.array([r.score for r in rows if labels[r.doc_id] == 1])
+    bad = np.array([r.score for r in rows if labels[r.doc_id] == 0])
+    auc = (good[:, None] > bad[None, :]).mean() + 0.5 * (good[:, None] == bad[None, :]).mean()
+    assert auc >= 0.95 and (bad < 0.5).mean() >= 0.8
+
+
+def test_op1_likeness_against_the_true_jaccard(spark):
+    """Texts of a known overlap of five-word runs: the sketch's error stays within three of its deviations."""
+    rng = random.Random(1)
+    rows, truth = [], []
+    for k in range(80):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        other = [w if rng.random() > k / 800 else f"z{rng.randrange(10**6)}" for w in words]
+        runs = [set(zip(*[t[i:] for i in range(5)], strict=False)) for t in (words, other)]
+        rows.append((" ".join(words), " ".join(other)))
+        truth.append(len(runs[0] & runs[1]) / len(runs[0] | runs[1]))
+    frame = spark.createDataFrame(rows, "x string, y string")
+    for c in "xy":
+        frame = fingerprints.with_fingerprint(frame, c, c + "f")
+    found = np.array([r[0] for r in frame.select(fingerprints.likeness(F.col("xf"), F.col("yf"))).collect()])
+    error = found - np.array(truth)
+    assert abs(error.mean()) < 0.05 and np.abs(error).max() < 0.35
