@@ -23,7 +23,7 @@ HEADLINE = (
     "short_term_stage", "feature_snapshot", "feature_snapshot_customers", "regime_replay", "regime_replay_point_in_time",
     "regime_replay_customers", "asset_tilt_table", "world_basket", "entity_thresholds", "expanding_entity_thresholds", "series_quantiles_large",
     "asof_over_grid", "asof_probe_join", "anchor_lags", "trailing_zscores_on_grid", "upsert_merge", "store_round_trip",
-    "yoy_positional", "series_freshness",
+    "yoy_positional", "series_freshness", "asof_by_vintage", "asof_hourly", "expanding_quantile_table", "viewer_tilt_table",
 )
 
 

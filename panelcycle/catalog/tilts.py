@@ -65,6 +65,7 @@ QUADRANT_TILTS: dict[str, dict[str, float]] = {
     },
 }
 
+# The quadrant of each stage.
 STAGE_QUADRANTS: dict[int, str] = {
     1: GROWTH_UP_INFLATION_DOWN,
     2: GROWTH_UP_INFLATION_UP,

@@ -12,6 +12,7 @@ from panelcycle.catalog.indicators import ALL_INDICATORS, LAGGED_FEATURES
 from panelcycle.plans.classify import classify_long_term, classify_short_term
 
 NAMES = [*ALL_INDICATORS, *LAGGED_FEATURES]
+# The scenarios' numbers, here and in the case lists.
 SHORT = dict(real_gdp_yoy=2.0, cpi_yoy=2.5, cpi_yoy_3m_ago=2.5, unemployment_rate=4.0, unemployment_3m_ago=4.0,
              policy_rate=3.0, policy_rate_6m_ago=3.0, yield_10y=4.0, yield_2y=3.5)
 LONG = dict(total_credit_pct_gdp=200.0, total_credit_5y_ago=180.0, gov_debt_pct_gdp=80.0, private_nonfin_pct_gdp=120.0,
