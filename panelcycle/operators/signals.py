@@ -99,7 +99,7 @@ def trailing_zscore_grid(
     period's middle: a deviation below some 1e-8 of that distance.
 
     With ``known_by`` the panel is a log of revisions, see ``operators.vintages``; values then come and go
-    in any order, and blocks of rows with equal first and last dates are repeated over their dates.
+    in any order, and each is held over an interval of dates, see ``aligned_ranges``.
     """
     if known_by is not None:
         return _zscore_of_vintages(panel, grid, known_by, window_days, min_observations, priority, cols)
@@ -156,7 +156,12 @@ def trailing_zscore_grid(
 
 def _zscore_of_vintages(log: DataFrame, grid: Sequence[dt.date], known_by: Sequence[dt.date | dt.datetime], window_days: int,
                         min_observations: int, priority: Sequence[str], cols: PanelColumns) -> DataFrame:
-    """Scores over the values held at each date: those of one first and last date are merged, then repeated over the dates between."""
+    """Scores over the values held at each date.
+
+    A value is held over an interval of slots. Intervals are cut into aligned ranges, the values of a range are
+    merged, and a slot merges the ranges around it: a series has rows in number of its values and its slots
+    times the logarithm of the grid, whatever the order in which values come and go, and nothing is subtracted.
+    """
     spans = revision_spans(log, grid, known_by, cols)
     left = with_slot(spans, F.date_add(cols.date, window_days + 1), grid, "_left")
     held = left.select(
@@ -167,36 +172,55 @@ def _zscore_of_vintages(log: DataFrame, grid: Sequence[dt.date], known_by: Seque
         held.where(F.col("_first") < F.col("_after"))
         .groupBy(*cols.series_key, "_first", "_after")
         .agg(
-            F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_m"), F.var_pop("_v").alias("_var"), F.min("_v").alias("_low"),
+            F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_mean"), F.var_pop("_v").alias("_var"), F.min("_v").alias("_low"),
             F.max("_v").alias("_high"), F.max_by("_v", "_recency").alias("_latest"), F.max("_recency").alias("_recency"),
         )
+        .repartition(*cols.series_key)
     )
-    n, mean = F.col("_n"), F.col("_m")
-    # the mean of a date comes first: squares of deviations from it do not cancel at high levels
-    on_slot = Window.partitionBy(*cols.series_key, "_slot")
-    merged = (
-        blocks.withColumn("_slot", F.explode(F.sequence("_first", F.col("_after") - 1)))
-        .withColumn("_centre", F.sum(n * mean).over(on_slot) / F.sum(n).over(on_slot))
-        .groupBy(*cols.series_key, "_slot")
+    figures = ("_n", "_mean", "_var", "_low", "_high", "_latest", "_recency")
+    cut = blocks.select(*cols.series_key, *figures, F.inline_outer(aligned_ranges(F.col("_first"), F.col("_after"), len(grid))))
+    ranges = _merged(cut, [*cols.series_key, "_level", "_place"])
+    inside = F.expr("sequence(shiftleft(_place, _level), shiftleft(_place + 1, _level) - 1)")
+    covered = ranges.select(*cols.series_key, *figures, F.explode_outer(inside).alias("_slot"))
+    merged = _merged(covered, [*cols.series_key, "_slot"])
+    dates = F.array(*[F.lit(d) for d in grid])
+    stats = merged.withColumns({"as_of": F.element_at(dates, F.col("_slot") + 1), "_std": F.sqrt("_var")})
+    return _finish(stats.withColumnRenamed("_n", "n_obs").drop("_slot", "_var", "_recency"), min_observations)
+
+
+def aligned_ranges(first: Column, after: Column, slots: int) -> Column:
+    """The slots from ``first`` until before ``after`` as ranges of 2^level slots that begin at a multiple of their length.
+
+    An array of (_level, _place), for the range that begins at _place * 2^level: two a level at most, so an
+    interval of any length has no more than twice the logarithm of the grid's, and none of them overlap.
+    """
+    ranges = []
+    for level in range(slots.bit_length()):
+        low, high = F.shiftright(first + (2**level - 1), level), F.shiftright(after, level)  # whole ranges inside
+        ranges += [
+            F.when((low < high) & (side % 2 == 1), F.struct(F.lit(level).alias("_level"), place.alias("_place")))
+            for side, place in ((low, low), (high, high - 1))  # the odd ones at either end; pairs of the others are ranges of the next level
+        ]
+    return F.array_compact(F.array(*ranges))
+
+
+def _merged(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Count, mean, variance, extremes and newest value of parts that have these figures themselves.
+
+    The common mean comes first: squares of deviations from it do not cancel at high levels.
+    """
+    n, off = F.col("_n"), F.col("_mean") - F.col("_centre")
+    group = Window.partitionBy(*by)
+    total = F.sum(n)
+    return (
+        parts.withColumn("_centre", F.sum(n * F.col("_mean")).over(group) / F.sum(n).over(group))
+        .groupBy(*by)
         .agg(
-            F.sum(n).alias("n_obs"),
-            F.max_by("_latest", "_recency").alias("_latest"),
-            F.max("_centre").alias("_mean"),
-            # spread inside the blocks plus spread between their means
-            F.sum(n * F.col("_var")).alias("_within"),
-            F.sum(n * (mean - F.col("_centre")) * (mean - F.col("_centre"))).alias("_between"),
-            F.min("_low").alias("_low"),
-            F.max("_high").alias("_high"),
+            total.alias("_n"), F.max("_centre").alias("_mean"), (F.sum(n * (F.col("_var") + off * off)) / total).alias("_var"),
+            F.min("_low").alias("_low"), F.max("_high").alias("_high"),
+            F.max_by("_latest", "_recency").alias("_latest"), F.max("_recency").alias("_recency"),
         )
     )
-    dates = F.array(*[F.lit(d) for d in grid])
-    stats = merged.withColumns(
-        {
-            "as_of": F.element_at(dates, F.col("_slot") + 1),
-            "_std": F.sqrt((F.col("_within") + F.col("_between")) / F.col("n_obs")),
-        }
-    ).drop("_slot", "_within", "_between")
-    return _finish(stats, min_observations)
 
 
 def credit_signal(

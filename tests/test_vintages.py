@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelcycle.operators.quantiles import expanding_quantiles, vintage_quantiles
 from panelcycle.operators.asof import asof_grid
-from panelcycle.operators.signals import trailing_zscore_grid
+from panelcycle.operators.signals import aligned_ranges, trailing_zscore_grid
 from panelcycle.operators.snapshot import feature_snapshots
 from panelcycle.operators.upsert import merge_observations
 from panelcycle.operators.vintages import asof_vintages, revision_spans
@@ -150,6 +150,53 @@ def test_quantiles_and_scores_of_what_was_known(rows, log):
                     assert r.z == pytest.approx((_pick(inside[max(inside)]) - np.mean(values)) / np.std(values))
 
 
+@pytest.mark.parametrize("slots", [1, 2, 7, 16, 33])
+def test_aligned_ranges_cover_an_interval_once(spark, slots):
+    cut = spark.range(slots).crossJoin(spark.range(1, slots + 1).withColumnRenamed("id", "after")).where("id < after")
+    rows = cut.select("id", "after", aligned_ranges(F.col("id").cast("int"), F.col("after").cast("int"), slots).alias("ranges")).collect()
+    assert len(rows) == slots * (slots + 1) // 2
+    for r in rows:
+        covered = [k for level, place in r.ranges for k in range(place << level, (place + 1) << level)]
+        assert sorted(covered) == list(range(r.id, r.after))
+        assert len(r.ranges) <= max(1, 2 * (slots.bit_length() - 1))
+
+
+@pytest.mark.parametrize("level", [0.0, 1e9])
+def test_scores_of_intervals_of_every_length(spark, level):
+    """Each value is replaced at a random later time, so that nearly no two are held over the same dates."""
+    rng = random.Random(8)
+    grid = [dt.date(2000, 1, 1) + dt.timedelta(days=3 * k) for k in range(150)]
+    rows = []
+    for k in range(400):
+        date = dt.date(2000, 1, 1) + dt.timedelta(days=k)
+        for loaded in sorted(rng.sample(range(k, 500), rng.choice((1, 2, 3)))):
+            value = 1e15 if k == 9 and not rows[-1][2] == date else level + rng.gauss(0, 1)
+            rows.append(("A", "x", date, value, "S1", "s", dt.datetime(2000, 1, 1) + dt.timedelta(days=loaded), len(rows)))
+    found = {r.as_of: r for r in trailing_zscore_grid(spark.createDataFrame(rows, SCHEMA), grid, 200, 3, PRIORITY, grid).collect()}
+    checked = 0
+    for g in grid:
+        inside = {d: by for d, by in _known(rows, g, _midnight(g)).get(("A", "x"), {}).items() if d >= g - dt.timedelta(days=200)}
+        values = np.array([v for by in inside.values() for v in by.values()])
+        if len(values) < 3:
+            assert g not in found or found[g].z is None
+            continue
+        assert found[g].n_obs == len(values)
+        if values.max() < 1e14:  # the outlier has not come or has gone, and leaves nothing behind
+            checked += 1
+            off = values - values.mean()
+            assert found[g].z == pytest.approx((_pick(inside[max(inside)]) - values.mean()) / np.sqrt(np.mean(off * off)), rel=1e-6, abs=1e-6)
+    assert checked > 50
+
+
+def test_rows_of_a_score_grow_with_the_grid_times_its_logarithm(spark):
+    """As many intervals as there are pairs of dates: none is repeated over its dates."""
+    blocks = spark.range(64).crossJoin(spark.range(1, 65).withColumnRenamed("id", "after")).where("id < after")
+    cut = blocks.select(F.inline(aligned_ranges(F.col("id").cast("int"), F.col("after").cast("int"), 64)))
+    assert cut.distinct().count() == 2 * 64 - 1
+    repeated = cut.distinct().agg(F.sum(F.expr("shiftleft(1, _level)"))).first()[0]
+    assert repeated == 64 * 7  # one range a level around each slot; the blocks themselves hold 45,760 slots
+
+
 def test_a_plan_without_pairs(log):
     plan = asof_vintages(log, GRID, GRID, [90])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "SortMergeJoin" not in plan
