@@ -110,20 +110,29 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, rate: float = 0
     return Network(params[0], params[1], params[2], float(params[3][0]))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, identity: str, text: str, label: str, rows: int = FIT_ROWS) -> Network:
-    """The network of a bounded sample of the labelled rows that are not held out."""
-    some = labels.where(~held_out(identity) & F.col(label).isin(0, 1)).select(identity, label).dropDuplicates([identity])
-    ids = some.orderBy(F.xxhash64(F.col(identity), F.lit(3)), identity).limit(rows).collect()  # identities only, at most ``rows``
+def fit_on(
+    docs: DataFrame, labels: DataFrame, identity: str, text: str, label: str, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES
+) -> Network:
+    """The network of at most ``fit_rows`` labelled rows that are not held out, the same ones in every run.
+
+    Identities are drawn by hash, and where several rows share them, rows by a hash of identity and text. Longer
+    texts than ``fit_bytes`` are left out; identities labelled both ways teach nothing.
+    """
+    some = labels.where(~held_out(identity) & F.col(label).isin(0, 1)).groupBy(identity).agg(F.min(label).alias(label), F.max(label).alias("_most"))
+    some = some.where(F.col(label) == F.col("_most")).select(identity, label)
+    ids = some.orderBy(F.xxhash64(F.col(identity), F.lit(3)), identity).limit(fit_rows).collect()  # identities only, at most ``fit_rows``
     spark = docs.sparkSession
     picked = spark.createDataFrame([tuple(r) for r in ids], some.schema)
     data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    joined = docs.select(identity, data.alias("data")).join(F.broadcast(picked), identity).where(F.octet_length("data") <= FIT_BYTES)
-    chosen = sorted(joined.limit(2 * rows).collect(), key=lambda r: (str(r[identity]), bytes(r["data"])))
+    joined = docs.select(identity, data.alias("data")).where(F.octet_length("data") <= fit_bytes).join(F.broadcast(picked), identity)
+    drawn = joined.orderBy(F.xxhash64(F.col(identity), F.col("data"), F.lit(4)), identity, "data").limit(fit_rows).collect()
+    chosen = sorted(drawn, key=lambda r: (str(r[identity]), bytes(r["data"])))
     return fit([bytes(r["data"]) for r in chosen], np.array([r[label] for r in chosen], np.float32))
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, identity: str = "doc_id", text: str = "text", label: str = "quality"
+    docs: DataFrame, labels: DataFrame, identity: str = "doc_id", text: str = "text", label: str = "quality",
+    fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES,
 ) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5): one row per row of ``docs``.
 
@@ -131,7 +140,7 @@ def score_quality(
     score is the share of label 1 (one half without any). Repeated rows get equal scores; further
     columns play no part; an empty table gives an empty result.
     """
-    network = fit_on(docs, labels, identity, text, label)
+    network = fit_on(docs, labels, identity, text, label, fit_rows, fit_bytes)
     own = docs.select(
         F.col(f"`{identity}`").alias("doc_id"), held_out(f"`{identity}`").alias("held_out"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("data"),
@@ -149,9 +158,12 @@ def score_quality(
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, identity: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, identity: str = "doc_id", text: str = "text", label: str = "quality",
+    fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES,
+) -> DataFrame:
     """The rows and columns of ``docs`` that the network takes for good ones; every kept value is as it came."""
-    network = fit_on(docs, labels, identity, text, label)
+    network = fit_on(docs, labels, identity, text, label, fit_rows, fit_bytes)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
