@@ -119,11 +119,11 @@ def mix_sources(
         "whole", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0)
     ).withColumn("wanted", F.col("target") - F.col("whole") * F.col("size"))
 
-    # the bucket in which the fraction is reached, and the words before it
+    # the bucket in which the fraction is reached, and the words before it; without a fraction there is none
     in_source = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     reached = per_bucket.withColumn("through", F.sum("words").over(in_source)).join(
         targets.select("key", "wanted"), "key"
-    ).where("through > wanted")
+    ).where("wanted > 0 AND through > wanted")
     edge = reached.groupBy("key").agg(
         F.min("bucket").alias("edge"), F.min(F.struct("bucket", (F.col("through") - F.col("words")).alias("before"))).alias("first")
     ).select("key", "edge", F.col("first.before").alias("before"))
