@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 from hashlib import sha256
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -352,6 +353,13 @@ def test_op3_ids_of_both_encoders(spark, sf_dir):
 
 # ---- earlier operators, where null or repeated identities and many equal rows went wrong
 
+def test_op10_rows_without_words_stop_at_the_largest_epoch_too(docs_of):
+    """A source at its cap has no fraction; empty texts before the edge are not taken once more."""
+    rows = [(i, "", "a") for i in range(200)] + [(200 + i, "one two three", "a") for i in range(5)] + [(300 + i, "many words " * 400, "b") for i in range(5)]
+    found = mixing.mix_sources(docs_of(rows)).where("source = 'a'").collect()
+    assert {r.target for r in found} == {45.0} and {r.repeats for r in found} == {3}
+
+
 @pytest.mark.parametrize("shape", ["null ids", "one id", "equal rows", "mixed"])
 def test_op10_meets_targets_whatever_the_identities(docs_of, shape):
     rng = random.Random(4)
@@ -479,6 +487,22 @@ def test_op5_held_out_notices_are_calibrated(spark, docs_of):
     assert sum(gaps) < 0.2  # expected calibration error
 
 
+def test_op2_learns_the_same_rows_in_every_run(spark, docs_of, monkeypatch):
+    """Many unlike rows of one identity, identities labelled twice or both ways, and texts too long to learn from."""
+    learned = []
+    monkeypatch.setattr(quality_cnn, "fit", lambda texts, labels: learned.append((texts, labels.tolist())))
+    rows = [(1, f"text {k} " * 3) for k in range(300)] + [(7, "both ways"), (10, "x" * 50), (8, "twice"), (9, "bad")]
+    labels = spark.createDataFrame([(1, 1), (7, 0), (7, 1), (10, 1), (8, 1), (8, 1), (9, 0), (None, 1)], "doc_id long, quality int")
+    assert all(crc32(str(i).encode()) % 3 != 1 for i in (1, 7, 8, 9, 10))
+    for parts in (1, 7):
+        docs = docs_of(rows).repartition(parts)
+        quality_cnn.fit_on(docs, labels, "doc_id", "text", "quality", 40, 49)
+        quality_cnn.fit_on(docs, labels, "doc_id", "text", "quality", 1000, 49)
+    few, all_of_them = learned[:2]
+    assert learned[2:] == learned[:2] and len(few[0]) == 40 and len(all_of_them[0]) == 302
+    assert Counter(all_of_them[1]) == {1.0: 301, 0.0: 1} and b"both ways" not in all_of_them[0] and b"x" * 50 not in all_of_them[0]
+
+
 def test_op2_separates_held_out_rows(spark):
     larger = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
