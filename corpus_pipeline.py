@@ -53,7 +53,7 @@ STAGES = [
     ("packing", packed_sequences),
 ]
 
-#: The classifier, the MinHash join and the tokenizer are beyond SQL; tests hold the operators of op3, op6 and op9 against brute force, the stages' rows not yet.
+#: The classifier, the MinHash join and the tokenizer are beyond SQL; tests hold every stage and run() against plain loops.
 ORACLE_SQL = None
 
 
