@@ -7,12 +7,14 @@ results are the same to the last bit on any engine and in any order of addition.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcycle.operators.series import percent_change
-from panelcycle.session import materialize
+from panelcycle.session import ensure_checkpoint_dir, materialize
+from panelcycle.sources.tables import save_bucketed
 
 AS_OF = dt.date(2000, 6, 30)
 TODAY = dt.date(2001, 9, 1)
@@ -78,9 +80,11 @@ def monthly_wide(spark: SparkSession, sf_dir: str, by: str = "nation") -> DataFr
     )
 
 
-def monthly_panel(spark: SparkSession, sf_dir: str, by: str = "nation", source: str = "STAR") -> DataFrame:
-    """Long panel (entity, indicator, date, value, source, series_id)."""
+def monthly_panel(spark: SparkSession, sf_dir: str, by: str = "nation", source: str = "STAR", partitions: int | None = None) -> DataFrame:
+    """Long panel (entity, indicator, date, value, source, series_id), dealt by entity to ``partitions`` if given."""
     wide = monthly_wide(spark, sf_dir, by)
+    if partitions is not None:
+        wide = wide.repartition(partitions, "entity")
     c = F.col
 
     def ratio(top: Column, bottom: Column) -> Column:
@@ -102,9 +106,10 @@ def monthly_panel(spark: SparkSession, sf_dir: str, by: str = "nation", source:
         "debt_service_ratio": F.lit(50.0) * c("n_r") / c("n"),
         "hy_spread": F.when(c("entity").isin(list(SIGNAL_ENTITIES)), ratio(c("tax_a"), c("n_a"))),
     }
-    rows = wide.select("entity", "date", *[e.alias(n) for n, e in roles.items()]).unpivot(
-        ["entity", "date"], list(roles), "indicator", "value"
-    )
+    # an array of rows and not unpivot, which forgets how its input is partitioned
+    pairs = F.array(*[F.struct(F.lit(n).alias("indicator"), c(n).alias("value")) for n in roles])
+    named = wide.select("entity", "date", *[e.alias(n) for n, e in roles.items()])
+    rows = named.select("entity", "date", F.inline_outer(pairs))
     return rows.where(F.col("value").isNotNull()).select(
         "entity", "indicator", "date", "value", F.lit(source).alias("source"),
         F.concat_ws(".", "indicator", "entity").alias("series_id"),
@@ -155,9 +160,25 @@ def grid_dates() -> list[dt.date]:
 _LANDED: dict[tuple[str, str, str], DataFrame] = {}
 
 
+# An order is about ten observations of its customer; a bucket is what one task works on.
+ORDERS_PER_BUCKET = 25_000
+
+
+def customer_buckets(spark: SparkSession, sf_dir: str) -> int:
+    """Buckets for the customers' panel: as many as the orders ask for, so that none grows with the table."""
+    orders = table(spark, sf_dir, "orders").count()
+    return max(spark.sparkContext.defaultParallelism, -(-orders // ORDERS_PER_BUCKET))
+
+
 def landed_panel(spark: SparkSession, sf_dir: str, by: str = "nation") -> DataFrame:
-    """The monthly panel, landed once per session as a table partitioned by indicator."""
+    """The monthly panel, landed once per session: the nations' as a table partitioned by indicator, the
+    customers' as one bucketed by entity, for readers that pass ``colocated=True``."""
     key = (spark.sparkContext.applicationId, sf_dir, by)
     if key not in _LANDED:
-        _LANDED[key] = materialize(monthly_panel(spark, sf_dir, by), f"panel-{by}", ["indicator"])
+        if by == "customer":
+            name, buckets = f"panel_customer_{uuid.uuid4().hex}", customer_buckets(spark, sf_dir)
+            panel = monthly_panel(spark, sf_dir, by, partitions=buckets)
+            _LANDED[key] = save_bucketed(panel, name, buckets, f"{ensure_checkpoint_dir(spark)}/{name}")
+        else:
+            _LANDED[key] = materialize(monthly_panel(spark, sf_dir, by), f"panel-{by}", ["indicator"])
     return _LANDED[key]

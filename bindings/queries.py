@@ -17,6 +17,7 @@ from bindings.panel import (
     REPLAY_START,
     SIGNAL_ENTITIES,
     TODAY,
+    customer_buckets,
     daily_panel,
     grid_dates,
     hundredths,
@@ -360,7 +361,9 @@ def bucketed_snapshot(spark, sf_dir):
     import uuid
 
     name = f"panel_{uuid.uuid4().hex}"
-    stored = save_bucketed(landed_panel(spark, sf_dir, "customer"), name, 16, f"{ensure_checkpoint_dir(spark)}/{name}")
+    buckets = customer_buckets(spark, sf_dir)
+    panel = monthly_panel(spark, sf_dir, "customer", partitions=buckets)
+    stored = save_bucketed(panel, name, buckets, f"{ensure_checkpoint_dir(spark)}/{name}")
     snapshots = feature_snapshots(stored, [AS_OF], one_row_per_day=True, colocated=True)
     return snapshots.select("entity", "as_of", *[r6(n) for n in (*ALL_INDICATORS, *LAGGED_FEATURES)])
 
@@ -683,7 +686,7 @@ def feature_snapshot(spark, sf_dir):
 def feature_snapshot_customers(spark, sf_dir):
     """The same snapshot keyed by customer: as many entities as customers with orders."""
     panel = landed_panel(spark, sf_dir, "customer")
-    snapshots = feature_snapshots(panel, [AS_OF], one_row_per_day=True)
+    snapshots = feature_snapshots(panel, [AS_OF], one_row_per_day=True, colocated=True)
     return snapshots.select("entity", "as_of", *[r6(n) for n in (*ALL_INDICATORS, *LAGGED_FEATURES)])
 
 
@@ -890,7 +893,7 @@ def regime_replay_customers(spark, sf_dir):
     """Every customer on every quarter, without the signal."""
     replayed = replay(
         landed_panel(spark, sf_dir, "customer"), REPLAY_START, REPLAY_END, "Q", TODAY,
-        signal_asof="none", one_row_per_day=True,
+        signal_asof="none", one_row_per_day=True, colocated=True,
     )
     return _rounded_path(replayed)
 
