@@ -39,15 +39,16 @@ def with_anchor_lags(canonical: DataFrame, lags: Sequence[int], cols: PanelColum
     A lag hangs on the observation that was found, not on the grid date, so it is computed once
     per observation. All frames share one partitioning and one sort, and each only ever grows.
     """
-    days = F.unix_date(F.col(cols.date))
-    series = Window.partitionBy(*cols.series_key).orderBy(days)
-    return canonical.select(
-        "*",
-        *[
-            F.last(cols.value).over(series.rangeBetween(Window.unboundedPreceding, -n)).alias(f"lag_{n}d")
-            for n in lags
-        ],
-    )
+    return canonical.select("*", *_anchor_lags(lags, cols))
+
+
+def _by_day(cols: PanelColumns):
+    return Window.partitionBy(*cols.series_key).orderBy(F.unix_date(F.col(cols.date)))
+
+
+def _anchor_lags(lags: Sequence[int], cols: PanelColumns) -> list[Column]:
+    series = _by_day(cols)
+    return [F.last(cols.value).over(series.rangeBetween(Window.unboundedPreceding, -n)).alias(f"lag_{n}d") for n in lags]
 
 
 def grid_calendar(df: DataFrame, grid: Sequence[dt.date]) -> DataFrame:
@@ -89,13 +90,25 @@ def slot_of(df: DataFrame, grid: Sequence[dt.date], cols: PanelColumns = PANEL)
 
 
 def newest_per_slot(observations: DataFrame, grid: Sequence[dt.date], cols: PanelColumns = PANEL) -> DataFrame:
-    """Newest row of each series per slot, from a canonical frame with optional ``lag_*`` columns."""
-    extras = [c for c in observations.columns if c.startswith("lag_")]
+    """Newest row of each series per slot, from a canonical frame."""
     slotted = slot_of(observations, grid, cols)
     return slotted.groupBy(*cols.series_key, "slot").agg(
         F.max_by(cols.value, cols.date).alias("value"),
         F.max(cols.date).alias("observed_on"),
-        *[F.max_by(c, cols.date).alias(c) for c in extras],
+    )
+
+
+def _newest_with_lags(daily: DataFrame, grid: Sequence[dt.date], lags: Sequence[int], cols: PanelColumns = PANEL) -> DataFrame:
+    """``newest_per_slot`` with lags and ``_until``, the last slot a row holds for, by the one sort that lags need.
+
+    Slots rise with the date, so a slot's newest row is the one before a later slot's row, which
+    ends its time. No second order and no aggregate is held beside the sorted rows.
+    """
+    # in one select, so that Spark sees one order
+    rows = slot_of(daily, grid, cols).select("*", *_anchor_lags(lags, cols), F.lead("slot").over(_by_day(cols)).alias("_next"))
+    return rows.where("_next IS NULL OR _next > slot").select(
+        *cols.series_key, "slot", F.col(cols.value).alias("value"), F.col(cols.date).alias("observed_on"),
+        *[f"lag_{n}d" for n in lags], F.coalesce(F.col("_next") - 1, F.lit(len(grid) - 1)).alias("_until"),
     )
 
 
@@ -106,7 +119,11 @@ def spread_over_grid(newest: DataFrame, grid: Sequence[dt.date], cols: PanelColu
     """
     series = Window.partitionBy(*cols.series_key).orderBy("slot")
     last_slot = F.coalesce(F.lead("slot").over(series) - 1, F.lit(len(grid) - 1))
-    filled = newest.withColumn("_until", last_slot)
+    return _repeated(newest.withColumn("_until", last_slot), grid, points)
+
+
+def _repeated(filled: DataFrame, grid: Sequence[dt.date], points: Column | None = None) -> DataFrame:
+    """One row per slot from ``slot`` to ``_until``."""
     return (
         filled.withColumn("slot", F.explode(F.sequence("slot", "_until")))
         .withColumn("as_of", F.element_at(F.array(*[F.lit(d) for d in grid]) if points is None else points, F.col("slot") + 1))
@@ -125,8 +142,9 @@ def daily_rows(panel: DataFrame, until: dt.date, priority: Sequence[str] = (), o
 def answers_on_grid(daily: DataFrame, grid: Sequence[dt.date], lags: Sequence[int] = (),
                     cols: PanelColumns = PANEL) -> DataFrame:
     """As-of rows of an already canonical frame; keeps whatever partitioning it comes with."""
-    observations = with_anchor_lags(daily, lags, cols) if lags else daily
-    return spread_over_grid(newest_per_slot(observations, grid, cols), grid, cols)
+    if lags:
+        return _repeated(_newest_with_lags(daily, grid, lags, cols), grid)
+    return spread_over_grid(newest_per_slot(daily, grid, cols), grid, cols)
 
 
 def asof_grid(

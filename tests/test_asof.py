@@ -138,3 +138,27 @@ def test_extreme_dates_keep_their_order(panel_of):
 def test_grid_must_ascend(random_panel):
     with pytest.raises(ValueError):
         asof_grid(random_panel, [D, ago(1)])
+
+
+def test_lags_and_slots_share_one_sort(spark):
+    """Snapshots with lags hold the sorted rows once, without an aggregate by slot beside them; answers as by hand."""
+    rng = random.Random(5)
+    days = {(e, i): rng.sample(range(900), 60) for e in "abc" for i in ("cpi_yoy", "policy_rate")}
+    rows = [(e, i, ago(900 - d), None if rng.random() < 0.1 else float(d)) for (e, i), found in days.items() for d in found]
+    daily = spark.createDataFrame(rows, "entity string, indicator string, date date, value double")
+    grid = [ago(n) for n in (950, 700, 650, 649, 300, 20)]
+    frame = asof_grid(daily, grid, [90], one_row_per_day=True)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Aggregate" not in plan
+
+    def at(series, day):
+        return max((r for r in rows if r[:2] == series and r[2] <= day), key=lambda r: r[2], default=None)
+
+    expected = set()
+    for series in days:
+        for day in grid:
+            if (row := at(series, day)) is not None:
+                lag = at(series, row[2] - dt.timedelta(days=90))
+                expected.add((*series, day, row[3], row[2], lag and lag[3]))
+    got = frame.select("entity", "indicator", "as_of", "value", "observed_on", "lag_90d").collect()
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
