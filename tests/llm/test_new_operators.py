@@ -529,3 +529,19 @@ def test_op1_likeness_against_the_true_share(spark):
     found = np.array([r[0] for r in frame.select(fingerprints.likeness(F.col("xf"), F.col("yf"))).collect()])
     error = found - np.array(truth)
     assert abs(error.mean()) < 0.05 and np.abs(error).max() < 0.36
+
+
+def test_a_passage_of_fifty_words_is_seen_by_a_shorter_length_alone(docs_of):
+    """A passage of 51 words has fewer bytes than the 400 of op6's contract: it stays there, and goes at 200; a longer one goes at both."""
+    rng = random.Random(8)
+
+    def words(n):
+        return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(n))
+
+    short, long = words(51), words(120)
+    assert len(short) < 400 < len(long)
+    texts = [(i, f"{words(80)} {short if i < 4 else long} {words(80)}") for i in range(8)]
+    removed = {n: {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs_of(texts), length=n).collect()} for n in (400, 200)}
+    assert [removed[400][i] >= len(long) for i in range(8)] == [False] * 4 + [True] * 4
+    assert all(removed[400][i] == 0 for i in range(4))
+    assert all(removed[200][i] >= len(short if i < 4 else long) for i in range(8))
