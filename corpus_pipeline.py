@@ -12,13 +12,10 @@ from panelcycle.llm.mixing import mixed_rows
 from panelcycle.llm.ngram_join import keep_one_per_group
 from panelcycle.llm.packing import pack_documents
 from panelcycle.llm.quality_cnn import keep_good
-from panelcycle.llm.suffix_dedup import without_repeats
+from panelcycle.llm.suffix_dedup import PASSAGE_BYTES, without_repeats
 from panelcycle.llm.tables import read_table
 from panelcycle.session import materialize
 
-#: A passage of 50 short words is some 250 bytes long; strings of this length inside it repeat with it.
-PASSAGE_BYTES = 200
-
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""

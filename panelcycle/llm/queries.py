@@ -17,7 +17,7 @@ from panelcycle.llm.quality_llr import judge_quality
 from panelcycle.llm.ranked_search import rank_documents
 from panelcycle.llm.secret_scan import scan_secrets
 from panelcycle.llm.sharding import shuffle_into_shards
-from panelcycle.llm.suffix_dedup import remove_repeats
+from panelcycle.llm.suffix_dedup import PASSAGE_BYTES, remove_repeats
 from panelcycle.llm.tables import read_table
 
 
@@ -54,9 +54,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents")).select(
+    return remove_repeats(read_table(spark, sf_dir, "documents"), passage=PASSAGE_BYTES).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
         F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
+        "n_passage_bytes", "n_passages", F.make_valid_utf8(F.col("without_passages").cast("string")).alias("without_passages"),
     )
 
 

@@ -48,3 +48,28 @@ def join_by_weight(rows: DataFrame, small: DataFrame, keys: list[str], heavy: Co
         return rows.join(small, keys)
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(~heavy), keys)
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+#: Bits of one row of a filter's bitmap, and the most bits of a filter (16 MB).
+BITMAP_BITS, FILTER_BITS = 32_768, 1 << 27
+
+
+def with_filter(rows: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` and a boolean column: false only if ``key``, a 64-bit hash, is none of ``keys`` (one column).
+
+    The filter is a bitmap of 16 bits a key, so some 6 % of the other rows are true as well; more beyond ``FILTER_BITS``.
+    It is broadcast, the rows stay where they are. ``keys`` should be a table, as it is read twice.
+    """
+    of = keys.columns[0]
+    bits = BITMAP_BITS
+    while bits < min(16 * keys.agg(F.approx_count_distinct(of)).first()[0], FILTER_BITS):
+        bits *= 2
+    place = F.pmod(F.col(of), F.lit(bits))
+    bitmap = keys.select(place.alias("at")).groupBy(F.floor(F.col("at") / BITMAP_BITS).alias("_row")).agg(
+        F.bitmap_construct_agg(F.col("at") % BITMAP_BITS).alias("_bits")
+    )
+    at = F.pmod(F.col(key), F.lit(bits))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at % BITMAP_BITS / 8) + 1, 1)), 16, 10).cast("int")
+    told = F.coalesce(F.bit_get(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    joined = rows.join(F.broadcast(bitmap), F.floor(at / BITMAP_BITS) == F.col("_row"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], told.alias(name))

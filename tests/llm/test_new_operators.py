@@ -545,3 +545,54 @@ def test_a_passage_of_fifty_words_is_seen_by_a_shorter_length_alone(docs_of):
     assert [removed[400][i] >= len(long) for i in range(8)] == [False] * 4 + [True] * 4
     assert all(removed[400][i] == 0 for i in range(4))
     assert all(removed[200][i] >= len(short if i < 4 else long) for i in range(8))
+
+
+def _repeated(texts: dict[int, bytes], length: int) -> dict[int, tuple[int, int, bytes]]:
+    """Bytes that repeated strings of ``length`` cover, their spans, and what is left: by brute force."""
+    def windows(t):
+        return [t[p : p + length] for p in range(len(t) - length + 1)]
+
+    counts, out = Counter(w for t in texts.values() for w in windows(t)), {}
+    for i, t in texts.items():
+        gone = np.zeros(len(t) + 1, int)
+        for p, w in enumerate(windows(t)):
+            gone[p : p + length] |= counts[w] > 1
+        out[i] = int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum()), bytes(c for c, g in zip(t, gone, strict=False) if not g)
+    return out
+
+
+@pytest.mark.parametrize(("length", "passage", "large_bucket"), [(40, 24, 8192), (40, 24, 1), (24, 40, 8192), (40, 40, 1)])
+def test_op6_two_lengths_at_once(docs_of, length, passage, large_bucket):
+    rng = random.Random(9)
+
+    def letters(n):
+        return "".join(rng.choices("abcdefgh", k=n))
+
+    planted = [letters(n) for n in (25, 30, 41, 60)]
+    texts = {i: letters(20 + i) + planted[i % 4] + letters(i % 7) + planted[i % 3] * (i % 3) + "é" * (i % 5) for i in range(40)}
+    texts |= {40: None, 41: "", 42: letters(24), 43: letters(3000), 44: "ab" * 40}
+    docs = docs_of([*texts.items()])
+    data = {i: (t or "").encode() for i, t in texts.items()}
+    rows = suffix_dedup.remove_repeats(docs, length=length, passage=passage, gram=8, large_bucket=large_bucket).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in rows} == _repeated(data, length)
+    assert {r.doc_id: (r.n_passage_bytes, r.n_passages, bytes(r.without_passages)) for r in rows} == _repeated(data, passage)
+    assert len(rows) == len(texts) and all(r.n_bytes == len(data[r.doc_id]) for r in rows)
+
+
+def test_op6_names_passages_that_its_contract_leaves(query, texts):
+    data = {i: (t or "").encode() for i, t in texts.items()}
+    found = {r["doc_id"]: r for r in query("op6_suffix_dedup")}
+    want = _repeated({i: t for i, t in data.items()}, suffix_dedup.PASSAGE_BYTES)
+    assert {i: (r["n_passage_bytes"], r["n_passages"]) for i, r in found.items()} == {i: w[:2] for i, w in want.items()}
+    assert all(r["without_passages"] == want[i][2].decode(errors="replace") for i, r in found.items())
+    assert any(r["n_passage_bytes"] and not r["n_removed"] for r in found.values())
+
+
+def test_filter_loses_no_key(spark):
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("key"), "id")
+    marked = tables.with_filter(rows, "key", rows.where("id % 10 = 0").select("key"), "near")
+    got = {(r[0], r[1]): r[2] for r in marked.groupBy(F.col("id") % 10 == 0, "near").count().collect()}
+    assert got[True, True] == 20_000 and (True, False) not in got and got[False, True] < 20_000
+    assert marked.columns == ["key", "id", "near"]
+    none = tables.with_filter(rows, "key", rows.where("false").select("key"), "near")
+    assert none.where("near").count() == 0 and none.count() == 200_000
