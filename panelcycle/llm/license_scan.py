@@ -62,8 +62,11 @@ RIVALS = (
     "Licensed under CC BY-NC-SA 4.0.", "Licensed under the GNU Free Documentation License, version 1.3.", "All lefts reversed.",
     "You need a license to drive a car.", "Permission to enter is granted by the guard.", "A table may be reserved by phone.",
 )
-#: Words that tell one licence of a family of licences from another: versions, clauses, conditions.
-TELLING = r"^(v?[0-9]+([.][0-9]+)*|[0-9]-clause|lesser|library|affero|lgpl|agpl|by(-[a-z]+)+|attribution(-[a-z]+)+|noncommercial|sharealike|noderivatives)$"
+#: What stands between words. Possessive, as Java matches other repeats of a group by recursion: a run of some
+#: thousand separators overflowed the stack, and an executor ends on that.
+BETWEEN = r"(?:[^a-z0-9.\-]++|\.(?![a-z0-9]))++"
+#: Words that tell one licence of a family of licences from another: versions, clauses, conditions. Possessive likewise.
+TELLING = r"^(v?[0-9]++(?:[.][0-9]++)*+|[0-9]-clause|lesser|library|affero|lgpl|agpl|by(?:-[a-z]++)++|attribution(?:-[a-z]++)++|noncommercial|sharealike|noderivatives)$"
 #: Words that say nothing about a licence. No template consists of them by 60 %, so a likeness needs another word.
 COMMON = frozenset("a all and any are as be by can either except for in is it may not of or that the this to under use with without you".split())
 FAMILIES = tuple(TEMPLATES)
@@ -71,7 +74,7 @@ FAMILIES = tuple(TEMPLATES)
 
 def words(paragraph: Column) -> Column:
     """Words in lower case; a full stop is part of one only inside it."""
-    return F.filter(F.split(F.lower(paragraph), r"(?:[^a-z0-9.\-]|\.(?![a-z0-9]))+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(paragraph), BETWEEN), lambda w: w != "")
 
 
 def resemblance(tokens: Column, template: Column) -> Column:
@@ -81,7 +84,7 @@ def resemblance(tokens: Column, template: Column) -> Column:
 
 def template_words(template: str) -> list[str]:
     """What ``words`` makes of a template."""
-    return [w for w in re.split(r"(?:[^a-z0-9.\-]|\.(?![a-z0-9]))+", template.lower()) if w]
+    return [w for w in re.split(BETWEEN, template.lower()) if w]
 
 
 def _windows_like(tokens: Column, own: Column, length: int) -> Column:

@@ -447,6 +447,21 @@ def test_op5_families_are_told_apart_row_by_row(docs_of):
     assert found == expected
 
 
+def test_op5_long_runs_within_a_text(spark, docs_of):
+    """Runs of separators, version numbers and conditions of any length: Java's regular expressions overflowed the stack from some thousand on."""
+    mit, n = license_scan.TEMPLATES["MIT"][0], 100_000
+    runs = ["\u00e9" * n, " " * n, "." * n, " ." * n, "\U0001f600," * n, ".\t-" * n]
+    rows = [(k, f"{mit}{run}\n{mit}\nsome{run}words.{run}") for k, run in enumerate(runs)]
+    split = docs_of(rows).select("doc_id", "text", license_scan.words(F.col("text")).alias("w")).collect()
+    assert all(r.w == [w for w in re.split(r"(?:[^a-z0-9.\-]|\.(?![a-z0-9]))+", r.text.lower()) if w] for r in split)
+    found = {r.doc_id: r for r in license_scan.scan_licenses(docs_of(rows)).collect()}
+    assert all(found[k].n_paragraphs == 3 and (1, "MIT") in [(f.paragraph, f.family) for f in found[k].found] for k in range(len(runs)))
+    words = ["1" + ".1" * n, "v2" + ".10" * n, "by" + "-sa" * n, "attribution" + "-nc" * n]
+    words += ["1.", "v2.", "1" + ".1" * n + "x", "by" + "-sa" * n + "-", "2-clause", "22-clause", "by", "attribution", "lgpl"]
+    told = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string").where(F.col("w").rlike(license_scan.TELLING))
+    assert sorted(r.k for r in told.select("k").collect()) == [0, 1, 2, 3, 8, 12]
+
+
 def test_op5_no_template_is_common_words():
     for family in license_scan.FAMILIES:
         for template in license_scan.TEMPLATES[family]:
